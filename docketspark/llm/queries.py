@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm import licenses
+from docketspark.llm import licenses, mixing, urls
 from docketspark.llm.common import table
 
 
@@ -13,7 +13,17 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("templates")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op4_mix_sources": op4_mix_sources,
+    "op9_url_filter": op9_url_filter,
     "op2_license_scan": op2_license_scan,
 }
 
