@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm import licenses, mixing, urls
+from docketspark.llm import licenses, minhash, mixing, urls
 from docketspark.llm.common import table
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("templates")
 
@@ -22,6 +26,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op4_mix_sources": op4_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op2_license_scan": op2_license_scan,
