@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm import licenses, minhash, mixing, packing, urls
+from docketspark.llm import licenses, minhash, mixing, packing, topk, urls
 from docketspark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -33,10 +37,26 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op3_pack": op3_pack,
     "op4_mix_sources": op4_mix_sources,
+    "op7_top_k": op7_top_k,
     "op9_url_filter": op9_url_filter,
     "op2_license_scan": op2_license_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        ) WHERE rank <= 5
+    """,
+}
 
 __all__ = ["F", "QUERIES", "SQL"]
