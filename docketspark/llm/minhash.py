@@ -79,11 +79,8 @@ def _in_lots(docs: DataFrame, lots: int) -> DataFrame:
     """
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = sorted({int(x) for x in d.approxQuantile("doc_id", [i / lots for i in range(1, lots)], 0.2 / lots)}, reverse=True) if lots > 1 else []
-    # the lot is the number of cuts that are not below the id
-    bounds = F.array(*[F.lit(-x).cast("long") for x in cuts]) if cuts else F.array().cast("array<long>")
-    lot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda x: x <= -F.col("doc_id"))))
-    if len(cuts) > 64:  # halve the search: one comparison a step on the sorted array
-        lot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_bisect(bounds, -F.col("doc_id"), len(cuts)))
+    bounds = F.array(*[F.lit(-x) for x in cuts]).cast("array<long>")
+    lot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_bisect(bounds, -F.col("doc_id"), len(cuts)))
     d = d.withColumn("lot", lot.cast("int")).withColumn("tie", F.xxhash64("text"))
     firsts = d.groupBy("lot").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
     after = F.coalesce(F.lead("lot").over(W.orderBy("lot")), F.lit(None))
@@ -100,12 +97,10 @@ def _in_lots(docs: DataFrame, lots: int) -> DataFrame:
 
 def _bisect(bounds: Column, x: Column, n: int) -> Column:
     """How many of the n rising `bounds` are at most x."""
-    at, step = F.lit(0), 1 << (n.bit_length() - 1)
-    while step:
-        nxt = at + step
-        at = F.when((nxt <= n) & (F.get(bounds, nxt - 1) <= x), nxt).otherwise(at)
-        step >>= 1
-    return at
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]).cast("array<int>")
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(bounds, at + step - 1) <= x), at + step).otherwise(at)
+    )
 
 
 def fingerprint(docs: DataFrame, lots: int | None = None) -> DataFrame:
