@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm import jaccard, licenses, minhash, mixing, packing, topk, urls
+from docketspark.llm import jaccard, licenses, minhash, mixing, packing, topk, toxicity, urls
 from docketspark.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_top_k": op7_top_k,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op2_license_scan": op2_license_scan,
 }
