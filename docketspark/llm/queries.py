@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm import jaccard, licenses, minhash, mixing, packing, topk, toxicity, urls
+from docketspark.llm import jaccard, licenses, minhash, mixing, packing, quality, topk, toxicity, urls
 from docketspark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op3_pack": op3_pack,
     "op4_mix_sources": op4_mix_sources,
+    "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_top_k": op7_top_k,
     "op8_toxicity": op8_toxicity,
