@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm import jaccard, licenses, minhash, mixing, packing, quality, topk, toxicity, urls
+from docketspark.llm import htmltext, jaccard, licenses, minhash, mixing, packing, quality, topk, toxicity, urls
 from docketspark.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op3_pack": op3_pack,
@@ -54,6 +58,7 @@ QUERIES = {
     "op7_top_k": op7_top_k,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
+    "op10_html_text": op10_html_text,
     "op2_license_scan": op2_license_scan,
 }
 
