@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared checkpoint folder.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir; a folder of
-    this machine is used only where none is named (tests).
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is named (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docketspark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketspark-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared folder, so that lost executors don't undo it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -44,6 +43,3 @@ def partitions(spark: SparkSession) -> int:
 def parts_for(rows: int, rows_each: int, least: int = 1) -> int:
     """Number of partitions that hold about `rows_each` rows."""
     return max(least, math.ceil(rows / rows_each))
-
-
-__all__ = ["LOWER", "SPACE_CLASS", "StorageLevel", "UPPER", "ascii_lower", "durable", "partitions", "parts_for", "table"]
