@@ -12,7 +12,7 @@ uses both, in three steps.
 2. Windows. In a region, a pair can be linked only if its sizes allow it (distances to
    the empty set) and if the counts of their shingles in fixed cells differ by no more
    than the largest allowed symmetric difference (a lower bound of the distance).
-   Regions that pairs within their windows connect are joined; larger regions go whole.
+   Documents that pairs within their windows connect make a joined region.
 3. Recursion inside a joined region with documents as pivots: exact distances from a
    pivot to all members of other components; rings as wide as the distance bound keep
    pairs apart that the triangle inequality excludes. A region that is too large for one
@@ -38,8 +38,10 @@ U64 = np.uint64
 
 
 def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingle hashes, rising, and offsets."""
-    return wordhash.distinct(*wordhash.shingles(*wordhash.words(texts), width))
+    """Each text's distinct shingle hashes, rising, and offsets. Works on a megabyte of text at a time."""
+    parts = [wordhash.distinct(*wordhash.shingles(*wordhash.words(texts[a:b]), width)) for a, b in wordhash.chunks(texts)]
+    sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(o) for _, o in parts]])
+    return np.concatenate([np.zeros(0, U64), *[v for v, _ in parts]]), np.cumsum(sizes)
 
 
 def _as_bytes(column: pa.Array) -> list[bytes]:
@@ -57,7 +59,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), _as_bytes(batch.column(1))
-            for begin, end in wordhash.chunks(texts, 8 << 20):
+            for begin, end in wordhash.chunks(texts, 6 << 20):
                 values, offsets = _sets(texts[begin:end], width)
                 sums = np.concatenate(([0], np.cumsum(values, dtype=U64)))
                 mixed = np.concatenate(([0], np.cumsum(wordhash.mix(values ^ U64(0x5851F42D4C957F2D)), dtype=U64)))
@@ -85,7 +87,7 @@ def _replicas(docs: DataFrame, width: int, percent: int, hot, cells: int) -> Dat
         common, often = hot.value
         for batch in batches:
             ids, texts = batch.column(0), _as_bytes(batch.column(1))
-            for begin, end in wordhash.chunks(texts, 4 << 20):
+            for begin, end in wordhash.chunks(texts):
                 values, offsets = _sets(texts[begin:end], width)
                 n = np.diff(offsets)
                 owner = np.repeat(np.arange(len(n)), n)
@@ -114,32 +116,28 @@ def _replicas(docs: DataFrame, width: int, percent: int, hot, cells: int) -> Dat
 
 
 def _pairs(regions: DataFrame, percent: int, small: int) -> DataFrame:
-    """Pairs (a, b, sure) from regions (pivot, id, n): all pairs whose sizes allow a link, a < b, of regions
-    of at most `small` members; of larger ones each member with the first, unseen by the cell window (sure)."""
+    """From regions (pivot, id, n): of those of 2 to `small` members all pairs (a, b) whose sizes allow a link,
+    a < b; of larger ones a row (id, pivot) per member, marked as large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the last region of the batches so far
-        names = ["a", "b", "sure"]
+        names = ["a", "b", "large"]
 
         def pairs(rows: np.ndarray) -> pa.RecordBatch:
             edge = np.flatnonzero(np.diff(rows[0])) + 1
             starts, stops = np.concatenate(([0], edge)), np.concatenate((edge, [rows.shape[1]]))
             sizes = stops - starts
-            out_a, out_b, out_sure = [], [], []
-            for m in np.unique(sizes[sizes > 1]):
-                at = starts[sizes == m]
-                i, j = np.triu_indices(m, 1) if m <= small else (np.zeros(m - 1, int), np.arange(1, m))
-                x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                if m <= small:  # rows of a region rise in n
-                    ok = 100 * rows[2][x] >= percent * rows[2][y]
-                    x, y = x[ok], y[ok]
-                out_a.append(rows[1][x])
-                out_b.append(rows[1][y])
-                out_sure.append(np.full(len(x), m > small))
-            a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (out_a, out_b))
-            sure = np.concatenate([np.zeros(0, bool), *out_sure])
-            ok = a != b
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(sure[ok])], names)
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for m in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
+                i, j = np.triu_indices(m, 1)
+                at = starts[sizes == m][:, None]
+                x, y = (at + i).ravel(), (at + j).ravel()
+                ok = (100 * rows[2][x] >= percent * rows[2][y]) & (rows[1][x] != rows[1][y])  # rows of a region rise in n
+                out_a.append(np.minimum(rows[1][x], rows[1][y])[ok])
+                out_b.append(np.maximum(rows[1][x], rows[1][y])[ok])
+            large = np.repeat(sizes > small, sizes)
+            a, b = np.concatenate([*out_a, rows[1][large]]), np.concatenate([*out_b, rows[0][large]])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(a) - large.sum())], names)
 
         for batch in batches:
             rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
@@ -157,22 +155,64 @@ def _pairs(regions: DataFrame, percent: int, small: int) -> DataFrame:
         if held:
             yield pairs(np.concatenate(held, axis=1))
 
-    return regions.mapInArrow(run, "a long, b long, sure boolean")
+    return regions.mapInArrow(run, "a long, b long, large boolean")
+
+
+def _within(a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the count differences sum up to at most the largest symmetric difference of a link,
+    (1 - t) / (1 + t) * n for sizes that sum up to n. The sum never exceeds the true difference."""
+    gaps = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=-1, dtype=np.int64)
+    return (100 + percent) * gaps <= (100 - percent) * n
 
 
 def _window(pairs: DataFrame, cells: int, percent: int) -> DataFrame:
-    """Keeps a pair if the sum over cells of count differences is at most the largest symmetric difference of a
-    link, (1 - t) / (1 + t) * (na + nb). The sum never exceeds the true difference. Columns a, b, na, nb, ca, cb, sure."""
+    """The pairs (a, b, na, nb, ca, cb) that are within the cell window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, cells).astype(np.int16) for i in (4, 5))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, cells) for i in (4, 5))
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            near = (100 + percent) * np.abs(a - b).sum(axis=1, dtype=np.int64) <= (100 - percent) * n
-            keep = near | batch.column(6).to_numpy(zero_copy_only=False)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1]).filter(pa.array(_within(a, b, n, percent)))
+
+    return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
+def _window_large(large: DataFrame, sets: DataFrame, cells: int, percent: int, block: int) -> DataFrame:
+    """Links of a spanning forest of the pairs within size and cell windows, of large regions (id, pivot).
+
+    Regions with the same members count once. Members are dealt into blocks of about `block`, and
+    each pair of blocks of a region is a task; a task gives at most one link per member.
+    """
+    marks = large.groupBy("pivot").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "id"), 24)).alias("y"))
+    once = marks.groupBy("m", "x", "y").agg(F.min("pivot").alias("pivot"))
+    rows = large.join(once.select("pivot", "m"), "pivot").join(sets.select("id", "n", "counts"), "id")
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "counts")
 
-    return pairs.select("a", "b", "na", "nb", "ca", "cb", "sure").mapInArrow(run, "a long, b long")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "id"])
+        ids, n, own = (pdf[c].to_numpy() for c in ("id", "n", "own"))
+        fine = np.frombuffer(b"".join(pdf["counts"]), np.uint8).reshape(-1, cells)
+        coarse = fine.reshape(len(fine), 16, -1).sum(axis=2, dtype=np.int16)
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        root = np.arange(len(ids))
+        out = []
+        for at in range(len(ids) - 1):
+            stop = np.searchsorted(n, n[at] * 100 // percent, side="right")  # sizes of a link differ by no more
+            span = np.arange(at + 1, stop)
+            span = span[(root[span] != root[at]) & ((own[span] != own[at]) if across else True)]
+            if len(span):
+                span = span[_within(coarse[at], coarse[span], n[at] + n[span], percent)]
+            if len(span):
+                span = span[_within(fine[at], fine[span], n[at] + n[span], percent)]
+            for y in span:
+                if root[y] != root[at]:
+                    out.append((ids[at], ids[y]))
+                    root[root == root[y]] = root[at]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("pivot", "i", "j").applyInPandas(run, "a long, b long")
 
 
 class Region:
@@ -290,7 +330,29 @@ def _cut(members: DataFrame, width: int, percent: int, most: int) -> tuple[DataF
     return links, out.select(F.xxhash64("region", "cell").alias("region"), "id", "text", joined.cast("long").alias("joined"), home.alias("home"))
 
 
-def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int = 16, most: int = 4_000_000, cells: int = CELLS) -> DataFrame:
+def _likely(d: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """Rows of (doc_id, text) whose id may be among the ids of `chosen`: those whose bit is set in a bitmap of
+    fixed size. It saves shuffling the texts of all others; when it fills up it lets more pass, never fewer."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    rows = chosen.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("map")).collect()
+    table = np.zeros(bits + (1 << 15), bool)
+    for row in rows:  # bucket k holds the numbers from (k - 1) * 32768 + 1 on, bucket 0 only 0
+        found = np.unpackbits(np.frombuffer(bytes(row["map"]), np.uint8), bitorder="little")
+        begin = (row["k"] - 1) * (1 << 15) + 1 if row["k"] else 0
+        stop = min(begin + len(found), len(table))
+        table[begin:stop] |= found[: stop - begin].astype(bool)
+    held = d.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            keep = held.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1
+            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+
+    return d.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).mapInArrow(run, "doc_id long, text string")
+
+
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int = 24, most: int = 8_000_000, cells: int = CELLS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when 100 * intersection >= percent * union of their sets of `width`-word
@@ -314,19 +376,22 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int
     hot = spark.sparkContext.broadcast((np.array([r["shingle"] % (1 << 64) for r in rows], U64), np.array([r["seen"] for r in rows], np.int64)))
 
     classes = durable(each.where("doc_id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
+    tagged = durable(each.join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "rep"))
     replicas = _replicas(d.where("doc_id is not null"), width, percent, hot, cells)
     c = classes.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k0"), "rep")
     sets = replicas.join(c, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("k0")))
     sets = durable(sets.select(F.col("doc_id").alias("id"), "n", "pivots", "counts").dropDuplicates(["id", "n", "counts"]))
 
     regions = sets.select(F.explode("pivots").alias("pivot"), "id", "n").repartition(partitions(spark), "pivot").sortWithinPartitions("pivot", "n", "id")
-    pairs = _pairs(regions, percent, small).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    listed = durable(_pairs(regions, percent, small))
     size = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
-    near = durable(_window(pairs.join(size("a"), "a").join(size("b"), "b"), cells, percent))
+    pairs = listed.where("not large").select("a", "b").distinct()
+    near = _window(pairs.join(size("a"), "a").join(size("b"), "b"), cells, percent)
+    large = listed.where("large").select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+    near = durable(near.unionByName(_window_large(large, sets, cells, percent, 2048)))
     merged = durable(connected(near))
 
-    texts = d.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    members = merged.join(texts, merged["id"] == texts["doc_id"]).select(F.col("component").alias("region"), "id", "text").dropDuplicates(["id", "text"])
+    members = _likely(d, merged).join(merged, F.col("doc_id") == F.col("id")).select(F.col("component").alias("region"), "id", "text")
     weights = merged.join(sets.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("component").agg(F.sum("n").alias("shingles"), F.count("*").alias("m"))
     large = durable(weights.where(F.col("shingles") > most).select(F.col("component").alias("region")))
     plain = members.join(large, "region", "left_anti").select("region", "id", "text", F.col("id").alias("joined"), F.lit(True).alias("home"))
@@ -335,9 +400,9 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int
         average = max(1, int(sets.agg(F.avg("n")).first()[0]))
         star, cut = _cut(members.join(large, "region"), width, percent, max(2, most // average))
         links = links.unionByName(star).unionByName(_join_regions(cut, width, percent, most))
-    # equal sets under several ids are joined by their class, equal ids by the id itself
-    found = connected(durable(links))
-    final = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = each.join(final, ["n", "h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # documents with rows in several classes connect these
+    least = tagged.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    links = links.unionByName(tagged.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
+    found = connected(durable(links)).withColumnRenamed("id", "rep")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "doc_id"))
+    return tagged.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
