@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = d.where("doc_id is not null").withColumn("text_key", F.sha2("text", 256))
     same = durable(known.groupBy("text_key").agg(F.min("doc_id").alias("rep")))
-    reps = known.join(same, [known["text_key"] == same["text_key"], known["doc_id"] == same["rep"]]).select("doc_id", "text").dropDuplicates(["doc_id"])
+    firsts = same.select(F.col("text_key").alias("k"), F.col("rep").alias("r"))
+    reps = known.join(firsts, (F.col("text_key") == F.col("k")) & (F.col("doc_id") == F.col("r"))).select("doc_id", "text").dropDuplicates(["doc_id"])
     each = permutations // bands
     marks = signed(reps, permutations, width).where("signature is not null").select(
         "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("signature", i * each + 1, each)))).alias("band", "value")
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
     classes = connected(durable(links))
-    found = same.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("text_key", F.coalesce("component", "rep").alias("class_id"))
+    found = same.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").select("text_key", F.coalesce("component", "rep").alias("class_id"))
     return d.withColumn("text_key", F.sha2("text", 256)).join(found, "text_key", "left").select(
         "doc_id", F.when(F.trim("text") == "", F.col("doc_id")).when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     )
