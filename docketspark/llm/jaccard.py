@@ -48,6 +48,13 @@ def _as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... values modulo 2**64; a plain 0 in front would turn them into floats."""
+    out = np.zeros(len(x) + 1, U64)
+    np.cumsum(x, dtype=U64, out=out[1:])
+    return out
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -61,8 +68,8 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
             ids, texts = batch.column(0), _as_bytes(batch.column(1))
             for begin, end in wordhash.chunks(texts, 6 << 20):
                 values, offsets = _sets(texts[begin:end], width)
-                sums = np.concatenate(([0], np.cumsum(values, dtype=U64)))
-                mixed = np.concatenate(([0], np.cumsum(wordhash.mix(values ^ U64(0x5851F42D4C957F2D)), dtype=U64)))
+                sums = _running(values)
+                mixed = _running(wordhash.mix(values ^ U64(0x5851F42D4C957F2D)))
                 n = np.diff(offsets)
                 h1, h2 = sums[offsets[1:]] - sums[offsets[:-1]], mixed[offsets[1:]] - mixed[offsets[:-1]]
                 none = pa.nulls(len(n), pa.int64())
@@ -91,8 +98,8 @@ def _replicas(docs: DataFrame, width: int, percent: int, hot, cells: int) -> Dat
                 values, offsets = _sets(texts[begin:end], width)
                 n = np.diff(offsets)
                 owner = np.repeat(np.arange(len(n)), n)
-                sums = np.concatenate(([0], np.cumsum(values, dtype=U64)))
-                mixed = np.concatenate(([0], np.cumsum(wordhash.mix(values ^ U64(0x5851F42D4C957F2D)), dtype=U64)))
+                sums = _running(values)
+                mixed = _running(wordhash.mix(values ^ U64(0x5851F42D4C957F2D)))
                 h1, h2 = sums[offsets[1:]] - sums[offsets[:-1]], mixed[offsets[1:]] - mixed[offsets[:-1]]
                 rank = np.zeros(len(values), np.int64)
                 if len(common):
