@@ -359,6 +359,34 @@ def _likely(d: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
     return d.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).mapInArrow(run, "doc_id long, text string")
 
 
+def links_of(d: DataFrame, sets: DataFrame, width: int, percent: float, small: int, most: int, cells: int) -> DataFrame:
+    """Links (a, b) that connect what the links of all pairs connect that share a region.
+
+    `sets` is (id, n, pivots, counts), kept by the caller: a set's size, its regions and its shingles per cell;
+    `d` is (doc_id, text) with the texts of these ids. Pairs are tested exactly, those in large regions too.
+    """
+    spark = d.sparkSession
+    regions = sets.select(F.explode("pivots").alias("pivot"), "id", "n").repartition(partitions(spark), "pivot").sortWithinPartitions("pivot", "n", "id")
+    listed = durable(_pairs(regions, percent, small))
+    size = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
+    pairs = listed.where("not large").select("a", "b").distinct()
+    near = _window(pairs.join(size("a"), "a").join(size("b"), "b"), cells, percent)
+    large = listed.where("large").select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+    near = durable(near.unionByName(_window_large(large, sets, cells, percent, 2048)))
+    merged = durable(connected(near))
+
+    members = _likely(d, merged).join(merged, F.col("doc_id") == F.col("id")).select(F.col("component").alias("region"), "id", "text")
+    weights = merged.join(sets.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("component").agg(F.sum("n").alias("shingles"), F.count("*").alias("m"))
+    large = durable(weights.where(F.col("shingles") > most).select(F.col("component").alias("region")))
+    plain = members.join(large, "region", "left_anti").select("region", "id", "text", F.col("id").alias("joined"), F.lit(True).alias("home"))
+    links = _join_regions(plain, width, percent, most)
+    if not large.isEmpty():
+        average = max(1, int(sets.agg(F.avg("n")).first()[0]))
+        star, cut = _cut(members.join(large, "region"), width, percent, max(2, most // average))
+        links = links.unionByName(star).unionByName(_join_regions(cut, width, percent, most))
+    return links
+
+
 def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int = 24, most: int = 8_000_000, cells: int = CELLS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -389,24 +417,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int
     sets = replicas.join(c, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("k0")))
     sets = durable(sets.select(F.col("doc_id").alias("id"), "n", "pivots", "counts").dropDuplicates(["id", "n", "counts"]))
 
-    regions = sets.select(F.explode("pivots").alias("pivot"), "id", "n").repartition(partitions(spark), "pivot").sortWithinPartitions("pivot", "n", "id")
-    listed = durable(_pairs(regions, percent, small))
-    size = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
-    pairs = listed.where("not large").select("a", "b").distinct()
-    near = _window(pairs.join(size("a"), "a").join(size("b"), "b"), cells, percent)
-    large = listed.where("large").select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-    near = durable(near.unionByName(_window_large(large, sets, cells, percent, 2048)))
-    merged = durable(connected(near))
-
-    members = _likely(d, merged).join(merged, F.col("doc_id") == F.col("id")).select(F.col("component").alias("region"), "id", "text")
-    weights = merged.join(sets.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("component").agg(F.sum("n").alias("shingles"), F.count("*").alias("m"))
-    large = durable(weights.where(F.col("shingles") > most).select(F.col("component").alias("region")))
-    plain = members.join(large, "region", "left_anti").select("region", "id", "text", F.col("id").alias("joined"), F.lit(True).alias("home"))
-    links = _join_regions(plain, width, percent, most)
-    if not large.isEmpty():
-        average = max(1, int(sets.agg(F.avg("n")).first()[0]))
-        star, cut = _cut(members.join(large, "region"), width, percent, max(2, most // average))
-        links = links.unionByName(star).unionByName(_join_regions(cut, width, percent, most))
+    links = links_of(d, sets, width, percent, small, most, cells)
     # documents with rows in several classes connect these
     least = tagged.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     links = links.unionByName(tagged.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))

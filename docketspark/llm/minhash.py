@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketspark.llm import wordhash
+from docketspark.llm import jaccard, wordhash
 from docketspark.llm.common import durable, partitions
 
 WIDTH, PERMUTATIONS, BANDS, THRESHOLD = 5, 128, 32, 0.8
@@ -67,21 +67,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-FINGERPRINT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FINGERPRINT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
-def _in_lots(docs: DataFrame, lots: int) -> DataFrame:
-    """Documents by descending doc_id in lots: lot, own, place, doc_id, text.
+def _in_lots(docs: DataFrame, lots: int, classes: DataFrame | None = None) -> DataFrame:
+    """Documents by descending doc_id in lots: lot, own, doc_id, tie, text, class_id.
 
     Besides its own rows a lot has, as its last, the first row of the next lot (of the
     first lot after the last one). Lots are ranges of doc_id between quantiles; null ids
-    come last; equal ids by a hash of the text.
+    come last; equal ids by a hash of the text. Rows of `classes` (doc_id, class_id) come in
+    the lot of their doc_id, without a text; only they have a class_id.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = sorted({int(x) for x in d.approxQuantile("doc_id", [i / lots for i in range(1, lots)], 0.2 / lots)}, reverse=True) if lots > 1 else []
     bounds = F.array(*[F.lit(-x) for x in cuts]).cast("array<long>")
-    lot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_bisect(bounds, -F.col("doc_id"), len(cuts)))
-    d = d.withColumn("lot", lot.cast("int")).withColumn("tie", F.xxhash64("text"))
+    lot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_bisect(bounds, -F.col("doc_id"), len(cuts))).cast("int")
+    d = d.withColumn("lot", lot).withColumn("tie", F.xxhash64("text"))
     firsts = d.groupBy("lot").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
     after = F.coalesce(F.lead("lot").over(W.orderBy("lot")), F.lit(None))
     order = firsts.select("lot", after.alias("after"), F.min("lot").over(W.partitionBy()).alias("least"))
@@ -92,7 +93,11 @@ def _in_lots(docs: DataFrame, lots: int) -> DataFrame:
         d.join(heads, (F.col("lot") == F.col("head_lot")) & F.struct("doc_id", "tie").eqNullSafe(F.col("first")))
         .select(F.col("to").alias("lot"), F.lit(False).alias("own"), "doc_id", "tie", "text")
     )
-    return d.select("lot", F.lit(True).alias("own"), "doc_id", "tie", "text").unionByName(copies)
+    placed = d.select("lot", F.lit(True).alias("own"), "doc_id", "tie", "text").unionByName(copies).withColumn("class_id", F.lit(None).cast("long"))
+    if classes is None:
+        return placed
+    nothing = (F.lit(None).cast("long").alias("tie"), F.lit(None).cast("string").alias("text"))
+    return placed.unionByName(classes.select(lot.alias("lot"), F.lit(True).alias("own"), "doc_id", *nothing, "class_id"))
 
 
 def _bisect(bounds: Column, x: Column, n: int) -> Column:
@@ -103,8 +108,10 @@ def _bisect(bounds: Column, x: Column, n: int) -> Column:
     )
 
 
-def fingerprint(docs: DataFrame, lots: int | None = None) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness.
+def fingerprint(docs: DataFrame, lots: int | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """Fingerprints of every text and of its edited text, their likeness, and the class of near copies.
+
+    class_id is that of `classes` (see classes_of), and the doc_id of a document that has none there.
 
     A null text counts as empty; two texts without words are alike (1), one without and
     one with words are not (0). The next document goes by descending doc_id, null ids
@@ -113,36 +120,42 @@ def fingerprint(docs: DataFrame, lots: int | None = None) -> DataFrame:
     range of doc_id, and read in order; a task holds one batch of texts.
     """
     lots = lots or 4 * partitions(docs.sparkSession)
-    placed = _in_lots(docs, lots)
+    placed = _in_lots(docs, lots, classes)
     ordered = placed.repartition(partitions(docs.sparkSession), "lot").sortWithinPartitions(
-        "lot", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("tie")
+        "lot", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc_nulls_last("class_id"), F.desc("tie")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waits = None  # the row before: lot, doc_id, text, signature
+        waits = None  # the row before: lot, doc_id, text, signature, class_id
+        marked = (None, None)  # the last doc_id with a class, and this; it comes before the texts of the doc_id
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            rows = []
+            for lot, own, doc_id, text, class_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None:
+                    marked = (doc_id, class_id)
+                else:
+                    rows.append((lot, own, doc_id, text, marked[1] if marked[0] == doc_id else doc_id))
             for begin, end in wordhash.chunks([r[3] for r in rows], 1 << 21):
                 part = rows[begin:end]
                 signed = signatures([r[3].encode() for r in part])
                 pairs = []  # doc_id, text, its edited text, signature, the next one's
                 for row, signature in zip(part, signed, strict=True):
-                    lot, own, doc_id, text = row
+                    lot, own, doc_id, text, class_id = row
                     if waits is not None and waits[0] == lot:
-                        pairs.append((waits[1], waits[2], edited(waits[2], text), waits[3], signature))
-                    waits = (lot, doc_id, text, signature) if own else None
+                        pairs.append((waits[1], waits[2], edited(waits[2], text), waits[3], signature, waits[4]))
+                    waits = (lot, doc_id, text, signature, class_id) if own else None
                 if not pairs:
                     continue
                 changed = signatures([p[2].encode() for p in pairs])
                 columns = zip(*[
-                    (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), digest(s), digest(e), likeness(s, e), likeness(s, t))
-                    for (doc_id, text, new, s, t), e in zip(pairs, changed, strict=True)
+                    (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), digest(s), digest(e), likeness(s, e), likeness(s, t), class_id)
+                    for (doc_id, text, new, s, t, class_id), e in zip(pairs, changed, strict=True)
                 ], strict=True)
-                types = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2
+                types = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2 + [pa.int64()]
                 names = [x.split()[0] for x in FINGERPRINT.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return ordered.select("lot", "own", "doc_id", "text").mapInArrow(run, FINGERPRINT)
+    return ordered.select("lot", "own", "doc_id", "text", "class_id").mapInArrow(run, FINGERPRINT)
 
 
 def signed(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH) -> DataFrame:
@@ -159,43 +172,65 @@ def signed(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, signature array<long>")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, permutations: int = PERMUTATIONS, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its near copies).
+def _banded(docs: DataFrame, bands: int, permutations: int, width: int, cells: int) -> DataFrame:
+    """Per row with words: doc_id, key (a digest of the text), n, pivots (a hash per band), counts (see jaccard)."""
+    schema = "doc_id long, key binary, n long, pivots array<long>, counts binary"
 
-    Equal texts fall together first. The others' signatures are cut into bands; a band's
-    members are paired with its least id only, so a band of any size gives as many
-    pairs as members. A pair counts if the exact Jaccard similarity of the word shingles
-    is at least `threshold`; linked documents form classes. Texts without words and rows
-    without doc_id are alone (class_id is the doc_id).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, all_texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            for begin, end in wordhash.chunks(all_texts):
+                texts = all_texts[begin:end]
+                values, offsets = jaccard._sets(texts, width)
+                n = np.diff(offsets)
+                cell = np.repeat(np.arange(len(n)) * cells, n) + (values >> np.uint64(40)).astype(np.int64) % cells
+                counts = np.bincount(cell, minlength=len(n) * cells).clip(max=255).astype(np.uint8).reshape(-1, cells)
+                signed = signatures(texts, permutations, width).reshape(len(n), bands, -1).astype(np.uint64)
+                marks = np.arange(bands, dtype=np.uint64)[None, :].repeat(len(n), 0)
+                for k in range(signed.shape[2]):
+                    marks = wordhash.mix(marks * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, k])
+                full = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[begin + i] for i in full], pa.int64()),
+                        pa.array([hashlib.sha256(texts[i]).digest() for i in full], pa.binary()),
+                        pa.array(n[full], pa.int64()),
+                        pa.array(list(marks[full].view(np.int64)), pa.list_(pa.int64())),
+                        pa.array([counts[i].tobytes() for i in full], pa.binary()),
+                    ],
+                    [x.split()[0] for x in schema.split(", ")],
+                )
+
+    return docs.mapInArrow(run, schema)
+
+
+def classes_of(
+    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, permutations: int = PERMUTATIONS, width: int = WIDTH, small: int = 24, most: int = 8_000_000
+) -> DataFrame:
+    """(doc_id, class_id) of the documents that have near copies: the least doc_id of their class.
+
+    Equal texts fall together first. The others' signatures are cut into bands, and all
+    pairs that share a band are candidates: bands are the regions of the exact Jaccard
+    join, which tests them by windows and pivots, large bands in blocks. A pair counts if
+    the exact Jaccard similarity of the word shingles is at least `threshold`; linked
+    documents form classes. Rows with equal doc_id are one document with the links of all.
     """
     from docketspark.llm.components import connected
 
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = d.where("doc_id is not null").withColumn("text_key", F.sha2("text", 256))
-    same = durable(known.groupBy("text_key").agg(F.min("doc_id").alias("rep")))
-    firsts = same.select(F.col("text_key").alias("k"), F.col("rep").alias("r"))
-    reps = known.join(firsts, (F.col("text_key") == F.col("k")) & (F.col("doc_id") == F.col("r"))).select("doc_id", "text").dropDuplicates(["doc_id"])
-    each = permutations // bands
-    marks = signed(reps, permutations, width).where("signature is not null").select(
-        "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("signature", i * each + 1, each)))).alias("band", "value")
-    )
-    heads = marks.groupBy("band", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = marks.join(heads, ["band", "value"]).select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
-    left, right = reps.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), reps.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    rows = durable(_banded(d, bands, permutations, width, jaccard.CELLS))
+    sets = durable(rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "pivots", "counts"))))
+    links = jaccard.links_of(d, sets, width, 100 * threshold, small, most, jaccard.CELLS)
+    copies = rows.select("key", "doc_id").join(sets.select("key", "id"), "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    return connected(durable(links.unionByName(copies))).select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                h, o = wordhash.shingles(*wordhash.words([x.encode(), y.encode()]), width)
-                p, q = np.unique(h[: o[1]]), np.unique(h[o[1] :])
-                both = len(np.intersect1d(p, q, True))
-                keep.append(both >= threshold * (len(p) + len(q) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    classes = connected(durable(links))
-    found = same.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").select("text_key", F.coalesce("component", "rep").alias("class_id"))
-    return d.withColumn("text_key", F.sha2("text", 256)).join(found, "text_key", "left").select(
-        "doc_id", F.when(F.trim("text") == "", F.col("doc_id")).when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
-    )
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per row: doc_id, class_id (the least doc_id of its near copies, see classes_of).
+
+    A document without near copies, or without words, is alone (class_id is the doc_id);
+    a row without doc_id has no class.
+    """
+    found = classes_of(docs, **options)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return d.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

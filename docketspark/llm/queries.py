@@ -10,7 +10,8 @@ from docketspark.llm.common import table
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.fingerprint(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return minhash.fingerprint(docs, classes=minhash.classes_of(docs))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

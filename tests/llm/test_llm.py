@@ -60,6 +60,43 @@ def test_near_duplicate_classes(docs):
     assert out[5] == out[4] == out[6] == 4 and out[7] == 7 and out[1] == 1 and out[None] is None
 
 
+def near_classes(rows, width=5, percent=80):
+    words = {i: t.lower().split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for i, w in words.items() if w}
+    out = {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and out[i] != out[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                p, q = sorted((out[i], out[j]))
+                out = {k: p if v == q else v for k, v in out.items()}
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 2}, {"small": 2, "most": 400}])
+def test_fingerprint_classes_link_all_members_of_a_band(spark, options):
+    rng, rows = random.Random(8), []
+    for f in range(6):  # the least id shares bands with all others, but is near none; the others chain up
+        own = [f"f{f}x{i}" for i in range(200)]
+        rows.append((100 * f, " ".join(own[:110])))
+        for k in range(1, 13):
+            w = list(own)
+            for at in range(0, 6 * k, 6):
+                w[120 + at % 72 : 122 + at % 72] = [f"y{f}", f"z{at}"]
+            rows.append((100 * f + k, " ".join(w)))
+        rows.append((100 * f + 50, rows[-1][1]))
+    d = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+    want = near_classes(rows)
+    assert any(want[100 * f + 2] == 100 * f + 1 and want[100 * f] == 100 * f for f in range(6))
+    classes = minhash.classes_of(d, **options)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.fingerprint(d, lots=3, classes=classes).collect()} == want
+
+
+def test_fingerprint_query_gives_classes(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r["class_id"] for r in queries.op1_fingerprint(spark, str(tmp_path)).collect()}
+    assert out[4] == out[5] == out[6] == 4 and out[7] == 7 and out[1] == 1 and out[9] == 9 and out[None] is None
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (None, 3)]
     out = dict(components.connected(spark.createDataFrame(links, "a long, b long")).collect())
