@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each source's words form streams that are packed into blocks of `block` words. Output
-shards of `slots` slots draw how many blocks each source gives them; a source's slots,
+Each source's words form streams that are packed into blocks of `block` words. One draw
+settles how many blocks each source gives, dealt over output shards of about `slots` slots; a source's slots,
 counted through all shards, map through a permutation of its block indexes, pass after
 pass; the slots' block indexes are then joined with the blocks. A document's share of the
 mix is what its stretches of drawn blocks hold.
@@ -19,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Multipliers of the permutations; one that doesn't divide the number of blocks is a bijection.
 PRIMES = (49_979_687, 67_867_967, 86_028_121)
+MICRO = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -64,10 +65,12 @@ def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 2
     mix holds the document `whole` times in full and, once more, the stretches `extra`
     (place of the first word, number of words). A null text has size 0, takes part with
     nothing and is returned; a null source is a source of its own; equal rows are told
-    apart by a row number that is kept in a checkpoint. The block draw of a shard is
-    systematic: it has the multinomial's means and the least spread, and one number per
-    shard decides it, a hash of `seed`; so reruns agree. A document never gives more than
-    `most` times its words: slots beyond `most` passes over a source stay empty.
+    apart by a row number that is kept in a checkpoint. The block draw is systematic
+    through all shards together: it has the multinomial's means and the least spread, so a
+    source's slots are what it is due within one, however many shards there are, and every
+    shard has its share of them within one. One number decides it, a hash of `seed`; so
+    reruns agree. A source is never due more than `most` passes over its blocks, so a
+    document never gives more than `most` times its words.
     """
     sized = durable(
         docs.select(
@@ -96,22 +99,22 @@ def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 2
     due = totals.join(n_blocks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     due = due.withColumn("due", F.coalesce(F.col("target") * F.col("blocks") / F.col("source_size"), F.lit(0.0)))
     by_source = W.orderBy(F.col("source").asc_nulls_last())
+    # counted in millionths of a slot, so that sums are exact
+    due = due.withColumn("due", F.least(F.round(F.col("due") * MICRO).cast("long"), F.coalesce("blocks", F.lit(0)) * F.lit(most * MICRO)))
     due = durable(
         due.withColumn("upto", F.sum("due").over(by_source.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("all", F.sum("due").over(by_source.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
         .withColumn("nth", F.row_number().over(by_source))
     )
 
-    # systematic draws per shard: a source gets the whole numbers in its part of the shard's slots
-    shards = F.greatest(F.ceil(F.col("all") / slots).cast("long"), F.lit(1))
-    drawn = due.where("due > 0").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
-    each = F.col("all") / F.greatest(F.ceil(F.col("all") / slots), F.lit(1))
-    point = F.pmod(F.xxhash64(F.lit(seed), F.col("shard")), F.lit(1 << 30)) / float(1 << 30)
-    edge = lambda c: F.floor(c / F.col("all") * each + point)
-    drawn = drawn.withColumn("n", edge(F.col("upto")) - edge(F.col("upto") - F.col("due"))).where("n > 0")
-    so_far = W.partitionBy("nth").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
-    drawn = drawn.withColumn("slot", F.sum("n").over(so_far) - F.col("n"))
-    slot = drawn.withColumn("k", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1))).where(F.col("k") < F.col("blocks") * most)
+    # one systematic draw: a source gets the whole numbers in its part of all slots, dealt evenly over the shards
+    point = F.pmod(F.xxhash64(F.lit(seed)), F.lit(MICRO))
+    edge = lambda c: ((c + point) - F.pmod(c + point, F.lit(MICRO))) / MICRO
+    counts = due.where("due > 0").withColumn("total", (edge(F.col("upto")) - edge(F.col("upto") - F.col("due"))).cast("long"))
+    counts = counts.withColumn("shards", F.greatest(F.ceil(F.col("all") / (slots * MICRO)).cast("long"), F.lit(1)))
+    drawn = counts.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    drawn = drawn.withColumn("slot", F.expr("shard * total div shards")).withColumn("n", F.expr("(shard + 1) * total div shards") - F.col("slot")).where("n > 0")
+    slot = drawn.withColumn("k", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)))
     index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("nth")))
     draws = slot.select("nth", index.alias("index")).groupBy("nth", "index").agg(F.count("*").alias("draws"))
 

@@ -193,6 +193,18 @@ def test_mix_meets_targets_and_caps(spark, none):
     assert texts.columns == d.columns and texts.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in out)
 
 
+def test_mix_meets_targets_of_small_sources_over_many_shards(spark):
+    rows = [(i, "w " * 40, "en", "big", 0, 0.0) for i in range(2000)] + [(5000 + i, "w " * (5 if i < 8 else 80), "en", f"tiny{i:02}", 0, 0.0) for i in range(16)]
+    names = {r[0]: r[3] for r in rows}
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), block=16, slots=64, rows_each=400).collect():
+        taken[names[r["doc_id"]]] += r["taken"]
+        target[names[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert all(taken[s] == target[s] == (15 if int(s[4:]) < 8 else 240) for s in target if s != "big")
+    assert abs(taken["big"] - target["big"]) <= 16 * 2
+
+
 def test_held_out_rows(spark):
     out = spark.range(40).select("id", labelled.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in out)
