@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 #: Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-SILENT = frozenset("head title script style noscript template svg math iframe object canvas select button textarea option datalist".split())
+SILENT = frozenset("head title script style noscript template svg iframe object canvas select button textarea option datalist".split())
+#: Elements that leave an open head open; the start of any other ends it.
+IN_HEAD = frozenset("base link meta title script style noscript template".split())
 BLOCK = frozenset(
     "html head body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption form fieldset aside nav header footer details summary address center dialog hgroup menu".split()
@@ -69,7 +71,9 @@ def parse(source: str) -> list[Node]:
 
     Inline elements and line breaks belong to the text around them; scripts, styles, comments and
     form controls give no text. Broken markup is read as far as it goes: an end tag
-    without its start is skipped, and elements left open end with their parent.
+    without its start is skipped, and elements left open end with their parent. A head left
+    open ends, as in HTML, at body, at text or at an element that can't stand in it; a
+    title is read up to its end tag, or ends with the head where it has none.
     """
     nodes = [Node("html", -1)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones carry their block's node
@@ -88,6 +92,8 @@ def parse(source: str) -> list[Node]:
 
     def put(text: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and text.strip():
+            pop(len(stack) - 1)
         if text and not silent:
             parts.append(text)
             if any(t == "a" for t, _ in stack[-6:]):
@@ -121,6 +127,18 @@ def parse(source: str) -> list[Node]:
                     flush()
                 pop(place)
             continue
+        head = next((i for i in range(1, len(stack)) if stack[i][0] == "head"), 0)
+        if tag in ("head", "html") and (head or any(t == "body" for t, _ in stack)):
+            continue
+        if head and tag not in IN_HEAD:
+            held = [t for t, _ in stack[head + 1 :] if t in ("noscript", "template")]
+            if not held or tag == "body" and "template" not in held:
+                pop(head)
+        if tag == "title" and not any(t == "svg" for t, _ in stack):
+            end, another = (re.compile(x, re.I).search(source, at) for x in (r"</title[^>]*(?:>|$)", r"<title[\s/>]"))
+            if end and not (another and another.start() < end.start()):
+                at = end.end()
+                continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*(?:>|$)", re.I).search(source, at)
             at = end.end() if end else len(source)

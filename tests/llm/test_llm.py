@@ -344,6 +344,20 @@ def test_html_text(spark):
     assert sorted(r["n_chars"] for r in htmltext.extract_text(d, m).collect()) == [0, 0, 0, 35]
 
 
+def test_html_text_with_an_open_head_and_math():
+    m = htmltext.trained()
+    story = "<article><h1>T and U</h1><p>One two three, and a sentence that goes on.</p></article>"
+    want = "T and U One two three, and a sentence that goes on."
+    for head in ("<head><title>x</title>", "<head><title>x", "<head><meta name=a><title>The <p> tag</title>", "<head><title>x</title><noscript><img src=a></noscript>", "<head><noscript><p>No</p></noscript></head>"):
+        for body in ("<body>", "<BODY class=a>", ""):
+            assert htmltext.extract(f"<html>{head}{body}{story}</html>", m) == want, (head, body)
+    assert htmltext.extract(f"<html><head><title>x<body>{story}<svg><title>y</title></svg></html>", m) == want
+    assert htmltext.extract(f"<html><head></head><body>{story}<head><p>More words that follow in the article.</p>", m).endswith("More words that follow in the article.")
+    assert [x.text for x in htmltext.parse("<head><meta name=a>Words <b>here") if x.text] == ["Words here"]
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be the number of it all.</p></article>"
+    assert htmltext.extract(page, m) == "Let x=2 be the number of it all."
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_sql(spark, name):
     c = duckdb.connect()
