@@ -49,28 +49,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, steps: int, follow: float) -> DataFrame:
-    """Ranks (kind, host, rank) after `steps` rounds from seeds (kind, host, seed).
+def spread(edges: DataFrame, seeds: DataFrame, follow: float, tolerance: float = 1e-9, rounds: int = 10_000) -> DataFrame:
+    """Ranks (kind, host, rank) from seeds (kind, host, seed), spread until they settle.
 
     `edges` is (kind, src, dst, n). A host hands on the part `follow` of its rank in
-    proportion to n. Sums are rounded to 12 places, so that reruns agree.
+    proportion to n. Rounds end when no host's rank grows by more than `tolerance` times
+    itself, so small ranks count like large ones and every host that links reach is
+    reached, however far. Sums are rounded to 12 significant digits, so that reruns agree.
     """
     totals = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     shares = durable(edges.join(totals, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    base = seeds.select("kind", "host", (F.col("seed") * (1 - follow)).alias("rank"))
-    ranks = base
-    for step in range(steps):
-        moved = shares.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * follow).alias("rank")
+    base = seeds.select("kind", "host", (F.col("seed") * (1 - follow)).alias("rank"), F.lit(0.0).alias("old"))
+    ranks = durable(base)
+    for _ in range(rounds):
+        moved = shares.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).select(
+            "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * follow).alias("rank"), F.lit(0.0).alias("old")
         )
-        ranks = base.unionByName(moved).groupBy("kind", "host").agg(F.round(F.sum("rank"), 12).alias("rank"))
-        if step % 3 == 2:
-            ranks = durable(ranks)
-    return ranks
+        before = ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old"))
+        rank = F.format_string("%.11e", F.sum("rank")).cast("double")
+        ranks = durable(base.unionByName(moved).unionByName(before).groupBy("kind", "host").agg(rank.alias("rank"), F.sum("old").alias("old")))
+        if ranks.where(F.abs(F.col("rank") - F.col("old")) > F.col("rank") * tolerance).isEmpty():
+            return ranks.drop("old")
+    raise RuntimeError("the ranks did not settle")
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[tuple[str, str]] | None = None, steps: int = 9, follow: float = 0.85, block_over: float = 1.0, salts: int = 16
+    pages: DataFrame, rules: list[tuple[str, str]] | None = None, follow: float = 0.85, block_over: float = 1.0, salts: int = 16, tolerance: float = 1e-9
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
@@ -97,7 +101,7 @@ def filter_urls(
     edges = forward.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         forward.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
-    ranks = spread(edges, seeds, steps, follow)
+    ranks = spread(edges, seeds, follow, tolerance)
     scores = ranks.groupBy("host").agg(
         *(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust"))
     )

@@ -322,6 +322,21 @@ def test_url_rules_and_link_trust(spark):
     assert urls.filter_urls(d.limit(0)).count() == 0
 
 
+def test_url_ranks_over_chains_hubs_and_cycles(spark):
+    links = defaultdict(list)
+    for k in range(12):  # c0 is twelve links from the blocked host
+        links[f"c{k}.net"] = [f"c{k + 1}.net"] if k < 11 else ["example.org"]
+    for k in range(5):  # each hub passes a 300th part on to the next
+        links[f"hub{k}.net"] = [f"hub{k + 1}.net"] + [f"leaf{i}.net" for i in range(299)]
+    links["a.org"], links["u.net"], links["v.net"] = ["hub0.net", "u.net"], ["v.net"], ["u.net"]
+    pages = [(f"http://{h}/", "".join(f"<a href='http://{x}/'>" for x in to)) for h, to in links.items()] + [("http://example.org/es/1", None), ("http://hub5.net/", None)]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    out = {r["host"]: r for r in urls.filter_urls(d, follow=0.5).collect()}
+    assert out["c0.net"]["distrust"] == pytest.approx(0.5**13, rel=1e-8, abs=0) and out["c0.net"]["verdict"] == "block"
+    assert out["hub5.net"]["trust"] == pytest.approx(0.5**8 / 300**5, rel=1e-8, abs=0)
+    assert out["u.net"]["trust"] == pytest.approx(0.125 / 0.75, rel=1e-8, abs=0) and out["v.net"]["trust"] == pytest.approx(0.0625 / 0.75, rel=1e-8, abs=0)
+
+
 def test_sum_product_equals_enumeration():
     nodes = htmltext.parse("<div><p>One two.<ul><li>a<li>b</ul></div><nav>x</nav>")
     rng = np.random.default_rng(0)
