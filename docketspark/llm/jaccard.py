@@ -415,12 +415,16 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int
     replicas = _replicas(d.where("doc_id is not null"), width, percent, hot, cells)
     c = classes.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k0"), "rep")
     sets = replicas.join(c, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("k0")))
-    sets = durable(sets.select(F.col("doc_id").alias("id"), "n", "pivots", "counts").dropDuplicates(["id", "n", "counts"]))
+    sets = durable(sets.select(F.col("doc_id").alias("id"), "n", "h1", "h2", "pivots", "counts").dropDuplicates(["id", "n", "h1", "h2"]))
 
     links = links_of(d, sets, width, percent, small, most, cells)
     # documents with rows in several classes connect these
     least = tagged.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     links = links.unionByName(tagged.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
     found = connected(durable(links)).withColumnRenamed("id", "rep")
+    # an empty row of a document that has other rows is in their component
+    empty = tagged.where("doc_id is not null and rep is null").select("doc_id").distinct()
+    full = tagged.where("rep is not null").join(empty, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rep").alias("full"))
+    tagged = tagged.join(full, "doc_id", "left").withColumn("rep", F.coalesce("rep", "full"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "doc_id"))
     return tagged.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

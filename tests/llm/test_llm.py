@@ -291,6 +291,17 @@ def test_jaccard_join_equals_brute_force(spark, options):
     assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in out) == brute(rows)
 
 
+def test_jaccard_join_keeps_all_texts_of_a_doc_id(spark):
+    cell = lambda t: int(jaccard._sets([t.encode()], 4)[0][0]) >> 40 & 127
+    one = "first text"
+    two = next(t for t in (f"other text {i}" for i in range(9999)) if cell(t) == cell(one))  # sizes and cell counts agree
+    near = " ".join(f"n{i}" for i in range(40))
+    rows = [(2, one), (2, two), (3, one), (4, two), (9, ""), (9, near), (5, near), (6, None), (7, "")]
+    rows += [(1, " ".join(f"n{i}" for i in range(41)))]
+    out = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r[0], r[1], r[2]) for r in out) == brute(rows)
+
+
 def test_jaccard_join_of_nothing(none):
     assert jaccard.jaccard_join(none).count() == 0
 
