@@ -32,6 +32,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, records: int = 1000, mb: int = 4) -> None:
+    """Sets the session's Arrow batches to at most so many rows and about so many MB, if they are larger:
+    what a Python worker holds of long texts depends on it."""
+    name, most = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= records:
+        spark.conf.set(name, str(records))
+    spark.conf.set(most, f"{mb}m")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

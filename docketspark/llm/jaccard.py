@@ -10,13 +10,17 @@ uses both, in three steps.
    n - ceil(t n) places further on, so the set is replicated to the regions of so many
    pivots: no linked pair is missed.
 2. Windows. In a region, a pair can be linked only if its sizes allow it (distances to
-   the empty set) and if the counts of their shingles in fixed cells differ by no more
-   than the largest allowed symmetric difference (a lower bound of the distance).
+   the empty set) and if no more cells of their parity sketches differ than the largest
+   allowed symmetric difference (odd cells are a lower bound of it). A large region is first
+   joined by one member, its document pivot; the members that don't fall to it are
+   its boundary, which meets itself and, once for all regions, the pivot's component.
    Documents that pairs within their windows connect make a joined region.
-3. Recursion inside a joined region with documents as pivots: exact distances from a
-   pivot to all members of other components; rings as wide as the distance bound keep
-   pairs apart that the triangle inequality excludes. A region that is too large for one
-   task is cut into rings around a pivot and into blocks of neighbouring rings.
+3. Recursion inside a joined region with documents as pivots, on exact distances. A region
+   that a task can hold is joined in one: each member in turn is a pivot, and rings as wide as the
+   bound keep pairs apart that the triangle inequality excludes. A larger region is
+   divided into Voronoi regions of some of its documents; members near a border go to both sides
+   (triangle inequality), members that links have joined already stay out, and the
+   parts are joined in the same way, level by level, until they fit.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.llm import wordhash
-from docketspark.llm.common import durable, partitions
+from docketspark.llm.common import durable, partitions, small_batches
 from docketspark.llm.components import connected
 
-CELLS = 128
+#: Cells of a sketch to a shingle, and the least and most of them (powers of two).
+CELLS_EACH, CELLS = 4, (128, 1 << 17)
 U64 = np.uint64
 
 
@@ -86,12 +91,22 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _replicas(docs: DataFrame, width: int, percent: int, hot, cells: int) -> DataFrame:
-    """doc_id, n, h1, h2, pivots (the regions of a set), counts (its shingles per cell, at most 255)."""
-    schema = "doc_id long, n long, h1 long, h2 long, pivots array<long>, counts binary"
+def sketches(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Per set the parity, in bits, of its shingles in each cell; a set has at least CELLS_EACH cells to a shingle, up to the most."""
+    n = np.diff(offsets)
+    cells = np.minimum(np.maximum(CELLS[0], 1 << np.ceil(np.log2(np.maximum(CELLS_EACH * n, 1))).astype(np.int64)), CELLS[1])
+    at = np.concatenate(([0], np.cumsum(cells)))
+    owner = np.repeat(np.arange(len(n)), n)
+    cell = at[owner] + ((values >> U64(20)).astype(np.int64) & (cells[owner] - 1))
+    packed = np.packbits((np.bincount(cell, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a >> 3 : b >> 3] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _replicas(docs: DataFrame, width: int, percent: float, common: np.ndarray, often: np.ndarray) -> DataFrame:
+    """doc_id, n, h1, h2, pivots (the regions of a set) and its sketch. `often` are the frequencies of the shingles `common`."""
+    schema = "doc_id long, n long, h1 long, h2 long, pivots array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = hot.value
         for batch in batches:
             ids, texts = batch.column(0), _as_bytes(batch.column(1))
             for begin, end in wordhash.chunks(texts):
@@ -106,131 +121,216 @@ def _replicas(docs: DataFrame, width: int, percent: int, hot, cells: int) -> Dat
                     at = np.minimum(np.searchsorted(common, values), len(common) - 1)
                     rank = np.where(common[at] == values, often[at], 0)
                 order = np.lexsort((values, rank, owner))
-                kept = n - -(-n * percent // 100) + (n > 0)
+                kept = (n - -(-n * percent // 100) + (n > 0)).astype(np.int64)
                 place = np.arange(len(values)) - np.repeat(offsets[:-1], n)
                 chosen = values[order][place < np.repeat(kept, n)]
-                cell = (values >> U64(40)).astype(np.int64) % cells
-                counts = np.bincount(owner * cells + cell, minlength=len(n) * cells).clip(max=255).astype(np.uint8)
-                flat = pa.py_buffer(counts.tobytes())
-                binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * cells).astype(np.int32).tobytes()), flat])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32)), pa.array(_signed(chosen)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, end - begin), pa.array(n), pa.array(_signed(h1)), pa.array(_signed(h2)), lists, binary], names
+                    [ids.slice(begin, end - begin), pa.array(n), pa.array(_signed(h1)), pa.array(_signed(h2)), lists, pa.array(sketches(values, offsets), pa.binary())], names
                 )
 
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.mapInArrow(run, schema)
 
 
-def _pairs(regions: DataFrame, percent: int, small: int) -> DataFrame:
-    """From regions (pivot, id, n): of those of 2 to `small` members all pairs (a, b) whose sizes allow a link,
-    a < b; of larger ones a row (id, pivot) per member, marked as large."""
+def _pairs(regions: DataFrame, percent: float, small: int) -> DataFrame:
+    """From regions (pivot, id, n), sorted: of those of 2 to `small` members all pairs (a, b) whose sizes allow a link,
+    a < b; of larger ones a row (id, pivot) per member, marked as large. A task holds `small` rows and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last region of the batches so far
+        held = np.zeros((3, 0), np.int64)  # rows of the last region so far, while they are few
+        passing = None  # the last region, once it is known to be large
         names = ["a", "b", "large"]
 
-        def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        def listed(rows: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
             edge = np.flatnonzero(np.diff(rows[0])) + 1
             starts, stops = np.concatenate(([0], edge)), np.concatenate((edge, [rows.shape[1]]))
             sizes = stops - starts
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for m in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
+            for m in np.unique(sizes[(sizes > 1) & (sizes <= small) & ~large[starts]]):
                 i, j = np.triu_indices(m, 1)
-                at = starts[sizes == m][:, None]
+                at = starts[(sizes == m) & ~large[starts]][:, None]
                 x, y = (at + i).ravel(), (at + j).ravel()
                 ok = (100 * rows[2][x] >= percent * rows[2][y]) & (rows[1][x] != rows[1][y])  # rows of a region rise in n
                 out_a.append(np.minimum(rows[1][x], rows[1][y])[ok])
                 out_b.append(np.maximum(rows[1][x], rows[1][y])[ok])
-            large = np.repeat(sizes > small, sizes)
-            a, b = np.concatenate([*out_a, rows[1][large]]), np.concatenate([*out_b, rows[0][large]])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(a) - large.sum())], names)
+            many = np.repeat(sizes > small, sizes) | large
+            a, b = np.concatenate([*out_a, rows[1][many]]), np.concatenate([*out_b, rows[0][many]])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(a) - many.sum())], names)
 
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])], axis=1)
             if not rows.shape[1]:
                 continue
-            last = rows[0][-1]
-            if held and held[0][0][0] == last:
-                held.append(rows)
-                continue
-            whole = np.flatnonzero(rows[0] == last)[0]
-            done = np.concatenate([*held, rows[:, :whole]], axis=1)
-            held = [rows[:, whole:]]
-            if done.shape[1]:
-                yield pairs(done)
-        if held:
-            yield pairs(np.concatenate(held, axis=1))
+            large = rows[0] == passing if passing is not None else np.zeros(rows.shape[1], bool)
+            last = rows[0] == rows[0][-1]
+            if large[-1] or last.sum() > small:
+                passing, held = int(rows[0][-1]), np.zeros((3, 0), np.int64)
+                yield listed(rows, large | last)
+            else:
+                passing, held = None, rows[:, last]
+                if not last.all():
+                    yield listed(rows[:, ~last], large[~last])
+        if held.shape[1]:
+            yield listed(held, np.zeros(held.shape[1], bool))
 
     return regions.mapInArrow(run, "a long, b long, large boolean")
 
 
-def _within(a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the count differences sum up to at most the largest symmetric difference of a link,
-    (1 - t) / (1 + t) * n for sizes that sum up to n. The sum never exceeds the true difference."""
-    gaps = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=-1, dtype=np.int64)
-    return (100 + percent) * gaps <= (100 - percent) * n
+def _odd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many cells the parities differ, of sketches (rows of bytes) that are folded to the shorter ones' size."""
+    while a.shape[-1] > b.shape[-1]:
+        a = a[..., : a.shape[-1] // 2] ^ a[..., a.shape[-1] // 2 :]
+    while b.shape[-1] > a.shape[-1]:
+        b = b[..., : b.shape[-1] // 2] ^ b[..., b.shape[-1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _window(pairs: DataFrame, cells: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb, ca, cb) that are within the cell window."""
+def _within(odd: np.ndarray, n: np.ndarray, percent: float) -> np.ndarray:
+    """Whether the odd cells are no more than the largest symmetric difference of a link, (1 - t) / (1 + t) * n
+    for sizes that sum up to n. The odd cells never exceed the true difference."""
+    return (100 + percent) * odd <= (100 - percent) * n
+
+
+def _window(pairs: DataFrame, percent: float) -> DataFrame:
+    """The pairs (a, b, na, nb, ca, cb) whose sizes and sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, cells) for i in (4, 5))
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array(_within(a, b, n, percent)))
+            ca, cb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            shape = np.array([(len(x), len(y)) for x, y in zip(ca, cb, strict=True)]).reshape(-1, 2)
+            ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            for x, y in np.unique(shape, axis=0):
+                rows = np.flatnonzero((shape == (x, y)).all(axis=1) & ok)
+                if len(rows):
+                    a, b = (np.frombuffer(b"".join(c[i] for i in rows), np.uint8).reshape(len(rows), -1) for c in (ca, cb))
+                    ok[rows] = _within(_odd(a, b), na[rows] + nb[rows], percent)
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
     return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
-def _window_large(large: DataFrame, sets: DataFrame, cells: int, percent: int, block: int) -> DataFrame:
-    """Links of a spanning forest of the pairs within size and cell windows, of large regions (id, pivot).
+def _ends(pairs: DataFrame, sets: DataFrame, salts: int = 1) -> DataFrame:
+    """Pairs (a, b) with both ends' sizes and sketches. b may be the end of very many pairs: it is dealt over `salts` parts."""
+    size = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"c{k}"))
+    left = pairs.join(size("a"), "a")
+    if salts == 1:
+        return left.join(size("b"), "b")
+    asked = size("b").join(pairs.select("b").distinct(), "b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")).join(asked, ["b", "salt"]).drop("salt")
+
 
-    Regions with the same members count once. Members are dealt into blocks of about `block`, and
-    each pair of blocks of a region is a task; a task gives at most one link per member.
+def _window_blocks(rows: DataFrame, percent: float, most: int = 2048) -> DataFrame:
+    """At least one candidate of each member and each component that it has a candidate in, within regions.
+
+    `rows` is (region, group, id, n, sketch, comp): pairs of one region are tested whose comps differ and whose
+    groups are 0 and 0, or 0 and 1; pairs of two members of group 1 never are. Members are dealt into blocks of about
+    `most` of a group; each pair of blocks is a task.
     """
-    marks = large.groupBy("pivot").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "id"), 24)).alias("y"))
-    once = marks.groupBy("m", "x", "y").agg(F.min("pivot").alias("pivot"))
-    rows = large.join(once.select("pivot", "m"), "pivot").join(sets.select("id", "n", "counts"), "id")
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "counts")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "id"])
-        ids, n, own = (pdf[c].to_numpy() for c in ("id", "n", "own"))
-        fine = np.frombuffer(b"".join(pdf["counts"]), np.uint8).reshape(-1, cells)
-        coarse = fine.reshape(len(fine), 16, -1).sum(axis=2, dtype=np.int16)
-        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        root = np.arange(len(ids))
+    sizes = rows.groupBy("region").agg(F.sum(1 - F.col("group")).alias("m0"), F.sum("group").alias("m1"))
+    b = lambda k: F.greatest(F.ceil(F.col(f"m{k}") / most), F.lit(1)).cast("int")
+    rows = rows.join(sizes.select("region", b(0).alias("b0"), b(1).alias("b1")), "region")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(2), "id"), F.when(F.col("group") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int"))
+    task = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.transform(upto("b0"), lambda x: task(F.least("own", x), F.greatest("own", x), 0))
+    across = F.when(F.col("group") == 0, F.transform(upto("b1"), lambda x: task(F.col("own"), x, 1))).otherwise(F.transform(upto("b0"), lambda x: task(x, F.col("own"), 1)))
+    tasks = F.when(F.col("group") == 0, F.concat(among, across)).otherwise(across)
+    rows = rows.withColumn("task", F.explode(tasks)).select("region", "task", "group", "own", "id", "n", "sketch", "comp")
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, cut = table.column("task")[0].as_py()["kind"], table.column("task")[0].as_py()
+        group, own, ids, n, comp = (table.column(c).to_numpy() for c in ("group", "own", "id", "n", "comp"))
+        order = np.lexsort((ids, n))
+        group, own, ids, n, comp = (x[order] for x in (group, own, ids, n, comp))
+        comp = np.unique(comp, return_inverse=True)[1]
+        sketch = [table.column("sketch")[int(i)].as_py() for i in order]
+        length = np.array([len(s) for s in sketch])
+        parts = {int(k): np.frombuffer(b"".join(s for s in sketch if len(s) == k), np.uint8).reshape(-1, k) for k in np.unique(length)}
+        place = np.empty(len(sketch), np.int64)
+        for k in parts:
+            place[length == k] = np.arange((length == k).sum())
+        side = group if kind else (own if cut["i"] != cut["j"] else None)  # only pairs of different sides count
         out = []
-        for at in range(len(ids) - 1):
-            stop = np.searchsorted(n, n[at] * 100 // percent, side="right")  # sizes of a link differ by no more
-            span = np.arange(at + 1, stop)
-            span = span[(root[span] != root[at]) & ((own[span] != own[at]) if across else True)]
-            if len(span):
-                span = span[_within(coarse[at], coarse[span], n[at] + n[span], percent)]
-            if len(span):
-                span = span[_within(fine[at], fine[span], n[at] + n[span], percent)]
-            for y in span:
-                if root[y] != root[at]:
-                    out.append((ids[at], ids[y]))
-                    root[root == root[y]] = root[at]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return rows.groupBy("pivot", "i", "j").applyInPandas(run, "a long, b long")
+        for at in range(len(ids)):
+            if kind and group[at]:
+                continue
+            low = np.searchsorted(n, -(-n[at] * percent // 100)) if kind else at + 1
+            span = np.arange(low, np.searchsorted(n, n[at] * 100 // percent, side="right"))  # sizes of a link differ by no more
+            span = span[(comp[span] != comp[at]) & (True if side is None else side[span] != side[at])]
+            for k in parts:
+                some = span[length[span] == k]
+                if len(some):
+                    some = some[_within(_odd(parts[k][place[some]], parts[int(length[at])][place[at]][None, :]), n[at] + n[some], percent)]
+                for c in np.unique(comp[some]):
+                    if c != comp[at]:
+                        out.append((ids[at], ids[some[comp[some] == c][0]]))
+                        comp[comp == c] = comp[at]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return rows.groupBy("region", "task").applyInArrow(run, "a long, b long")
+
+
+def _near(sets: DataFrame, percent: float, small: int, block: int) -> DataFrame:
+    """Candidate links (a, b): they connect all pairs that share a region and whose windows allow a link.
+
+    Large regions are first joined by a document pivot each, the member with the least hash, so
+    regions with much the same members agree on it. Members that don't fall to their region's pivot
+    are its boundary: they are compared with each other and, once for all regions, with the
+    pivot's component.
+    """
+    spark = sets.sparkSession
+    regions = sets.select(F.explode("pivots").alias("pivot"), "id", "n")
+    # regions so large that one task shouldn't even list them, found on a bounded sample; this changes the plan, not the result
+    rows = sets.count()
+    seen = sets.sample(min(1.0, 50_000 / max(1, rows)), 7).select(F.explode("pivots").alias("pivot")).groupBy("pivot").count()
+    hot = durable(seen.where(F.col("count") >= max(4 * small, min(rows, 50_000) // 500)).select("pivot"))
+    cold = regions.join(F.broadcast(hot), "pivot", "left_anti")  # at most 500 times a set's pivots
+    cold = cold.repartition(partitions(spark), "pivot").sortWithinPartitions("pivot", "n", "id")
+    listed = durable(_pairs(cold, percent, small))
+    large = listed.where("large").select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+    large = large.unionByName(regions.join(F.broadcast(hot), "pivot", "left_semi").select("id", "pivot")).distinct()
+    none = listed.where("large").isEmpty() and hot.isEmpty()
+    if none:
+        return durable(_window(_ends(listed.select("a", "b").distinct(), sets), percent))
+
+    first = large.groupBy("pivot").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("first"))).getField("first").alias("first"))
+    large = durable(large.join(first, "pivot"))
+    stars = large.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    stars = durable(_window(_ends(stars, sets, 32), percent))
+    comps = durable(connected(stars))
+    comp = lambda k: comps.select(F.col("id").alias(k), F.col("component").alias(f"{k}_comp"))
+    large = large.join(comp("id"), "id", "left").join(comp("first"), "first", "left")
+    outside = large.select("pivot", "id", F.coalesce("id_comp", "id").alias("comp"), F.coalesce("first_comp", "first").alias("main")).where("comp <> main")
+    outside = durable(outside)
+    # the boundary against the pivots' components, once for all regions
+    facing = outside.groupBy("main", "id").agg(F.first("comp").alias("comp"))
+    mains = facing.select("main").distinct()
+    own = comps.select(F.col("component").alias("main"), "id").unionByName(mains.select("main", F.col("main").alias("id"))).distinct()
+    own = own.join(mains, "main", "left_semi").select("main", F.lit(1).alias("group"), "id", F.col("main").alias("comp"))
+    facing = facing.select("main", F.lit(0).alias("group"), "id", "comp").unionByName(own).withColumn("region", F.xxhash64(F.lit(1), "main"))
+    # the boundary's members with each other; regions with the same boundary count once
+    marks = outside.groupBy("pivot").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "id"), 24)).alias("y"))
+    once = marks.where("m > 1").groupBy("m", "x", "y").agg(F.min("pivot").alias("pivot"))
+    among = durable(outside.join(once.select("pivot", "m"), "pivot"))
+    few, many = among.where(F.col("m") <= small), among.where(F.col("m") > small)
+    few = few.select("pivot", "id").join(sets.select("id", "n"), "id").select("pivot", "id", "n").repartition(partitions(spark), "pivot").sortWithinPartitions("pivot", "n", "id")
+    pairs = listed.where("not large").select("a", "b").unionByName(_pairs(few, percent, small).select("a", "b")).distinct()
+    blocks = many.select(F.xxhash64(F.lit(0), "pivot").alias("region"), F.lit(0).alias("group"), "id", "comp")
+    blocks = facing.select("region", "group", "id", "comp").unionByName(blocks).join(sets.select("id", "n", "sketch"), "id")
+    return durable(stars.unionByName(_window(_ends(pairs, sets), percent)).unionByName(_window_blocks(blocks, percent, block)))
 
 
 class Region:
     """The sets of one region in one array, with inner products by binary search."""
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int):
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: float):
         order = np.argsort([len(s) for s in sets], kind="stable")
+        self.order = order
         self.ids, self.sets = ids[order], [sets[i] for i in order]
         self.n = np.array([len(s) for s in self.sets], np.int64)
         self.values = np.concatenate([np.zeros(0, U64), *self.sets])
-        self.ends = np.cumsum(self.n)
         self.percent = percent
 
     def shared(self, pivot: np.ndarray, members: np.ndarray) -> np.ndarray:
@@ -239,32 +339,30 @@ class Region:
             values, n = self.values, self.n
         else:
             values, n = np.concatenate([self.sets[i] for i in members]), self.n[members]
-        at = np.minimum(np.searchsorted(pivot, values), len(pivot) - 1)
-        hits = np.concatenate(([0], np.cumsum(pivot[at] == values)))
-        ends = np.cumsum(n)
-        return hits[ends] - hits[ends - n]
+        return _shared(pivot, values, n)
 
-    def links(self, joined: np.ndarray, home: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links that connect what links connect. `joined` gives members that are known to be connected equal
-        numbers; only pairs with a member of `home` count, if it is given.
+    def links(self, joined: np.ndarray) -> list[tuple[int, int]]:
+        """Links that connect what links connect. `joined`, in the order of `ids` as they were given, has equal
+        numbers for members that are known to be connected.
 
         Each member in turn is the pivot for all members of other components whose size and whose distances
         to the pivots so far differ from its own by no more than the bound.
         """
         m, out = len(self.n), []
-        component = np.unique(joined, return_inverse=True)[1]
-        home = np.ones(m, bool) if home is None else home
+        component = np.unique(joined[self.order], return_inverse=True)[1]
         bound = 1 - self.percent / 100 + 1e-9
         rings: list[np.ndarray] = []  # distances to earlier pivots, NaN where unknown
         degree = np.zeros(m)
         todo = np.ones(m, bool)
         for turn in range(m):
+            if (component == component[0]).all():
+                break
             # the first pivots are spread; then those that most pivots link to, which join most
             open_ = np.flatnonzero(todo)
             i = open_[np.argmax(degree[open_])] if turn >= 8 or degree.max() > 1 else open_[len(open_) // 2]
             todo[i] = False
             n = self.n[i]
-            ok = todo & (component != component[i]) & (100 * np.minimum(n, self.n) >= self.percent * np.maximum(n, self.n)) & (home | home[i])
+            ok = todo & (component != component[i]) & (100 * np.minimum(n, self.n) >= self.percent * np.maximum(n, self.n))
             for ring in rings:
                 gap = np.abs(ring - ring[i])
                 ok &= ~(gap > bound)
@@ -285,56 +383,115 @@ class Region:
         return out
 
 
-def _join_regions(members: DataFrame, width: int, percent: int, most: int) -> DataFrame:
-    """Links (a, b) inside each region of (region, id, text), each region in one task; `most` is checked before."""
+def _shared(pivot: np.ndarray, values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the set `pivot` with sets of sizes n that lie end to end in `values`."""
+    at = np.minimum(np.searchsorted(pivot, values), len(pivot) - 1)
+    hits = np.concatenate(([0], np.cumsum(pivot[at] == values)))
+    ends = np.cumsum(n)
+    return hits[ends] - hits[ends - n]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, offsets = _sets([x.encode() for x in pdf["text"]], width)
-        sets = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        home = pdf["home"].to_numpy(bool)
-        region = Region(pdf["id"].to_numpy(), sets, percent)
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        found = region.links(pdf["joined"].to_numpy()[order], home[order])
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return members.groupBy("region").applyInPandas(run, "a long, b long")
+def _join_regions(members: DataFrame, width: int, percent: float) -> DataFrame:
+    """Links (a, b) inside each region of (region, id, text, joined), each region in one task; its size is checked before.
+
+    Regions come sorted, so a task holds one region's sets at a time.
+    """
+    spark = members.sparkSession
+    ordered = members.select("region", "id", "text", "joined").repartition(partitions(spark), "region").sortWithinPartitions("region", "id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, joined, sets = None, [], [], []
 
-def _cut(members: DataFrame, width: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Cuts regions that are too large for a task: (links to the pivots, members of smaller regions).
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                found = Region(np.concatenate(ids), sets, percent).links(np.concatenate(joined))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    A member of each region is its pivot. Members within the bound are linked to it and
-    so joined; the others lie in rings as wide as the bound. By the triangle inequality a
-    ring meets itself and the next ring inwards only, and the innermost not itself. Rings are
-    dealt into blocks of `most` members, and each pair of blocks that can meet is a region.
+        for batch in batches:
+            regions, names, labels = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            texts = _as_bytes(batch.column(2))
+            for begin, end in wordhash.chunks(texts):
+                values, offsets = _sets(texts[begin:end], width)
+                for i in range(begin, end):
+                    if regions[i] != now:
+                        yield from done()
+                        now, ids, joined, sets = regions[i], [], [], []
+                    if offsets[i - begin + 1] > offsets[i - begin]:
+                        ids.append(names[i : i + 1])
+                        joined.append(labels[i : i + 1])
+                        sets.append(values[offsets[i - begin] : offsets[i - begin + 1]].copy())
+        yield from done()
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _divide(members: DataFrame, sizes: DataFrame, width: int, percent: float, most: int, level: int, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+    """One level of the recursion over regions that are too large for a task: (links, members of smaller regions).
+
+    `pivots` members of each region, those with the least hashes, get exact distances to all members, in
+    parts of about `most` shingles. Members within the bound are linked. Every member goes to the Voronoi region of its
+    nearest pivot, and to those of other pivots that are no more than twice the bound further: a linked
+    pair then meets where either of the two is at home. In a Voronoi region, the members that links join with the pivot
+    need each other no longer; only those whose distance from the pivot is within the bound of another member's stay.
     """
-    sizes = members.groupBy("region").agg(F.count("*").alias("m"), F.min_by("text", F.struct(F.xxhash64("id"), F.col("id"))).alias("pivot"), F.min(F.struct(F.xxhash64("id"), F.col("id"))).getField("id").alias("pivot_id"))
-    both = members.select("region", "id", "text").join(sizes, "region")
+    spark = members.sparkSession
+    rank = F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64(F.lit(level), "id"), "id"))
+    chosen = members.select("region", "id").withColumn("k", rank).where(F.col("k") <= pivots)
+    parts = F.greatest(F.ceil(F.col("shingles") / most), F.lit(1)).cast("int")
+    placed = members.join(sizes.select("region", parts.alias("parts")), "region")
+    texts = placed.join(chosen, ["region", "id"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    texts = texts.select("region", "part", F.lit(0).alias("own"), "k", "id", "text")
+    own = placed.select("region", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("own"), F.lit(0).alias("k"), "id", "text")
+    own, texts = own.withColumn("key", F.xxhash64("text")), texts.withColumn("key", F.xxhash64("text"))
+    ordered = texts.unionByName(own).repartition(partitions(spark), "region", "part").sortWithinPartitions("region", "part", "own", "k", "id")
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            rings = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                values, o = _sets([x.encode(), y.encode()], width)
-                shared = len(np.intersect1d(values[: o[1]], values[o[1] :], True))
-                union = o[2] - shared
-                rings.append(int(np.ceil(100 * (union - shared) / union / (100 - percent) - 1e-9)) - 1 if shared < union else 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 3, 5)), pa.array([max(r, 0) for r in rings], pa.int64())], ["region", "id", "text", "m", "pivot_id", "ring"])
-
-    placed = both.select("region", "id", "text", "m", "pivot", "pivot_id").mapInArrow(far, "region long, id long, text string, m long, pivot_id long, ring long")
-    links = placed.where("ring = 0 and id <> pivot_id").select(F.col("pivot_id").alias("a"), F.col("id").alias("b"))
-    half = max(1, most // 2)
-    blocks = F.greatest(F.ceil(F.col("m") / half).cast("long"), F.lit(1))
-    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "text"), F.col("blocks")))
-    # block pairs (ring, i, j): i in the ring, j in the same ring (i <= j) or the ring inwards
-    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.col("ring").alias("r"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(0).alias("step")))
-    inward = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.col("ring").alias("r"), F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("step")))
-    outward = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct((F.col("ring") + 1).alias("r"), i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("step")))
-    cells = F.when(F.col("ring") > 0, F.concat(own, inward, outward)).otherwise(outward)
-    out = placed.withColumn("cell", F.explode(cells))
-    home = (F.col("cell.step") == 0) | (F.col("ring") == F.col("cell.r"))
-    joined = F.when(F.col("ring") == 0, F.lit(-1)).otherwise(F.col("id"))
-    return links, out.select(F.xxhash64("region", "cell").alias("region"), "id", "text", joined.cast("long").alias("joined"), home.alias("home"))
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6)]
+            texts = _as_bytes(batch.column(5))
+            out = []
+            for begin, end in wordhash.chunks(texts):
+                values, offsets = _sets(texts[begin:end], width)
+                for i in range(begin, end):
+                    region, part, own, k, name, key = (c[i] for c in columns)
+                    mine = values[offsets[i - begin] : offsets[i - begin + 1]]
+                    if (region, part) != now:
+                        now, held = (region, part), []
+                    if not len(mine):
+                        continue
+                    if not own:
+                        held.append((k, name, mine.copy()))
+                        continue
+                    for k, pivot, theirs in held:
+                        both = int(_shared(theirs, mine, np.array([len(mine)]))[0])
+                        union = len(theirs) + len(mine) - both
+                        out.append((region, name, key, k, pivot, 1 - both / union, 100 * both >= percent * union and pivot != name))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["region", "id", "key", "k", "pivot", "d", "near"])
+
+    d = durable(ordered.mapInArrow(far, "region long, id long, key long, k int, pivot long, d double, near boolean"))
+    links = d.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    label = durable(connected(links))
+    bound = 1 - percent / 100 + 1e-9
+    home = d.groupBy("region", "id", "key").agg(F.min("d").alias("least"))
+    near = d.join(home, ["region", "id", "key"]).where(F.col("d") <= F.col("least") + 2 * bound)
+    near = near.join(label.select("id", F.col("component").alias("x")), "id", "left").join(label.select(F.col("id").alias("pivot"), F.col("component").alias("y")), "pivot", "left")
+    near = near.select(F.xxhash64("region", "k").alias("region"), "id", "key", "d", F.coalesce("x", "id").alias("joined"), F.coalesce("y", "pivot").alias("main"))
+    near = durable(near)
+    other = near.where("joined <> main").groupBy("region").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    kept = near.join(other, "region").where((F.col("joined") != F.col("main")) | F.col("d").between(F.col("lo") - bound, F.col("hi") + bound))
+    texts = members.select("id", F.xxhash64("text").alias("key"), "text").dropDuplicates(["id", "key"])
+    kept = kept.select("region", "id", "key", "joined").distinct().join(texts, ["id", "key"])
+    return links, kept.select("region", "id", "text", "joined")
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Regions that pivots don't part, as regions of two blocks each, of about `most` shingles together."""
+    blocks = F.greatest(F.ceil(2 * F.col("shingles") / most), F.lit(1)).cast("int")
+    placed = members.join(sizes.select("region", blocks.alias("blocks")), "region").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "id", "text", "joined")
 
 
 def _likely(d: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
@@ -342,52 +499,66 @@ def _likely(d: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
     fixed size. It saves shuffling the texts of all others; when it fills up it lets more pass, never fewer."""
     at = F.pmod(F.xxhash64("id"), F.lit(bits))
     rows = chosen.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("map")).collect()
-    table = np.zeros(bits + (1 << 15), bool)
+    table = np.zeros(bits // 8 + (1 << 12), np.uint8)
     for row in rows:  # bucket k holds the numbers from (k - 1) * 32768 + 1 on, bucket 0 only 0
-        found = np.unpackbits(np.frombuffer(bytes(row["map"]), np.uint8), bitorder="little")
-        begin = (row["k"] - 1) * (1 << 15) + 1 if row["k"] else 0
-        stop = min(begin + len(found), len(table))
-        table[begin:stop] |= found[: stop - begin].astype(bool)
-    held = d.sparkSession.sparkContext.broadcast(np.packbits(table))
+        begin = row["k"] << 12 if row["k"] else None
+        part = np.frombuffer(bytes(row["map"]), np.uint8)
+        if begin is None:
+            table[0] |= part[0] & 1
+        else:
+            table[begin : begin + len(part)] |= part[: len(table) - begin]
+    held = table.tobytes()  # in the task's closure, which Spark drops with the job
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits_set = np.frombuffer(held, np.uint8)
         for batch in batches:
+            # number h is bit (h - 1) % 32768 of bucket (h + 32767) // 32768, and 0 that of bucket 0
             h = batch.column(2).to_numpy()
-            keep = held.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1
-            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+            place = np.where(h > 0, h - 1 + (1 << 15), 0)
+            yield batch.select([0, 1]).filter(pa.array((bits_set[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
 
     return d.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).mapInArrow(run, "doc_id long, text string")
 
 
-def links_of(d: DataFrame, sets: DataFrame, width: int, percent: float, small: int, most: int, cells: int) -> DataFrame:
+def links_of(d: DataFrame, sets: DataFrame, width: int, percent: float, small: int, most: int, block: int = 2048) -> DataFrame:
     """Links (a, b) that connect what the links of all pairs connect that share a region.
 
-    `sets` is (id, n, pivots, counts), kept by the caller: a set's size, its regions and its shingles per cell;
+    `sets` is (id, n, pivots, sketch), kept by the caller: a set's size, its regions and its sketch;
     `d` is (doc_id, text) with the texts of these ids. Pairs are tested exactly, those in large regions too.
     """
-    spark = d.sparkSession
-    regions = sets.select(F.explode("pivots").alias("pivot"), "id", "n").repartition(partitions(spark), "pivot").sortWithinPartitions("pivot", "n", "id")
-    listed = durable(_pairs(regions, percent, small))
-    size = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
-    pairs = listed.where("not large").select("a", "b").distinct()
-    near = _window(pairs.join(size("a"), "a").join(size("b"), "b"), cells, percent)
-    large = listed.where("large").select(F.col("a").alias("id"), F.col("b").alias("pivot"))
-    near = durable(near.unionByName(_window_large(large, sets, cells, percent, 2048)))
-    merged = durable(connected(near))
-
-    members = _likely(d, merged).join(merged, F.col("doc_id") == F.col("id")).select(F.col("component").alias("region"), "id", "text")
-    weights = merged.join(sets.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("component").agg(F.sum("n").alias("shingles"), F.count("*").alias("m"))
-    large = durable(weights.where(F.col("shingles") > most).select(F.col("component").alias("region")))
-    plain = members.join(large, "region", "left_anti").select("region", "id", "text", F.col("id").alias("joined"), F.lit(True).alias("home"))
-    links = _join_regions(plain, width, percent, most)
-    if not large.isEmpty():
-        average = max(1, int(sets.agg(F.avg("n")).first()[0]))
-        star, cut = _cut(members.join(large, "region"), width, percent, max(2, most // average))
-        links = links.unionByName(star).unionByName(_join_regions(cut, width, percent, most))
-    return links
-
-
-def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int = 24, most: int = 8_000_000, cells: int = CELLS) -> DataFrame:
+    merged = durable(connected(_near(sets, percent, small, block)))
+    weights = merged.join(sets.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("component").agg(F.sum("n").alias("shingles"))
+    weights = durable(weights.select(F.col("component").alias("region"), "shingles"))
+    members = _likely(d, merged).join(merged, F.col("doc_id") == F.col("id")).select(F.col("component").alias("region"), "id", "text", F.col("id").alias("joined"))
+    large = weights.where(F.col("shingles") > most)
+    if large.isEmpty():
+        return durable(_join_regions(members, width, percent))
+    members = durable(members)
+    links = [durable(_join_regions(members.join(large, "region", "left_anti"), width, percent))]
+    members, before, level = durable(members.join(large.select("region"), "region", "left_semi")), None, 0
+    size_of = durable(sets.groupBy("id").agg(F.sum("n").alias("n")))
+    while True:
+        sizes = durable(members.select("region", "id").join(size_of, "id").groupBy("region").agg(F.sum("n").alias("shingles")))
+        fits = sizes.where(F.col("shingles") <= most)
+        links.append(durable(_join_regions(members.join(fits, "region", "left_semi"), width, percent)))
+        sizes = durable(sizes.where(F.col("shingles") > most))
+        total = sizes.agg(F.sum("shingles")).first()[0]
+        if total is None:
+            break
+        members = durable(members.join(sizes.select("region"), "region", "left_semi"))
+        if before is not None and total > 0.7 * before:
+            links.append(durable(_join_regions(_in_blocks(members, sizes, most), width, percent)))
+            break
+        found, members = _divide(members, sizes, width, percent, most, level)
+        links.append(found)
+        members, before, level = durable(members), total, level + 1
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int = 24, most: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when 100 * intersection >= percent * union of their sets of `width`-word
@@ -399,7 +570,7 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int
     regions whose pairs are listed, `most` the shingles of a region that one task joins;
     both only change the plan, not the result.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     survey = durable(_survey(d, width))
     each = survey.where("n is not null").select("doc_id", "n", "h1", "h2")
@@ -408,16 +579,16 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int
     # at most (mean set size) * 1000 shingles can reach a thousandth of the documents, so the list stays small
     rows = counted.where(F.col("seen") >= max(8, total // 1000)).collect()
     rows.sort(key=lambda r: r["shingle"] % (1 << 64))
-    hot = spark.sparkContext.broadcast((np.array([r["shingle"] % (1 << 64) for r in rows], U64), np.array([r["seen"] for r in rows], np.int64)))
+    common, often = np.array([r["shingle"] % (1 << 64) for r in rows], U64), np.array([r["seen"] for r in rows], np.int64)
 
     classes = durable(each.where("doc_id is not null and n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     tagged = durable(each.join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "rep"))
-    replicas = _replicas(d.where("doc_id is not null"), width, percent, hot, cells)
+    replicas = _replicas(d.where("doc_id is not null"), width, percent, common, often)
     c = classes.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k0"), "rep")
     sets = replicas.join(c, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("k0")))
-    sets = durable(sets.select(F.col("doc_id").alias("id"), "n", "h1", "h2", "pivots", "counts").dropDuplicates(["id", "n", "h1", "h2"]))
+    sets = durable(sets.select(F.col("doc_id").alias("id"), "n", "h1", "h2", "pivots", "sketch").dropDuplicates(["id", "n", "h1", "h2"]))
 
-    links = links_of(d, sets, width, percent, small, most, cells)
+    links = links_of(d, sets, width, percent, small, most)
     # documents with rows in several classes connect these
     least = tagged.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     links = links.unionByName(tagged.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))

@@ -18,9 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.llm import jaccard, wordhash
-from docketspark.llm.common import durable, partitions
+from docketspark.llm.common import durable, partitions, small_batches
+from docketspark.llm.components import connected
 
-WIDTH, PERMUTATIONS, BANDS, THRESHOLD = 5, 128, 32, 0.8
+WIDTH, PERMUTATIONS, BANDS, THRESHOLD = 5, 128, 25, 0.8
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -172,9 +173,12 @@ def signed(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, signature array<long>")
 
 
-def _banded(docs: DataFrame, bands: int, permutations: int, width: int, cells: int) -> DataFrame:
-    """Per row with words: doc_id, key (a digest of the text), n, pivots (a hash per band), counts (see jaccard)."""
-    schema = "doc_id long, key binary, n long, pivots array<long>, counts binary"
+def _banded(docs: DataFrame, bands: int, permutations: int, width: int) -> DataFrame:
+    """Per row with words: doc_id, key (a digest of the text), n, pivots (a hash per band), sketch (see jaccard).
+
+    A band has permutations // bands values, of the first permutations.
+    """
+    schema = "doc_id long, key binary, n long, pivots array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +187,8 @@ def _banded(docs: DataFrame, bands: int, permutations: int, width: int, cells: i
                 texts = all_texts[begin:end]
                 values, offsets = jaccard._sets(texts, width)
                 n = np.diff(offsets)
-                cell = np.repeat(np.arange(len(n)) * cells, n) + (values >> np.uint64(40)).astype(np.int64) % cells
-                counts = np.bincount(cell, minlength=len(n) * cells).clip(max=255).astype(np.uint8).reshape(-1, cells)
-                signed = signatures(texts, permutations, width).reshape(len(n), bands, -1).astype(np.uint64)
+                drawn = jaccard.sketches(values, offsets)
+                signed = signatures(texts, permutations, width)[:, : permutations // bands * bands].reshape(len(n), bands, -1).astype(np.uint64)
                 marks = np.arange(bands, dtype=np.uint64)[None, :].repeat(len(n), 0)
                 for k in range(signed.shape[2]):
                     marks = wordhash.mix(marks * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, k])
@@ -196,7 +199,7 @@ def _banded(docs: DataFrame, bands: int, permutations: int, width: int, cells: i
                         pa.array([hashlib.sha256(texts[i]).digest() for i in full], pa.binary()),
                         pa.array(n[full], pa.int64()),
                         pa.array(list(marks[full].view(np.int64)), pa.list_(pa.int64())),
-                        pa.array([counts[i].tobytes() for i in full], pa.binary()),
+                        pa.array([drawn[i] for i in full], pa.binary()),
                     ],
                     [x.split()[0] for x in schema.split(", ")],
                 )
@@ -205,7 +208,7 @@ def _banded(docs: DataFrame, bands: int, permutations: int, width: int, cells: i
 
 
 def classes_of(
-    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, permutations: int = PERMUTATIONS, width: int = WIDTH, small: int = 24, most: int = 8_000_000
+    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, permutations: int = PERMUTATIONS, width: int = WIDTH, small: int = 24, most: int = 1_000_000
 ) -> DataFrame:
     """(doc_id, class_id) of the documents that have near copies: the least doc_id of their class.
 
@@ -215,12 +218,11 @@ def classes_of(
     the exact Jaccard similarity of the word shingles is at least `threshold`; linked
     documents form classes. Rows with equal doc_id are one document with the links of all.
     """
-    from docketspark.llm.components import connected
-
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    rows = durable(_banded(d, bands, permutations, width, jaccard.CELLS))
-    sets = durable(rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "pivots", "counts"))))
-    links = jaccard.links_of(d, sets, width, 100 * threshold, small, most, jaccard.CELLS)
+    rows = durable(_banded(d, bands, permutations, width))
+    sets = durable(rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "pivots", "sketch"))))
+    links = jaccard.links_of(d, sets, width, 100 * threshold, small, most)
     copies = rows.select("key", "doc_id").join(sets.select("key", "id"), "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     return connected(durable(links.unionByName(copies))).select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"))
 
