@@ -83,7 +83,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
                 first = np.zeros(len(n), bool)
                 first[np.unique(h1, return_index=True)[1]] = True
                 found, seen = np.unique(values[np.repeat(first, n)], return_counts=True)
-                often = seen >= max(4, len(n) // 500)
+                often = seen >= max(2, len(n) // 1000)
                 none = pa.nulls(int(often.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(_signed(found[often])), pa.array(seen[often])], names)
 
@@ -221,12 +221,12 @@ def _ends(pairs: DataFrame, sets: DataFrame, salts: int = 1) -> DataFrame:
     return left.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")).join(asked, ["b", "salt"]).drop("salt")
 
 
-def _window_blocks(rows: DataFrame, percent: float, most: int = 2048) -> DataFrame:
+def _window_blocks(rows: DataFrame, sets: DataFrame, percent: float, most: int) -> DataFrame:
     """At least one candidate of each member and each component that it has a candidate in, within regions.
 
-    `rows` is (region, group, id, n, sketch, comp): pairs of one region are tested whose comps differ and whose
+    `rows` is (region, group, id, comp): pairs of one region are tested whose comps differ and whose
     groups are 0 and 0, or 0 and 1; pairs of two members of group 1 never are. Members are dealt into blocks of about
-    `most` of a group; each pair of blocks is a task.
+    `most` of a group; each pair of blocks is a task. Sketches join their rows after the dealing, so they are shuffled once.
     """
     sizes = rows.groupBy("region").agg(F.sum(1 - F.col("group")).alias("m0"), F.sum("group").alias("m1"))
     b = lambda k: F.greatest(F.ceil(F.col(f"m{k}") / most), F.lit(1)).cast("int")
@@ -237,7 +237,7 @@ def _window_blocks(rows: DataFrame, percent: float, most: int = 2048) -> DataFra
     among = F.transform(upto("b0"), lambda x: task(F.least("own", x), F.greatest("own", x), 0))
     across = F.when(F.col("group") == 0, F.transform(upto("b1"), lambda x: task(F.col("own"), x, 1))).otherwise(F.transform(upto("b0"), lambda x: task(x, F.col("own"), 1)))
     tasks = F.when(F.col("group") == 0, F.concat(among, across)).otherwise(across)
-    rows = rows.withColumn("task", F.explode(tasks)).select("region", "task", "group", "own", "id", "n", "sketch", "comp")
+    rows = rows.withColumn("task", F.explode(tasks)).select("region", "task", "group", "own", "id", "comp").join(sets.select("id", "n", "sketch"), "id")
 
     def run(table: pa.Table) -> pa.Table:
         kind, cut = table.column("task")[0].as_py()["kind"], table.column("task")[0].as_py()
@@ -318,8 +318,8 @@ def _near(sets: DataFrame, percent: float, small: int, block: int) -> DataFrame:
     few = few.select("pivot", "id").join(sets.select("id", "n"), "id").select("pivot", "id", "n").repartition(partitions(spark), "pivot").sortWithinPartitions("pivot", "n", "id")
     pairs = listed.where("not large").select("a", "b").unionByName(_pairs(few, percent, small).select("a", "b")).distinct()
     blocks = many.select(F.xxhash64(F.lit(0), "pivot").alias("region"), F.lit(0).alias("group"), "id", "comp")
-    blocks = facing.select("region", "group", "id", "comp").unionByName(blocks).join(sets.select("id", "n", "sketch"), "id")
-    return durable(stars.unionByName(_window(_ends(pairs, sets), percent)).unionByName(_window_blocks(blocks, percent, block)))
+    blocks = facing.select("region", "group", "id", "comp").unionByName(blocks)
+    return durable(stars.unionByName(_window(_ends(pairs, sets), percent)).unionByName(_window_blocks(blocks, sets, percent, block)))
 
 
 class Region:
@@ -520,7 +520,7 @@ def _likely(d: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
     return d.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).mapInArrow(run, "doc_id long, text string")
 
 
-def links_of(d: DataFrame, sets: DataFrame, width: int, percent: float, small: int, most: int, block: int = 2048) -> DataFrame:
+def links_of(d: DataFrame, sets: DataFrame, width: int, percent: float, small: int, most: int, block: int = 512) -> DataFrame:
     """Links (a, b) that connect what the links of all pairs connect that share a region.
 
     `sets` is (id, n, pivots, sketch), kept by the caller: a set's size, its regions and its sketch;
@@ -576,8 +576,8 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, small: int
     each = survey.where("n is not null").select("doc_id", "n", "h1", "h2")
     total = each.count()
     counted = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    # at most (mean set size) * 1000 shingles can reach a thousandth of the documents, so the list stays small
-    rows = counted.where(F.col("seen") >= max(8, total // 1000)).collect()
+    # at most (mean set size) * 5000 shingles can reach a 5000th of the documents, so the list stays small at every size
+    rows = counted.where(F.col("seen") >= max(8, total // 5000)).collect()
     rows.sort(key=lambda r: r["shingle"] % (1 << 64))
     common, often = np.array([r["shingle"] % (1 << 64) for r in rows], U64), np.array([r["seen"] for r in rows], np.int64)
 

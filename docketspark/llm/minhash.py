@@ -71,19 +71,25 @@ def edited(text: str, following: str) -> str:
 FINGERPRINT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
+FRAMES = "lot int, ids array<long>, ties array<long>, own array<boolean>, lengths array<long>, body binary"
+#: Sub-lots of the rows without doc_id, by their hash.
+NULL_LOTS = 1024
+
+
 def _in_lots(docs: DataFrame, lots: int, classes: DataFrame | None = None) -> DataFrame:
-    """Documents by descending doc_id in lots: lot, own, doc_id, tie, text, class_id.
+    """Documents in lots of descending doc_id, as frames (see FRAMES): a task's rows of one lot, their texts compressed.
 
-    Besides its own rows a lot has, as its last, the first row of the next lot (of the
-    first lot after the last one). Lots are ranges of doc_id between quantiles; null ids
-    come last; equal ids by a hash of the text. Rows of `classes` (doc_id, class_id) come in
-    the lot of their doc_id, without a text; only they have a class_id.
+    Besides its own rows a lot has the first row of the next lot (of the first lot after the
+    last one), which isn't its own. Lots are ranges of doc_id between quantiles; null ids
+    come last, dealt by a hash of the text, which also orders equal ids. Rows of
+    `classes` (doc_id, class_id) come in the lot of their doc_id as frames without a body: ids and, in `ties`, classes.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = sorted({int(x) for x in d.approxQuantile("doc_id", [i / lots for i in range(1, lots)], 0.2 / lots)}, reverse=True) if lots > 1 else []
     bounds = F.array(*[F.lit(-x) for x in cuts]).cast("array<long>")
-    lot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_bisect(bounds, -F.col("doc_id"), len(cuts))).cast("int")
-    d = d.withColumn("lot", lot).withColumn("tie", F.xxhash64("text"))
+    last = NULL_LOTS // 2 - 1 - F.shiftright(F.xxhash64("text"), 64 - NULL_LOTS.bit_length() + 1)  # falls as the hash rises
+    lot_of = lambda null: F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + null).otherwise(_bisect(bounds, -F.col("doc_id"), len(cuts))).cast("int")
+    d = d.withColumn("lot", lot_of(last)).withColumn("tie", F.xxhash64("text"))
     firsts = d.groupBy("lot").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
     after = F.coalesce(F.lead("lot").over(W.orderBy("lot")), F.lit(None))
     order = firsts.select("lot", after.alias("after"), F.min("lot").over(W.partitionBy()).alias("least"))
@@ -92,13 +98,38 @@ def _in_lots(docs: DataFrame, lots: int, classes: DataFrame | None = None) -> Da
     heads = F.broadcast(durable(heads))  # one row per lot
     copies = (
         d.join(heads, (F.col("lot") == F.col("head_lot")) & F.struct("doc_id", "tie").eqNullSafe(F.col("first")))
-        .select(F.col("to").alias("lot"), F.lit(False).alias("own"), "doc_id", "tie", "text")
+        .select(F.col("to").alias("lot"), F.lit(False).alias("own"), "doc_id", "tie", "text").dropDuplicates(["lot"])
     )
-    placed = d.select("lot", F.lit(True).alias("own"), "doc_id", "tie", "text").unionByName(copies).withColumn("class_id", F.lit(None).cast("long"))
+    placed = d.select("lot", F.lit(True).alias("own"), "doc_id", "tie", "text").unionByName(copies)
+    framed = placed.mapInArrow(_frames, FRAMES)
     if classes is None:
-        return placed
-    nothing = (F.lit(None).cast("long").alias("tie"), F.lit(None).cast("string").alias("text"))
-    return placed.unionByName(classes.select(lot.alias("lot"), F.lit(True).alias("own"), "doc_id", *nothing, "class_id"))
+        return framed
+    nothing = (F.lit(None).cast("array<boolean>").alias("own"), F.lit(None).cast("array<long>").alias("lengths"), F.lit(None).cast("binary").alias("body"))
+    return framed.unionByName(classes.where("doc_id is not null").select(lot_of(F.lit(0)).alias("lot"), F.array("doc_id").alias("ids"), F.array("class_id").alias("ties"), *nothing))
+
+
+def _frames(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (lot, own, doc_id, tie, text) as frames. A task holds about `most` bytes of texts."""
+    codec = pa.Codec("zstd", compression_level=3)
+    held: dict[int, list[tuple]] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lot, rows in sorted(held.items()):
+            own, ids, ties, texts = zip(*rows, strict=True)
+            body = codec.compress(b"".join(texts), asbytes=True)
+            lists = [pa.array([list(x)], pa.list_(t)) for x, t in ((ids, pa.int64()), (ties, pa.int64()), (own, pa.bool_()), (map(len, texts), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([lot], pa.int32()), *lists, pa.array([body], pa.binary())], ["lot", "ids", "ties", "own", "lengths", "body"])
+        held.clear()
+
+    for batch in batches:
+        for lot, own, doc_id, tie, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
+            held.setdefault(lot, []).append((own, doc_id, tie, text))
+            size += len(text)
+            if size >= most:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 def _bisect(bounds: Column, x: Column, n: int) -> Column:
@@ -118,45 +149,51 @@ def fingerprint(docs: DataFrame, lots: int | None = None, classes: DataFrame | N
     one with words are not (0). The next document goes by descending doc_id, null ids
     last, equal ids by a hash of the text; after the last comes the first, so a single
     document is its own next. Repeated rows each give a row. Texts are shuffled once, by
-    range of doc_id, and read in order; a task holds one batch of texts.
+    range of doc_id and compressed; a task holds the texts of one lot.
     """
+    small_batches(docs.sparkSession)
     lots = lots or 4 * partitions(docs.sparkSession)
-    placed = _in_lots(docs, lots, classes)
-    ordered = placed.repartition(partitions(docs.sparkSession), "lot").sortWithinPartitions(
-        "lot", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc_nulls_last("class_id"), F.desc("tie")
-    )
+    framed = _in_lots(docs, lots, classes).repartition(partitions(docs.sparkSession), "lot").sortWithinPartitions("lot")
+
+    def of_lot(rows: list[tuple[bool, int | None, int, str]], marked: dict[int, int]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]), reverse=True)
+        waits = None  # the row before: doc_id, text, signature
+        for begin, end in wordhash.chunks([r[3] for r in rows], 1 << 20):
+            part = rows[begin:end]
+            pairs = []  # doc_id, text, its edited text, signature, the next one's
+            for (own, doc_id, _, text), signature in zip(part, signatures([r[3].encode() for r in part]), strict=True):
+                if waits is not None:
+                    pairs.append((waits[0], waits[1], edited(waits[1], text), waits[2], signature))
+                waits = (doc_id, text, signature) if own else None
+            if not pairs:
+                continue
+            changed = signatures([p[2].encode() for p in pairs])
+            columns = zip(*[
+                (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), digest(s), digest(e), likeness(s, e), likeness(s, t), marked.get(doc_id, doc_id))
+                for (doc_id, text, new, s, t), e in zip(pairs, changed, strict=True)
+            ], strict=True)
+            types = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2 + [pa.int64()]
+            names = [x.split()[0] for x in FINGERPRINT.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waits = None  # the row before: lot, doc_id, text, signature, class_id
-        marked = (None, None)  # the last doc_id with a class, and this; it comes before the texts of the doc_id
+        codec = pa.Codec("zstd")
+        now, rows, marked = None, [], {}
         for batch in batches:
-            rows = []
-            for lot, own, doc_id, text, class_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text is None:
-                    marked = (doc_id, class_id)
-                else:
-                    rows.append((lot, own, doc_id, text, marked[1] if marked[0] == doc_id else doc_id))
-            for begin, end in wordhash.chunks([r[3] for r in rows], 1 << 21):
-                part = rows[begin:end]
-                signed = signatures([r[3].encode() for r in part])
-                pairs = []  # doc_id, text, its edited text, signature, the next one's
-                for row, signature in zip(part, signed, strict=True):
-                    lot, own, doc_id, text, class_id = row
-                    if waits is not None and waits[0] == lot:
-                        pairs.append((waits[1], waits[2], edited(waits[2], text), waits[3], signature, waits[4]))
-                    waits = (lot, doc_id, text, signature, class_id) if own else None
-                if not pairs:
+            for lot, ids, ties, own, lengths, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lot != now:
+                    yield from of_lot(rows, marked)
+                    now, rows, marked = lot, [], {}
+                if body is None:
+                    marked |= zip(ids, ties, strict=True)
                     continue
-                changed = signatures([p[2].encode() for p in pairs])
-                columns = zip(*[
-                    (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), digest(s), digest(e), likeness(s, e), likeness(s, t), class_id)
-                    for (doc_id, text, new, s, t, class_id), e in zip(pairs, changed, strict=True)
-                ], strict=True)
-                types = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2 + [pa.int64()]
-                names = [x.split()[0] for x in FINGERPRINT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return ordered.select("lot", "own", "doc_id", "text", "class_id").mapInArrow(run, FINGERPRINT)
+                texts, at = codec.decompress(body, sum(lengths), asbytes=True) if sum(lengths) else b"", 0
+                for mine, doc_id, tie, length in zip(own, ids, ties, lengths, strict=True):
+                    rows.append((mine, doc_id, tie, texts[at : at + length].decode()))
+                    at += length
+        yield from of_lot(rows, marked)
+
+    return framed.mapInArrow(run, FINGERPRINT)
 
 
 def signed(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH) -> DataFrame:

@@ -1,10 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each source's words form streams that are packed into blocks of `block` words. One draw
-settles how many blocks each source gives, dealt over output shards of about `slots` slots; a source's slots,
-counted through all shards, map through a permutation of its block indexes, pass after
-pass; the slots' block indexes are then joined with the blocks. A document's share of the
-mix is what its stretches of drawn blocks hold.
+Each source's words form streams that are packed into blocks of `block` words. A source's
+slots are as many as it is due; each falls into an output shard of about `slots` slots by chance, so a
+source's counts over the shards are a multinomial draw, given their sum. A source's slots map
+through a pseudorandom permutation of its block indexes, one to each pass; the slots' block
+indexes are then joined with the blocks. A document's share of the mix is what its stretches of
+drawn blocks hold.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import durable
+from docketspark.llm.common import durable, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-#: Multipliers of the permutations; one that doesn't divide the number of blocks is a bijection.
-PRIMES = (49_979_687, 67_867_967, 86_028_121)
 MICRO = 1_000_000
+#: A table of sources of at most so many rows is broadcast; a larger one is joined over salts.
+BROADCAST_ROWS, SALTS = 100_000, 64
+#: Rounds of the permutation.
+ROUNDS = 16
 
 
 def n_words(text: Column) -> Column:
@@ -50,12 +53,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return t.select("source", "source_size", "weight", F.least("bound", F.coalesce(F.col("level") * F.col("weight"), F.col("bound"))).alias("target"))
 
 
-def permuted(index: Column, n: Column, seed: Column) -> Column:
-    """A bijection of 0 .. n - 1: an affine map modulo n."""
-    by = F.lit(1)
-    for prime in reversed(PRIMES):
-        by = F.when(n % prime != 0, F.lit(prime)).otherwise(by)
-    return F.pmod((index * by + F.pmod(seed, n)).cast("long"), n)
+def permuted(index: Column, n: Column, *seed: Column) -> Column:
+    """A pseudorandom bijection of 0 .. n - 1, keyed by the seed: in each round an index swaps, or not, with its partner, by one
+    hashed bit that both share."""
+
+    def turn(x: Column, r: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(*seed, r), n) - x, n)
+        return F.when(F.xxhash64(*seed, r, F.greatest(x, partner)).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), turn)
+
+
+def with_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` joined with a table of one row per source, null sources too: by broadcast if it is small, else over
+    salts, for one source may hold a third of all rows."""
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table.withColumnRenamed("source", "s"))
+        return rows.join(table, F.col("source").eqNullSafe(F.col("s")), how).drop("s")
+    table = table.withColumnRenamed("source", "s").withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    return rows.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("z")), how).drop("s", "z", "salt")
 
 
 def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 20240229, most: int = 3, rows_each: int = 2000) -> DataFrame:
@@ -65,12 +82,12 @@ def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 2
     mix holds the document `whole` times in full and, once more, the stretches `extra`
     (place of the first word, number of words). A null text has size 0, takes part with
     nothing and is returned; a null source is a source of its own; equal rows are told
-    apart by a row number that is kept in a checkpoint. The block draw is systematic
-    through all shards together: it has the multinomial's means and the least spread, so a
-    source's slots are what it is due within one, however many shards there are, and every
-    shard has its share of them within one. One number decides it, a hash of `seed`; so
-    reruns agree. A source is never due more than `most` passes over its blocks, so a
-    document never gives more than `most` times its words.
+    apart by a row number that is kept in a checkpoint. How many slots a source has in all
+    is settled by one systematic draw, so it is what it is due within one, however many
+    shards there are; a shard's count of a source varies as a multinomial's does (its square root,
+    about). Hashes of `seed` decide everything, so reruns agree. A source is never due
+    more than `most` passes over its blocks, so a document never gives more than `most`
+    times its words.
     """
     sized = durable(
         docs.select(
@@ -80,7 +97,7 @@ def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 2
             F.xxhash64("doc_id", "source", "text").alias("key"),
         ).withColumn("rid", F.monotonically_increasing_id())
     )
-    totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most=most)
+    totals = durable(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most=most))
 
     # streams: a source's documents dealt over buckets, so that no window holds a whole source
     buckets = max(1, sized.count() // rows_each)
@@ -107,22 +124,14 @@ def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 2
         .withColumn("nth", F.row_number().over(by_source))
     )
 
-    # one systematic draw: a source gets the whole numbers in its part of all slots, dealt evenly over the shards
-    point = F.pmod(F.xxhash64(F.lit(seed)), F.lit(MICRO))
-    edge = lambda c: ((c + point) - F.pmod(c + point, F.lit(MICRO))) / MICRO
-    counts = due.where("due > 0").withColumn("total", (edge(F.col("upto")) - edge(F.col("upto") - F.col("due"))).cast("long"))
-    counts = counts.withColumn("shards", F.greatest(F.ceil(F.col("all") / (slots * MICRO)).cast("long"), F.lit(1)))
-    drawn = counts.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    drawn = drawn.withColumn("slot", F.expr("shard * total div shards")).withColumn("n", F.expr("(shard + 1) * total div shards") - F.col("slot")).where("n > 0")
-    slot = drawn.withColumn("k", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)))
-    index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("nth")))
+    slot = drawn_slots(due, slots, seed)
+    index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("nth"), F.floor(F.col("k") / F.col("blocks")))
     draws = slot.select("nth", index.alias("index")).groupBy("nth", "index").agg(F.count("*").alias("draws"))
 
     # the documents' stretches of blocks, joined with the draws by block index
     firsts = lots.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "first")
     placed = held.join(firsts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    nths = F.broadcast(due.select(F.col("source").alias("s"), "nth"))
-    placed = placed.join(nths, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    placed = with_source(placed, due.select("source", "nth"))
     span = F.sequence((F.col("start") / block).cast("long"), ((F.col("start") + F.col("size") - 1) / block).cast("long"))
     cut = placed.withColumn("lot", F.explode(span))
     left, right = F.greatest(F.col("lot") * block, "start"), F.least((F.col("lot") + 1) * block, F.col("start") + F.col("size"))
@@ -134,15 +143,32 @@ def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 2
         F.collect_list(F.struct("at", "words", "draws")).alias("stretches"),
     )
     extra = F.array_sort(F.filter("stretches", lambda x: x["draws"] > F.col("whole")))
-    t = F.broadcast(totals.select(F.col("source").alias("s"), "source_size", "target"))
     out = sized.join(given.select("rid", "taken", "whole", extra.alias("extra")), "rid", "left")
-    out = out.join(t, F.col("source").eqNullSafe(F.col("s")), "left")
+    out = with_source(out, totals.select("source", "source_size", "target"), "left")
     return out.select(
         "doc_id", "source", "key", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("whole", F.lit(0)).alias("whole"), "extra",
     )
 
 
+def drawn_slots(due: DataFrame, slots: int, seed: int) -> DataFrame:
+    """The slots (nth, blocks, k, shard) of sources (nth, blocks, due, upto, all), due in millionths of a slot.
+
+    One systematic draw settles a source's number of slots: the whole numbers in its part of all
+    slots. Each slot's shard is a hash's, so counts by shard are multinomial. Sources are cut into
+    runs of `slots` slots, which are dealt over all tasks before they are listed.
+    """
+    point = F.pmod(F.xxhash64(F.lit(seed)), F.lit(MICRO))
+    edge = lambda c: ((c + point) - F.pmod(c + point, F.lit(MICRO))) / MICRO
+    counts = due.where("due > 0").withColumn("total", (edge(F.col("upto")) - edge(F.col("upto") - F.col("due"))).cast("long")).where("total > 0")
+    counts = counts.withColumn("shards", F.greatest(F.ceil(F.col("all") / (slots * MICRO)).cast("long"), F.lit(1)))
+    runs = counts.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / slots))))
+    runs = runs.repartition(partitions(due.sparkSession), "nth", "run")
+    stop = F.least((F.col("run") + 1) * slots, F.col("total")) - 1
+    listed = runs.withColumn("k", F.explode(F.sequence(F.col("run") * slots, stop)))
+    return listed.select("nth", "blocks", "k", F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "nth", "k"), F.col("shards")).alias("shard"))
+
+
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document; see mix_plan."""
     return mix_plan(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
@@ -156,14 +182,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix_plan(docs, **options)
     again = lambda by: F.row_number().over(W.partitionBy(by).orderBy(by))
-    plan = plan.where("taken > 0").select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra"))
-    plan = plan.withColumn("_dup", again("_key"))
-    texts = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"))).withColumn("_dup", again("_key"))
-    both = texts.join(plan, ["_key", "_dup"])
+    plan = plan.where("taken > 0").select(F.col("key").alias("\u0001key"), F.col("whole").alias("\u0001whole"), F.col("extra").alias("\u0001extra"))
+    plan = plan.withColumn("\u0001dup", again("\u0001key"))
+    texts = docs.withColumn("\u0001key", F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"))).withColumn("\u0001dup", again("\u0001key"))
+    both = texts.join(plan, ["\u0001key", "\u0001dup"])
     words = F.split(F.regexp_replace("text", f"^{GAP}", ""), GAP)
-    part = F.array_join(F.flatten(F.transform("_extra", lambda x: F.slice(words, (x["at"] + 1).cast("int"), x["words"].cast("int")))), " ")
-    copies = F.array_repeat(F.col("text"), F.col("_whole").cast("int"))
-    rows = F.when(F.size("_extra") > 0, F.concat(copies, F.array(part))).otherwise(copies)
+    part = F.array_join(F.flatten(F.transform("\u0001extra", lambda x: F.slice(words, (x["at"] + 1).cast("int"), x["words"].cast("int")))), " ")
+    copies = F.array_repeat(F.col("text"), F.col("\u0001whole").cast("int"))
+    rows = F.when(F.size("\u0001extra") > 0, F.concat(copies, F.array(part))).otherwise(copies)
     out = both.withColumn("text", F.explode(rows))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
