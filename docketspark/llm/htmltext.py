@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketspark.llm.common import small_batches
+
 #: Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-SILENT = frozenset("head title script style noscript template svg iframe object canvas select button textarea option datalist".split())
+SILENT = frozenset("head title script style noscript template svg iframe select textarea option datalist".split())
 #: Elements that leave an open head open; the start of any other ends it.
 IN_HEAD = frozenset("base link meta title script style noscript template".split())
 BLOCK = frozenset(
@@ -35,7 +37,13 @@ ENDS_P = BLOCK - frozenset("html head body tr td th thead tbody tfoot caption su
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 BARS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|"""
+    r"""</?([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|[^'">]|["'](?=[^<>]*>))*+)(?:>|$)""",
+    re.S,
+)
+#: A tag whose quotes don't add up ends at the next `>`.
+_LOOSE = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Words in class, id and role that the model may use; each is a feature.
@@ -78,7 +86,8 @@ def parse(source: str) -> list[Node]:
     nodes = [Node("html", -1)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones carry their block's node
     parts: list[str] = []
-    linked = at = silent = 0
+    linked = at = silent = anchors = 0
+    opened: dict[str, list[int]] = {}  # places in the stack of each element's open tags
 
     def flush() -> None:
         nonlocal linked
@@ -96,22 +105,31 @@ def parse(source: str) -> list[Node]:
             pop(len(stack) - 1)
         if text and not silent:
             parts.append(text)
-            if any(t == "a" for t, _ in stack[-6:]):
+            if anchors:
                 linked += len(text)
 
     def pop(until: int) -> None:
-        nonlocal silent
+        nonlocal silent, anchors
         for tag, _ in stack[until:]:
             silent -= tag in SILENT
+            anchors -= tag == "a"
+            opened[tag].pop()
         del stack[until:]
 
+    def push(tag: str, owner: int) -> None:
+        nonlocal silent, anchors
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, owner))
+        silent += tag in SILENT
+        anchors += tag == "a"
+
     while at < len(source):
         begin = source.find("<", at)
         if begin < 0:
             put(source[at:])
             break
         put(source[at:begin])
-        token = _TOKEN.match(source, begin)
+        token = _TOKEN.match(source, begin) or _LOOSE.match(source, begin)
         if not token:
             put("<")
             at = begin + 1
@@ -121,20 +139,20 @@ def parse(source: str) -> list[Node]:
             continue
         tag, closing = token[1].lower(), source[begin + 1] == "/"
         if closing:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            place = opened[tag][-1] if opened.get(tag) else 0
             if place:
                 if any(t in BLOCK for t, _ in stack[place:]):
                     flush()
                 pop(place)
             continue
-        head = next((i for i in range(1, len(stack)) if stack[i][0] == "head"), 0)
-        if tag in ("head", "html") and (head or any(t == "body" for t, _ in stack)):
+        head = opened["head"][0] if opened.get("head") else 0
+        if tag in ("head", "html") and (head or opened.get("body")):
             continue
         if head and tag not in IN_HEAD:
             held = [t for t, _ in stack[head + 1 :] if t in ("noscript", "template")]
             if not held or tag == "body" and "template" not in held:
                 pop(head)
-        if tag == "title" and not any(t == "svg" for t, _ in stack):
+        if tag == "title" and not opened.get("svg"):
             end, another = (re.compile(x, re.I).search(source, at) for x in (r"</title[^>]*(?:>|$)", r"<title[\s/>]"))
             if end and not (another and another.start() < end.start()):
                 at = end.end()
@@ -148,25 +166,21 @@ def parse(source: str) -> list[Node]:
             continue
         if tag in BLOCK:
             flush()
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0) if tag in ENDS_P else 0
-            if place:
+            if tag in ENDS_P and opened.get("p"):
+                pop(opened["p"][-1])
+            last = lambda tags: max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+            place = last(CLOSES.get(tag, ()))
+            if place > last(BARS.get(tag, ())):
                 pop(place)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in BARS.get(tag, ()) or tag not in CLOSES:
-                    break
-                if stack[i][0] in CLOSES[tag]:
-                    pop(i)
-                    break
             while len(stack) > 1 and stack[-1][0] not in BLOCK and stack[-1][0] not in SILENT:  # inline elements end with a block's start
                 pop(len(stack) - 1)
             owner = stack[-1][1]
             hints = frozenset(w for _, v in _ATTRIBUTE.findall(token[2]) for w in re.findall(r"[a-z]+", v.lower()) if w in _HINT)
             nodes[owner].children.append(len(nodes))
-            stack.append((tag, len(nodes)))
+            push(tag, len(nodes))
             nodes.append(Node(tag, owner, hints))
         else:
-            stack.append((tag, stack[-1][1]))
-        silent += tag in SILENT
+            push(tag, stack[-1][1])
     flush()
     return nodes
 
@@ -294,7 +308,7 @@ LABELLED = (
 
 
 def labelled_page(source: str) -> tuple[list[Node], np.ndarray]:
-    """Nodes and states of a labelled page: what lies within data-content is content, but for parts hinted off."""
+    """Nodes and states of a labelled page: what lies within data-content is content."""
     marked = re.sub(r"(<\w+)((?:\s[^>]*?)?)\sdata-content", r"\1\2 role=entrystory", source)
     nodes = parse(re.sub(r"role=entrystory", 'role="entry story"', marked))
     y = np.zeros(len(nodes))
@@ -324,6 +338,7 @@ def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     A null or empty html has an empty text. Repeated rows each give a row; other columns are
     ignored. Whole pages are read in one pass without a shuffle.
     """
+    small_batches(pages.sparkSession)
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

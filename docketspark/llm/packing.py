@@ -14,13 +14,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import durable, parts_for
+from docketspark.llm.common import durable, parts_for, small_batches
 
 CAPACITY, END_ID = 1024, 2
 SPECIAL = "<|endoftext|>"
@@ -140,38 +139,46 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 def _round(items: DataFrame, nth: int, groups: int, capacity: int) -> DataFrame:
     """Packs (uid, length) in `groups` groups: uid, length, sequence_id, offset, done."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "uid"], ascending=False)  # the same packing, however rows came
-        lengths = pdf["length"].to_numpy()
+    def run(part: pa.Table) -> pa.Table:
+        lengths, uids = part.column("length").to_numpy(), part.column("uid").to_numpy()
+        order = np.lexsort((-uids, -lengths))  # the same packing, however rows came
+        lengths, uids = lengths[order], uids[order]
         bins, places, free = best_fit(lengths, capacity)
         certified = len(free) <= bound(lengths, capacity)
-        ids = (np.int64(nth) << 56) | (np.int64(pdf["lot"].iloc[0]) << 28) | bins
-        return pd.DataFrame({"uid": pdf["uid"], "length": lengths, "sequence_id": ids, "offset": places, "done": certified | (free[bins] == 0)})
+        ids = (np.int64(nth) << 56) | (np.int64(part.column("lot")[0].as_py()) << 28) | bins
+        return pa.table({"uid": uids, "length": lengths, "sequence_id": ids, "offset": places, "done": certified | (free[bins] == 0)})
 
     lot = F.pmod(F.xxhash64(F.lit(nth), "uid"), F.lit(groups)).cast("long")
-    return items.select("uid", "length", lot.alias("lot")).groupBy("lot").applyInPandas(run, "uid long, length long, sequence_id long, offset long, done boolean")
+    return items.select("uid", "length", lot.alias("lot")).groupBy("lot").applyInArrow(run, "uid long, length long, sequence_id long, offset long, done boolean")
 
 
 def pack(
-    docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | None = None, rows_each: int = 50_000, rounds: int = 4, keep_ids: bool = False
+    docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | None = None, rows_each: int = 50_000, idle: int = 2, keep_ids: bool = False
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if kept).
 
     Pieces of `capacity` ids are sequences of their own. The others are packed in groups
-    of about `rows_each`; at most `rounds` rounds. Equal rows are documents of their
+    of about `rows_each`; rounds go on until every group's count is certified by its bound, or
+    `idle` rounds in a row, each with groups dealt anew, have saved nothing (sequence ids have room for 60). Equal rows are documents of their
     own; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     cut = durable(pieces(docs, capacity, paths, keep_ids))
     items = cut.where(F.col("length") < capacity).select("uid", "length")
     now = durable(_round(items, 1, parts_for(items.count(), rows_each), capacity))
     kept, opened = [now.where("done")], now.where("not done")
-    for nth in range(2, rounds + 1):
+    vain = 0
+    for nth in range(2, 62):
         state = opened.agg(F.count("*").alias("n"), F.count(F.when(F.col("offset") == 0, 1)).alias("bins")).first()
         if not state["n"]:
             break
         again = durable(_round(opened, nth, parts_for(state["n"], rows_each), capacity))
         if again.where("offset = 0").count() >= state["bins"]:
-            break
+            vain += 1
+            if vain == idle or parts_for(state["n"], rows_each) == 1:  # one group packed alike again
+                break
+            continue
+        vain = 0
         kept.append(again.where("done"))
         opened = again.where("not done")
     placed = opened

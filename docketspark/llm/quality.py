@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.llm import wordhash
+from docketspark.llm.common import small_batches
 from docketspark.llm.labelled import held_out, training_sample
 
 #: Bound of the training sample: labelled rows, as they come by a hash of the id.
@@ -112,13 +112,13 @@ def context_vectors(docs: DataFrame, lots: int = 128) -> np.ndarray:
         full = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([rows[i].tobytes() for i in full], pa.binary())], ["lot", "sums"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(part: pa.Table) -> pa.Table:
         total = np.zeros(each * DIMENSIONS, np.int64)
-        for x in pdf["sums"]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame({"lot": pdf["lot"].iloc[:1], "sums": [total.tobytes()]})
+        for x in part.column("sums"):
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"lot": part.column("lot").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "lot int, sums binary").groupBy("lot").applyInPandas(add, "lot int, sums binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "lot int, sums binary").groupBy("lot").applyInArrow(add, "lot int, sums binary")
     out = np.zeros((lots, each * DIMENSIONS))
     for row in parts.collect():  # at most `lots` rows
         out[row["lot"]] = np.frombuffer(row["sums"], np.int64)
@@ -205,11 +205,10 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, rate:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network]:
     """Word vectors from all of `docs`, and the network from at most `most` labelled rows."""
     vectors = word_vectors(context_vectors(docs))
-    held = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pooled(_texts(batch.column(2)), held.value)
+            x = pooled(_texts(batch.column(2)), vectors)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x.tolist(), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
     rows = training_sample(docs, labels, "quality", most, per_class=False).mapInArrow(run, "doc_id long, y int, x array<float>").collect()
@@ -224,14 +223,13 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, ex
     A null or empty text has the score of the zero vector. Repeated rows each give a row.
     Texts are read whole, without a shuffle. `extra` names columns of `docs` to carry along.
     """
+    small_batches(docs.sparkSession)
     extra = extra or []
     vectors, net = train(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast((vectors, net))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)])
     kinds = [f.dataType.simpleString() for f in docs.select(*extra).schema] if extra else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net = held.value
         for batch in batches:
             score = net.probabilities(pooled(_texts(batch.column(1)), vectors))
             yield pa.RecordBatch.from_arrays(

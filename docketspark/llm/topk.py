@@ -80,9 +80,17 @@ class Best:
         self.ids[rows] = np.take_along_axis(all_ids, order, 1)
 
 
-def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, best: Best) -> None:
-    """Brings every row of the tree that can be among a query's best into `best`."""
+def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, best: Best, points: np.ndarray, whole: np.ndarray) -> None:
+    """Brings every row of the tree that can be among a query's best into `best`.
+
+    `points` and `whole` are the tree's rows and the queries in 64-bit integers. Where a score can pass 2 ** 53, products
+    are integers too; where one can pass 2 ** 62, an error says so.
+    """
     norms = np.sqrt((queries**2).sum(axis=1))
+    largest = norms.max() * np.sqrt((tree.points**2).sum(axis=1).max())
+    if largest >= 2.0**62:
+        raise ValueError("a score can pass 2 ** 62")
+    whole, exact = (None, None) if largest < 2.0**53 else (whole, points[tree.order])
     slack = 1e-9 * (norms * np.sqrt((tree.points**2).sum(axis=1).max()) + 1)  # more than the bounds' rounding errors
     ids = ids[tree.order]
     alive: np.ndarray | None = None
@@ -104,7 +112,7 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
         for leaf in np.unique(node[left]):
             rows = left[node[left] == leaf]
             a, b = spans[leaf]
-            scores = (queries[rows] @ tree.points[a:b].T).astype(np.int64)
+            scores = (queries[rows] @ tree.points[a:b].T).astype(np.int64) if whole is None else whole[rows] @ exact[a:b].T
             own = query_ids[rows][:, None] == ids[None, a:b]
             scores[own] = NONE
             best.add(rows, scores, ids[a:b])
@@ -140,11 +148,12 @@ def top_k(
             own = rows[rows["width"] == width]
             if not len(own) or width == 0:
                 continue
-            queries, names = np.array(part["v"].tolist(), float), part["query_id"].to_numpy()
+            whole, names = np.array(part["v"].tolist(), np.int64), part["query_id"].to_numpy()
+            queries = whole.astype(float)
             best = Best(len(part), k, part["floor"].to_numpy())
             for _, shard in own.groupby("shard", sort=True):
-                points = np.array(shard["v"].tolist(), float)
-                search(BallTree(points), shard["vec_id"].to_numpy(), queries, names, best)
+                points = np.array(shard["v"].tolist(), np.int64)
+                search(BallTree(points.astype(float)), shard["vec_id"].to_numpy(), queries, names, best, points, whole)
             for name, scores, ids in zip(names, best.scores, best.ids, strict=True):
                 out += [(name, i, s) for s, i in zip(scores, ids, strict=True) if i != np.iinfo(np.int64).max and s != NONE]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.llm import wordhash
-from docketspark.llm.common import durable
+from docketspark.llm.common import durable, small_batches
 from docketspark.llm.labelled import held_out, training_sample
 
-#: Bounds of the training sample: labelled rows of each class, and words of a document (spread evenly).
-SAMPLE_ROWS, SAMPLE_WORDS = 3000, 4000
+#: Bound of the training sample: labelled rows of each class; their texts are read whole.
+SAMPLE_ROWS = 3000
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -168,15 +168,15 @@ def choose_lexicon(counts: dict[str, tuple[int, int]], toxic: int, clean: int, t
     return {f: 1 if kept[f][1] * 50 <= kept[f][0] else 2 for f in chosen}
 
 
-def _fit_weights(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum-likelihood weights by gradient ascent; sequences are (kinds, states) of equal length."""
-    kind = np.stack([k for k, _ in sequences])
-    state = np.stack([s for _, s in sequences])
-    n, length = kind.shape
+def _fit_weights(sequences: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood weights by gradient ascent; sequences are (kinds, states, times seen) of equal length."""
+    kind, state = (np.stack([s[i] for s in sequences]) for i in (0, 1))
+    times = np.array([s[2] for s in sequences], float)
+    n, length = times.sum(), kind.shape[1]
     emission, transition = np.zeros((4, 2)), np.zeros((2, 2))
     for _ in range(steps):
         e, t = np.exp(emission[kind]), np.exp(transition)
-        forward, backward = np.empty((n, length, 2)), np.ones((n, length, 2))
+        forward, backward = np.empty((*kind.shape, 2)), np.ones((*kind.shape, 2))
         forward[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
         for i in range(1, length):
             f = (forward[:, i - 1] @ t) * e[:, i]
@@ -189,17 +189,17 @@ def _fit_weights(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 20
         pair = forward[:, :-1, :, None] * t[None, None] * (backward * e)[:, 1:, None, :]
         pair /= pair.sum((2, 3), keepdims=True)
         truth = np.eye(2)[state]
-        ge, gt = np.zeros((4, 2)), np.einsum("ntj,ntk->jk", truth[:, :-1], truth[:, 1:]) - pair.sum((0, 1))
+        ge, gt = np.zeros((4, 2)), np.einsum("n,ntj,ntk->jk", times, truth[:, :-1], truth[:, 1:]) - np.einsum("n,ntjk->jk", times, pair)
         for k in range(4):
-            ge[k] = (truth - p)[kind == k].sum(0)
-        seen = np.array([max(1, (kind == k).sum()) for k in range(4)])[:, None]
+            ge[k] = np.einsum("nt,nts->s", (kind == k) * times[:, None], truth - p)
+        seen = np.array([max(1.0, ((kind == k) * times[:, None]).sum()) for k in range(4)])[:, None]
         emission += rate * (ge / seen - decay * emission)
         transition += rate * (gt / (n * (length - 1)) - decay * transition)
     return emission, transition
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS, window: int = 25) -> Field:
-    """The field, from at most `most` labelled rows of each class, `words` words of each.
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, window: int = 25) -> Field:
+    """The field, from at most `most` labelled rows of each class, whole texts in windows of `window` words.
 
     Features are counted over the sample in one Spark aggregation. Without toxic rows the
     lexicon is empty and every score is near 0.
@@ -212,7 +212,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, words: in
             rows, keys = [], []
             for text in batch.column(2).to_pylist():
                 found = WORD.findall(text.lower())
-                found = found[:: max(1, math.ceil(len(found) / words))]
                 rows.append(sorted({f for w in set(found) for f in features(w)}))
                 x = wordhash.words([" ".join(rows[-1] or [""]).encode()])[0]
                 least = [[int((x * f).min()) if len(x) else 0 for f in row] for row in factors]
@@ -243,20 +242,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, words: in
     first = Field(lexicon, np.zeros((4, 2)), np.zeros((2, 2)), np.zeros(5))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows of every text, the last one filled up with plain words; equal ones counted."""
         for batch in batches:
-            out: list[tuple[list[int], list[int]]] = []
+            out: Counter[tuple[bytes, bytes]] = Counter()
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = WORD.findall(text.lower())
-                hits = first.hits(found)
-                begin = min(max(0, (hits[0][0] if hits else 0) - window // 2), max(0, len(found) - window))
-                if len(found) >= window:
-                    kind = dict(kinds(hits, len(found)))
-                    span = [kind.get(i, 0) for i in range(begin, begin + window)]
-                    out.append((span, [int(k in (1, 2) and y == 1) for k in span]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.list_(pa.int32())) for i in (0, 1)], ["kinds", "states"])
-
-    rows = sample.mapInArrow(labelled, "kinds array<int>, states array<int>").collect()  # windows of at most 2 * `most` documents
-    sequences = [(np.array(r["kinds"]), np.array(r["states"])) for r in rows] or [(np.zeros(window, int), np.zeros(window, int))]
+                kind = np.zeros(-(-max(1, len(found)) // window) * window, np.int8)
+                for place, k in kinds(first.hits(found), len(found)):
+                    kind[place] = k
+                state = (((kind == 1) | (kind == 2)) & (y == 1)).astype(np.int8)
+                out.update((kind[i : i + window].tobytes(), state[i : i + window].tobytes()) for i in range(0, len(kind), window))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in out], pa.binary()) for i in (0, 1)] + [pa.array(out.values(), pa.int64())], ["kinds", "states", "times"])
+
+    patterns = sample.mapInArrow(labelled, "kinds binary, states binary, times long").groupBy("kinds", "states").agg(F.sum("times").alias("times"))
+    rows = sorted(patterns.collect(), key=lambda r: (bytes(r["kinds"]), bytes(r["states"])))  # of at most 2 * `most` documents, alike ones once
+    sequences = [(np.frombuffer(r["kinds"], np.int8).astype(int), np.frombuffer(r["states"], np.int8).astype(int), r["times"]) for r in rows]
+    sequences = sequences or [(np.zeros(window, int), np.zeros(window, int), 1)]
     field = Field(lexicon, *_fit_weights(sequences), np.zeros(5))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,15 +287,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     rows each give a row. Texts are read whole, in one pass without a shuffle. `extra` names columns
     of `docs` to carry along.
     """
+    small_batches(docs.sparkSession)
     field = field or train(docs, labels)
     extra = extra or []
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(extra)])
     kinds_of = [f.dataType.simpleString() for f in docs.select(*extra).schema] if extra else []
     schema = SCHEMA + "".join(f", _{i} {k}" for i, k in enumerate(kinds_of))
-    held = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = held.value
         chain = Chain(field)
         for batch in batches:
             scores, spans = [], []
