@@ -17,25 +17,26 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator doesn't mark as toxic."""
+    """Documents that the toxicity operator doesn't mark as toxic. Null and empty texts and repeated rows are judged like others;
+    an empty table stays empty."""
     carried, names = _carried(docs)
     return _kept(toxicity.toxicity(carried, table(spark, sf_dir, "labels"), extra=names).where("predicted = 0"), docs)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null texts count as empty. An empty table stays empty."""
     carried, names = _carried(docs)
     return _kept(quality.quality(carried, table(spark, sf_dir, "labels"), extra=names).where("predicted = 1"), docs)
 
 
 def _carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """doc_id and text, and all columns under names that no result has."""
-    names = [f"_kept{i}" for i in range(len(docs.columns))]
+    names = [f"\u0001kept{i}" for i in range(len(docs.columns))]
     return docs.select("doc_id", "text", *[F.col(c).alias(k) for c, k in zip(docs.columns, names, strict=True)]), names
 
 
 def _kept(scored: DataFrame, docs: DataFrame) -> DataFrame:
-    return scored.select(*[F.col(f"_kept{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return scored.select(*[F.col(f"\u0001kept{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +51,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often, or as far, as the mix of sources takes them."""
+    """The documents as often, or as far, as the mix of sources takes them; those without words are never taken. A null source
+    is a source of its own, equal rows count each, and an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the tokenised documents and their places in sequences."""
+    """The pieces of the tokenised documents and their places in sequences. A null text is the end id alone, equal rows
+    are packed each, and an empty table gives none."""
     return packing.pack(docs)
 
 
