@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import math
 import tempfile
 
@@ -33,7 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared folder, so that lost executors don't undo it."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if next(_calls) % 3 == 2:
+        freed(df.sparkSession)
+    return kept
+
+
+_calls = itertools.count()
+
+
+def freed(spark: SparkSession) -> None:
+    """Has the driver collect plans that nothing refers to any longer; Spark then deletes their shuffle and checkpoint files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, records: int = 1000, mb: int = 4) -> None:

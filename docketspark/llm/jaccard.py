@@ -38,7 +38,7 @@ from docketspark.llm.common import durable, partitions, small_batches
 from docketspark.llm.components import connected
 
 #: Cells of a sketch to a shingle, and the least and most of them (powers of two).
-CELLS_EACH, CELLS = 4, (128, 1 << 17)
+CELLS_EACH, CELLS = 2, (128, 1 << 17)
 U64 = np.uint64
 
 

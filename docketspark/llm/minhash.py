@@ -257,10 +257,10 @@ def classes_of(
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    rows = durable(_banded(d, bands, permutations, width))
-    sets = durable(rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "pivots", "sketch"))))
+    sets = durable(_banded(d, bands, permutations, width).groupBy("key").agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "pivots", "sketch"))))
     links = jaccard.links_of(d, sets, width, 100 * threshold, small, most)
-    copies = rows.select("key", "doc_id").join(sets.select("key", "id"), "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    keyed = d.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"), "doc_id")  # without words there is no set to join
+    copies = keyed.join(sets.select("key", "id"), "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     return connected(durable(links.unionByName(copies))).select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"))
 
 
