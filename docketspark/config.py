@@ -43,7 +43,8 @@ REGIONS = {
 
 #: Inputs that are only known after the decision and must not reach scoring.
 FORBIDDEN_INPUTS = (
-    "FoiReencaminhado", "Situacao", "DataResposta", "Decisao", "EspecificacaoDecisao", "DetalhamentoDecisao",
-    "MotivoNegativaAcesso", "PrazoRestricaoAcesso", "FoiProrrogado", "PrazoAtendimento", "AssuntoPedido", "SubAssuntoPedido",
-    "Tag", "ProtocoloPedido", "prazo_dias", "y",
+    "Situacao", "FoiProrrogado", "FoiReencaminhado", "DataResposta", "Decisao",
+    "EspecificacaoDecisao", "DetalhamentoDecisao", "MotivoNegativaAcesso",
+    "PrazoRestricaoAcesso", "AssuntoPedido", "SubAssuntoPedido", "Tag",
+    "PrazoAtendimento", "prazo_dias", "ProtocoloPedido", "protocolo_seq",
 )

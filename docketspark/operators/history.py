@@ -21,14 +21,20 @@ def eligible(requester: Column) -> Column:
     return requester.isNotNull() & (requester.cast("string") != "0")
 
 
+def _apart(*order: str) -> Column:
+    """A second window key: 0 for rows with a history, and any of many numbers for the others, whose windows
+    count for nothing; so anonymous rows, a sixth of all and more, aren't one window."""
+    return F.when(eligible(F.col("requester")), F.lit(0)).otherwise(F.pmod(F.xxhash64("reg", *order), F.lit(1 << 20)))
+
+
 def prior_counts(df: DataFrame, order: list[str]) -> DataFrame:
     """n_prior, n_prior_pair, n_agencies_prior, days_since_last; -1 for rows without a history.
 
     `order` breaks ties of a day; earlier requests of the same day count.
     """
     ok = eligible(F.col("requester"))
-    own = W.partitionBy("requester").orderBy("reg", *order)
-    pair = W.partitionBy("requester", "agency").orderBy("reg", *order)
+    own = W.partitionBy("requester", _apart(*order)).orderBy("reg", *order)
+    pair = W.partitionBy("requester", _apart(*order), "agency").orderBy("reg", *order)
     first = (F.row_number().over(pair) == 1).cast("int")
     d = df.withColumn("_first", first).withColumn("_pair", F.row_number().over(pair) - 1)
     agencies = F.sum("_first").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("_first")
@@ -44,7 +50,8 @@ def prior_counts(df: DataFrame, order: list[str]) -> DataFrame:
 
 def matured_history(df: DataFrame, keys: list[str], name: str, lag: int = 60) -> DataFrame:
     """Adds {name} (sum of labels), {name}_den (requests) and {name}_rate of the same keys up to `lag` days before."""
-    w = W.partitionBy(*keys).orderBy(day_number(F.col("reg"))).rangeBetween(W.unboundedPreceding, -lag)
+    spread = [_apart("agency", "y")] if "requester" in keys else []
+    w = W.partitionBy(*keys, *spread).orderBy(day_number(F.col("reg"))).rangeBetween(W.unboundedPreceding, -lag)
     ok = eligible(F.col("requester"))
     out = df.withColumn(f"{name}_den", F.when(ok, F.count("*").over(w))).withColumn(
         name, F.when(ok, F.coalesce(F.sum("y").over(w), F.lit(0))).otherwise(F.lit(ABSENT)).cast("long")
@@ -103,6 +110,16 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: li
     return both.select(*left.columns, *[F.col(f"_v.{v}").alias(f"asof_{v}") for v in values])
 
 
+def matured(df: DataFrame, snapshot: Column, lag: int = 60) -> DataFrame:
+    """Rows whose label has matured: registered `lag` days before the snapshot or earlier. Metrics of a test set count only these."""
+    return df.where(F.col("reg") <= F.date_sub(snapshot, lag))
+
+
+def settled(df: DataFrame, status: str, in_transit: str) -> DataFrame:
+    """Without rows in transit, whose agency is the receiver; a null status is none in transit."""
+    return df.where(~F.col(status).eqNullSafe(F.lit(in_transit)))
+
+
 def unlagged_history(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The history as it leaks: all earlier rows, labels not matured. Only to measure the leak."""
     w = W.partitionBy(*keys).orderBy("reg", *order).rowsBetween(W.unboundedPreceding, -1)

@@ -141,11 +141,11 @@ def _goes_left(tree: Tree, node: int, x: Column) -> Column:
         levels = [32 * w + b for w, word in enumerate(words) for b in range(32) if word >> b & 1]
         return F.coalesce(x.cast("long").isin(levels), F.lit(False)) if levels else F.lit(False)
     missing = kind >> 2 & 3
-    value = F.coalesce(x, F.lit(0.0)) if missing != 2 else x
+    value = F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x) if missing != 2 else x
     test = value <= tree.threshold[node]
     if missing == 0:
         return test
-    unknown = value.isNull() if missing == 2 else F.abs(value) <= 1e-35
+    unknown = value.isNull() | F.isnan(value) if missing == 2 else F.abs(value) <= 1e-35
     return F.when(unknown, F.lit(bool(kind & 2))).otherwise(test)
 
 

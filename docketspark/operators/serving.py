@@ -8,7 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.functions.columns import interpolated, ratio, smoothed, trimmed
+from docketspark.config import FORBIDDEN_INPUTS
+from docketspark.functions.columns import age, calendar, day, interpolated, ratio, smoothed, trimmed
 from docketspark.operators import encode, history
 from docketspark.sources.requests import check_inputs
 
@@ -17,8 +18,8 @@ HISTORY = (
     "n_pedidos_previos", "n_pedidos_previos_neste_orgao", "n_orgaos_distintos_previos", "dias_desde_ultimo_pedido",
     "prev_reenc_solicitante", "prev_reenc_solicitante_den", "prev_reenc_neste_orgao", "prev_reenc_neste_orgao_den",
 )
-RATIOS = {"prev_reenc_solicitante_rate": HISTORY[4:6], "prev_reenc_neste_orgao_rate": HISTORY[6:8]}
-ALLOWED_KEYS = frozenset("base_rate threshold rates rates_90 rates_365 births grid image features version".split())
+RATIOS = {"prev_reenc_rate_solicitante": HISTORY[4:6], "prev_reenc_rate_neste_orgao": HISTORY[6:8]}
+ALLOWED_KEYS = frozenset("base_rate threshold rates rates_90 rates_365 births grid image features version codes queue_fraction rationale train_years data_snapshot".split())
 
 
 @dataclass
@@ -35,6 +36,11 @@ class Artifact:
     image: list[float] = field(default_factory=list)
     features: list[str] = field(default_factory=list)
     version: str = "1"
+    codes: dict[str, dict[str, int]] = field(default_factory=dict)
+    queue_fraction: float | None = None
+    rationale: str | None = None
+    train_years: list[int] = field(default_factory=list)
+    data_snapshot: str | None = None
 
     def to_json(self) -> str:
         content = asdict(self)
@@ -59,8 +65,14 @@ class Artifact:
         rows = [(n, self.rates.get(n), self.rates_90.get(n), self.rates_365.get(n), self.births.get(n)) for n in names]
         return spark.createDataFrame(rows, "agency string, rate double, rate_90 double, rate_365 double, born string").withColumn("born", F.to_date("born"))
 
-    def health(self, **provenance) -> dict:
-        return {"version": self.version, "n_agencies": len(self.rates), "n_births": len(self.births), "threshold": self.threshold, "base_rate": self.base_rate, "n_features": len(self.features)} | provenance
+    def health(self, trees: int) -> dict:
+        """Where the artifact comes from, what callers may give and what is refused."""
+        tables = {"organ_rate": self.rates, "organ_rate_movel_90d": self.rates_90, "organ_rate_movel_365d": self.rates_365, "organ_birth": self.births}
+        return {
+            "model_tag": self.version, "n_trees": trees, "n_features": len(self.features), "features": self.features, "threshold": self.threshold, "queue_fraction": self.queue_fraction,
+            "caller_supplied_features": list(HISTORY), "caller_supplied_default": -1.0, "caller_supplied_rationale": self.rationale, "embedded_organ_tables": [k for k, v in tables.items() if v],
+            "contains_personal_data": False, "excluded_leakage_fields": sorted(FORBIDDEN_INPUTS), "train_years": self.train_years, "data_snapshot": self.data_snapshot,
+        }
 
 
 def save_artifact(spark: SparkSession, artifact: Artifact, path: str, apply: bool = False) -> str:
@@ -103,20 +115,58 @@ def transform(df: DataFrame, artifact: Artifact) -> DataFrame:
     return with_history(with_tables(check_inputs(df), artifact.tables(df.sparkSession), artifact.base_rate))
 
 
+def request_features(requests: DataFrame, artifact: Artifact) -> DataFrame:
+    """Requests in their own field names with every input of the model; the request's fields are trimmed.
+
+    Codes of categories that the artifact doesn't know are -1, dates that are none give null. A field that is
+    only known after the decision raises.
+    """
+    given = check_inputs(requests)
+    given = given.select(*[trimmed(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in given.dtypes])
+    for c in ("UF", "UF_sol", "DataNascimento"):
+        given = given if c in given.columns else given.withColumn(c, F.lit(None).cast("string"))
+    given = given.withColumns({"agency": F.coalesce("OrgaoDestinatario", F.lit("")), "reg": day(F.col("DataRegistro"))})
+    out = with_history(with_tables(given, artifact.tables(given.sparkSession), artifact.base_rate))
+    out = out.withColumnsRenamed({"rate": "orgao_rate", "rate_90": "orgao_rate_movel_90d", "rate_365": "orgao_rate_movel_365d", "agency_age": "dias_desde_primeiro_pedido_do_orgao"})
+    parts = calendar(F.col("reg"))
+    out = out.withColumns({
+        "reg_month": parts["month"], "reg_dow": parts["weekday"], "reg_day": parts["day"], "idade": age(F.col("reg"), day(F.col("DataNascimento"))),
+        "uf_match": F.coalesce((F.col("UF") == F.col("UF_sol")) & (F.col("UF") != ""), F.lit(False)).cast("int"),
+    })
+    for name, codes in artifact.codes.items():
+        value = F.coalesce(F.col(name).cast("string"), F.lit("")) if name in given.columns else F.lit("")
+        code = F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), value) if codes else F.lit(None).cast("int")
+        out = out.withColumn(f"code_{name}", F.coalesce(code, F.lit(-1)))
+    return out
+
+
+def responses(requests: DataFrame, artifact: Artifact, model: Column) -> DataFrame:
+    """One answer of eleven fields per request. The raw probability meets the threshold; the calibrated one is for reading only."""
+    out = request_features(requests, artifact).withColumn("_raw", model)
+    shown = F.round(interpolated(F.col("_raw"), artifact.grid, artifact.image), 6) if artifact.grid else F.lit(None).cast("double")
+    return out.select(
+        F.round("_raw", 6).alias("probabilidade_reencaminhamento"), risk(F.col("_raw"), artifact.threshold).alias("alerta"), F.lit(artifact.threshold).alias("threshold"),
+        shown.alias("probabilidade_calibrada"), F.lit(True).alias("calibrada_apenas_para_leitura"), F.col("agency_known").alias("orgao_conhecido"),
+        F.round("orgao_rate", 6).alias("orgao_rate_historica"), F.round("orgao_rate_movel_90d", 6).alias("orgao_rate_movel_90d"), F.lit(round(artifact.base_rate, 6)).alias("base_rate_coorte"),
+        F.col("history_given").alias("historico_informado"), F.col("partial_history_ignored").alias("historico_parcial_ignorado"),
+    )
+
+
 def risk(score: Column, threshold: float) -> Column:
-    return F.when(score >= threshold, "ALTO RISCO").otherwise("RISCO NORMAL")
+    return F.when(score >= threshold, "ALTO RISCO").otherwise("BAIXO RISCO")
 
 
 def score_batch(df: DataFrame, artifact: Artifact, model: Column) -> DataFrame:
     """Probability, calibrated value (display only), risk label and flags per request."""
-    out = transform(df, artifact).withColumn("probability", F.round(model, 6))
-    shown = interpolated(F.col("probability"), artifact.grid, artifact.image) if artifact.grid else F.col("probability")
-    return out.withColumn("calibrated", F.round(shown, 6)).withColumn("risk", risk(F.col("probability"), artifact.threshold))
+    out = transform(df, artifact).withColumn("_raw", model)
+    shown = interpolated(F.col("_raw"), artifact.grid, artifact.image) if artifact.grid else F.col("_raw")
+    out = out.withColumn("probability", F.round("_raw", 6)).withColumn("calibrated", F.round(shown, 6))
+    return out.withColumn("risk", risk(F.col("_raw"), artifact.threshold)).drop("_raw")
 
 
 def score_baseline(df: DataFrame, artifact: Artifact) -> DataFrame:
     out = with_tables(check_inputs(df), artifact.tables(df.sparkSession), artifact.base_rate)
-    return out.withColumn("probability", F.round("rate", 6)).withColumn("risk", risk(F.col("probability"), artifact.threshold))
+    return out.withColumn("probability", F.round("rate", 6)).withColumn("risk", risk(F.col("rate"), artifact.threshold))
 
 
 def refresh_tables(log: DataFrame, base: float, windows: tuple[int, ...] = (90, 365), lag_days: int = 60, prior: float = 20.0) -> DataFrame:
@@ -133,6 +183,15 @@ def refresh_tables(log: DataFrame, base: float, windows: tuple[int, ...] = (90,
     return out.select("agency", "born", *[smoothed(F.col(f"y_{w}"), F.col(f"n_{w}"), F.lit(base), prior).alias(f"rate_{w}") for w in windows])
 
 
+def key_changes(old: DataFrame, new: DataFrame, key: str = "agency") -> DataFrame:
+    """Keys of two tables: in both (intersect), only in the old one, only in the new one (except); (key, change)."""
+    a, b = old.select(key), new.select(key)
+    return (
+        a.intersect(b).withColumn("change", F.lit("common")).unionByName(a.subtract(b).withColumn("change", F.lit("gone")))
+        .unionByName(b.subtract(a).withColumn("change", F.lit("new")))
+    )
+
+
 def build_artifact(train: DataFrame, log: DataFrame, threshold: float, prior: float = 50.0, features: list[str] | None = None) -> Artifact:
     """An artifact from training rows and the whole log. Agencies are few: their tables are meant for the driver."""
     base = encode.base_rate(train)

@@ -39,30 +39,86 @@ def _artifact(log: DataFrame) -> serving.Artifact:
 
 @query("""WITH {LOG}, t AS (SELECT * FROM req WHERE year BETWEEN 1995 AND 1998 AND agency % 9 <> 0), b AS (SELECT avg(y) AS base FROM t),
     r AS (SELECT agency, (sum(y) + 50 * max(base)) / (count(*) + 50) AS rate FROM t, b GROUP BY agency),
-    s AS (SELECT CAST(agency AS VARCHAR) AS agency, r.rate IS NOT NULL AS agency_known, round(coalesce(r.rate, base), 6) AS probability FROM req LEFT JOIN r USING (agency), b WHERE year = 2000)
-    SELECT agency, agency_known, probability, CASE WHEN probability >= 0.335 THEN 'ALTO RISCO' ELSE 'RISCO NORMAL' END AS risk, count(*) AS n FROM s GROUP BY ALL""")
+    s AS (SELECT CAST(agency AS VARCHAR) AS agency, r.rate IS NOT NULL AS agency_known, coalesce(r.rate, base) AS raw, round(coalesce(r.rate, base), 6) AS probability FROM req LEFT JOIN r USING (agency), b)
+    SELECT agency, agency_known, probability, CASE WHEN raw >= 0.335 THEN 'ALTO RISCO' ELSE 'BAIXO RISCO' END AS risk, count(*) AS n FROM s GROUP BY ALL""")
 def score_baseline(spark: SparkSession, d: str) -> DataFrame:
     log = request_log(spark, d)
-    new = log.where("year = 2000").select("agency", "reg")
+    new = log.select("agency", "reg")
     out = serving.score_baseline(new, _artifact(log))
     return out.groupBy("agency", "agency_known", "probability", "risk").agg(F.count("*").alias("n"))
 
 
 @query("""WITH {LOG}, s AS (SELECT CAST(agency AS VARCHAR) AS agency, request_id % 3 = 0 AS history_given, request_id % 3 = 1 AS partial_history_ignored,
-    CASE WHEN request_id % 3 = 0 THEN CAST(line AS DOUBLE) ELSE -1 END AS n, CASE WHEN request_id % 3 = 0 AND line > 1 THEN 1.0 / (line - 1) ELSE -1 END AS rate FROM req WHERE year = 2000)
+    CASE WHEN request_id % 3 = 0 THEN CAST(line AS DOUBLE) ELSE -1 END AS n, CASE WHEN request_id % 3 = 0 AND line > 1 THEN 1.0 / (line - 1) ELSE -1 END AS rate FROM req)
     SELECT agency, history_given, partial_history_ignored, n, round(rate, 6) AS rate, count(*) AS rows FROM s GROUP BY ALL""")
 def serving_history(spark: SparkSession, d: str) -> DataFrame:
     """All eight history inputs for a third of the requests, seven for another third, none for the rest."""
-    log = request_log(spark, d).where("year = 2000")
+    log = request_log(spark, d)
     third, line = F.col("request_id") % 3, F.col("line").cast("double")
     values = {c: line for c in serving.HISTORY} | {serving.HISTORY[4]: F.lit(1.0), serving.HISTORY[5]: line - 1}
     given = {c: F.when((third == 0) | ((third == 1) & (F.lit(i) < 7)), v) for i, (c, v) in enumerate(values.items())}
     out = serving.with_history(log.select(F.col("agency").cast("string").alias("agency"), *[v.alias(c) for c, v in given.items()]))
     return out.groupBy(
-        "agency", "history_given", "partial_history_ignored", F.col(serving.HISTORY[0]).alias("n"), F.round("prev_reenc_solicitante_rate", 6).alias("rate")
+        "agency", "history_given", "partial_history_ignored", F.col(serving.HISTORY[0]).alias("n"), F.round("prev_reenc_rate_solicitante", 6).alias("rate")
     ).agg(F.count("*").alias("rows"))
 
 
+@query("""WITH {LOG}, t AS (SELECT * FROM req WHERE year BETWEEN 1995 AND 1998 AND agency % 9 <> 0), b AS (SELECT avg(y) AS base FROM t),
+    r AS (SELECT agency, (sum(y) + 50 * max(base)) / (count(*) + 50) AS rate FROM t, b GROUP BY agency),
+    s AS (SELECT r.rate IS NOT NULL AS known, coalesce(r.rate, base) AS rate, base, coalesce(r.rate, base) + 0.01 * (CASE WHEN month(reg) = 6 THEN 1 ELSE 0 END) + 0.02 * (CASE WHEN request_id % 2 = 0 THEN 1 ELSE 0 END) AS p,
+        request_id % 3 = 0 AS given, request_id % 3 = 1 AS partial FROM req LEFT JOIN r USING (agency), b)
+    SELECT round(p, 6) AS probabilidade_reencaminhamento, CASE WHEN p >= 0.345 THEN 'ALTO RISCO' ELSE 'BAIXO RISCO' END AS alerta, CAST(0.345 AS DOUBLE) AS threshold,
+        round(CASE WHEN p < 0.5 THEN 0.8 * p ELSE 0.4 + 1.2 * (p - 0.5) END, 6) AS probabilidade_calibrada, true AS calibrada_apenas_para_leitura, known AS orgao_conhecido,
+        round(rate, 6) AS orgao_rate_historica, round(base, 6) AS orgao_rate_movel_90d, round(base, 6) AS base_rate_coorte, given AS historico_informado, partial AS historico_parcial_ignorado, count(*) AS n
+    FROM s GROUP BY ALL""")
+def score_responses(spark: SparkSession, d: str) -> DataFrame:
+    """The eleven fields of a scored request, for every request; a model in plain sight stands for the trees."""
+    log = request_log(spark, d)
+    train = log.where(F.col("year").isin(*DEMO.train_years) & (F.col("agency") % 9 != 0))
+    base = encode.base_rate(train)
+    rates = {str(r["agency"]): r["rate"] for r in encode.smoothed_rate(train, ["agency"], 50.0).collect()}
+    artifact = serving.Artifact(base, 0.345, rates, grid=[0.0, 0.5, 1.0], image=[0.0, 0.4, 1.0])
+    third, uf = F.col("request_id") % 3, F.when(F.col("request_id") % 2 == 0, "DF").otherwise("SP")
+    given = [F.when((third == 0) | ((third == 1) & (F.lit(i) < 7)), F.lit(1.0)).alias(c) for i, c in enumerate(serving.HISTORY)]
+    asked = log.select(F.concat(F.lit(" "), F.col("agency").cast("string"), F.lit(" ")).alias("OrgaoDestinatario"), F.date_format("reg", "dd/MM/yyyy").alias("DataRegistro"), F.lit("DF").alias("UF"), uf.alias("UF_sol"), *given)
+    model = F.col("orgao_rate") + 0.01 * (F.col("reg_month") == 6).cast("int") + 0.02 * F.col("uf_match")
+    out = serving.responses(asked, artifact, model)
+    return out.groupBy(*out.columns).agg(F.count("*").alias("n"))
+
+
+@query("""WITH {LOG}, m AS (SELECT max(reg) AS m FROM req) SELECT year, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM req, m WHERE reg <= m - 60 AND status <> 'F' GROUP BY year""")
+def matured_settled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that aren't in transit (status F stands for that) and whose labels have matured."""
+    log = request_log(spark, d)
+    last = log.agg(F.max("reg").alias("last"))
+    out = history.matured(history.settled(log, "status", "F").crossJoin(F.broadcast(last)), F.col("last"))
+    return out.groupBy("year").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+
+
+@query("""WITH {LOG}, o AS (SELECT DISTINCT part FROM req WHERE year = 1995), n AS (SELECT DISTINCT part FROM req WHERE year = 1998)
+    SELECT 'common' AS change, count(*) AS n FROM (SELECT * FROM o INTERSECT SELECT * FROM n) UNION ALL SELECT 'gone', count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM n)
+    UNION ALL SELECT 'new', count(*) FROM (SELECT * FROM n EXCEPT SELECT * FROM o)""")
+def refreshed_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that two years' tables share, lose and gain."""
+    log = request_log(spark, d)
+    year = lambda y: log.where(F.col("year") == y).select("part").distinct()
+    found = serving.key_changes(year(1995), year(1998), "part").groupBy("change").agg(F.count("*").alias("n"))
+    kinds = spark.createDataFrame([("common",), ("gone",), ("new",)], "change string")
+    return kinds.join(found, "change", "left").select("change", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""WITH {LOG}, a AS (SELECT * REPLACE (CASE WHEN request_id % 5 = 0 THEN 0 ELSE requester END AS requester) FROM req),
+    c AS (SELECT requester, row_number() OVER (PARTITION BY requester ORDER BY reg) - 1 AS n, row_number() OVER (PARTITION BY requester, agency ORDER BY reg) - 1 AS p,
+        coalesce(reg - lag(reg) OVER (PARTITION BY requester ORDER BY reg), -1) AS d FROM a)
+    SELECT requester, count(*) AS rows, CAST(sum(CASE WHEN requester = 0 THEN -1 ELSE n END) AS BIGINT) AS n_prior, CAST(sum(CASE WHEN requester = 0 THEN -1 ELSE p END) AS BIGINT) AS n_prior_pair,
+        CAST(sum(CASE WHEN requester = 0 THEN -1 ELSE d END) AS BIGINT) AS days FROM c GROUP BY requester""")
+def prior_counts_with_anonymous(spark: SparkSession, d: str) -> DataFrame:
+    """Histories where a fifth of the rows is anonymous."""
+    log = request_log(spark, d).withColumn("requester", F.when(F.col("request_id") % 5 == 0, F.lit(0)).otherwise(F.col("requester")))
+    out = history.prior_counts(log, ["request_id", "line", "part", "quantity", "agency"])
+    return out.groupBy("requester").agg(F.count("*").alias("rows"), F.sum("n_prior").alias("n_prior"), F.sum("n_prior_pair").alias("n_prior_pair"), F.sum("days_since_last").alias("days"))
+
+
 FEATURES = ["quantity", "n_prior", "n_prior_pair", "days_since_last", "prev", "prev_rate", "rate_90", "rate_365", "trend", "channel"]
 
 
@@ -89,8 +145,11 @@ def trained_model_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees with validation-chosen size and isotonic calibration, measured on the test years."""
     t = feature_table(spark, d).persist()
     train, validation = t.where(F.col("year").isin(*DEMO.train_years)), t.where(F.col("year") == DEMO.validation_year)
-    fitted = model.fit_trees(train, validation, FEATURES, options=(5, 10), depth=3)
+    fitted = model.fit_trees(train, validation, FEATURES, options=(5, 10, 20), depth=4)
     curve = model.fit_calibration(fitted.score(validation))
     test = fitted.score(t.where(F.col("year") >= DEMO.test_year)).withColumn("shown", curve.apply(F.col("score")))
     ap, auc = metrics.average_precision(test), metrics.roc_auc(test)
-    return ap.crossJoin(auc).crossJoin(metrics.brier(test, "shown").select("brier", "n")).withColumn("trees", F.lit(fitted.trees))
+    out = ap.crossJoin(auc).crossJoin(metrics.brier(test, "shown").select("brier", "n")).withColumn("trees", F.lit(fitted.trees))
+    kept = spark.createDataFrame(out.collect(), out.schema)  # one row
+    t.unpersist()
+    return kept
