@@ -291,6 +291,10 @@ def _near(sets: DataFrame, percent: float, small: int, block: int) -> DataFrame:
     listed = durable(_pairs(cold, percent, small))
     large = listed.where("large").select(F.col("a").alias("id"), F.col("b").alias("pivot"))
     large = large.unionByName(regions.join(F.broadcast(hot), "pivot", "left_semi").select("id", "pivot")).distinct()
+    # sketches are shuffled only for sets that a pair or a large region has
+    ends = listed.select(F.explode(F.when(F.col("large"), F.array("a")).otherwise(F.array("a", "b"))).alias("id"))
+    ends = ends.unionByName(regions.join(F.broadcast(hot), "pivot", "left_semi").select("id"))
+    sets = _likely(sets.select("id", "n", "sketch"), ends)
     none = listed.where("large").isEmpty() and hot.isEmpty()
     if none:
         return durable(_window(_ends(listed.select("a", "b").distinct(), sets), percent))
@@ -494,13 +498,13 @@ def _in_blocks(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     return placed.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "id", "text", "joined")
 
 
-def _likely(d: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """Rows of (doc_id, text) whose id may be among the ids of `chosen`: those whose bit is set in a bitmap of
-    fixed size. It saves shuffling the texts of all others; when it fills up it lets more pass, never fewer."""
+def _likely(rows: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """The rows whose first column, an id, may be among the ids of `chosen`: those whose bit is set in a bitmap of
+    fixed size. It saves shuffling the texts or sketches of all others; when it fills up it lets more pass, never fewer."""
     at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    rows = chosen.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("map")).collect()
+    found = chosen.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("map")).collect()
     table = np.zeros(bits // 8 + (1 << 12), np.uint8)
-    for row in rows:  # bucket k holds the numbers from (k - 1) * 32768 + 1 on, bucket 0 only 0
+    for row in found:  # bucket k holds the numbers from (k - 1) * 32768 + 1 on, bucket 0 only 0
         begin = row["k"] << 12 if row["k"] else None
         part = np.frombuffer(bytes(row["map"]), np.uint8)
         if begin is None:
@@ -508,16 +512,17 @@ def _likely(d: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
         else:
             table[begin : begin + len(part)] |= part[: len(table) - begin]
     held = table.tobytes()  # in the task's closure, which Spark drops with the job
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits_set = np.frombuffer(held, np.uint8)
         for batch in batches:
             # number h is bit (h - 1) % 32768 of bucket (h + 32767) // 32768, and 0 that of bucket 0
-            h = batch.column(2).to_numpy()
+            h = batch.column(len(names)).to_numpy()
             place = np.where(h > 0, h - 1 + (1 << 15), 0)
-            yield batch.select([0, 1]).filter(pa.array((bits_set[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+            yield batch.select(list(range(len(names)))).filter(pa.array((bits_set[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
 
-    return d.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).mapInArrow(run, "doc_id long, text string")
+    return rows.where(F.col(names[0]).isNotNull()).select("*", F.pmod(F.xxhash64(names[0]), F.lit(bits)).alias("_h")).mapInArrow(run, rows.schema)
 
 
 def links_of(d: DataFrame, sets: DataFrame, width: int, percent: float, small: int, most: int, block: int = 512) -> DataFrame:
@@ -529,7 +534,7 @@ def links_of(d: DataFrame, sets: DataFrame, width: int, percent: float, small: i
     merged = durable(connected(_near(sets, percent, small, block)))
     weights = merged.join(sets.groupBy("id").agg(F.sum("n").alias("n")), "id").groupBy("component").agg(F.sum("n").alias("shingles"))
     weights = durable(weights.select(F.col("component").alias("region"), "shingles"))
-    members = _likely(d, merged).join(merged, F.col("doc_id") == F.col("id")).select(F.col("component").alias("region"), "id", "text", F.col("id").alias("joined"))
+    members = _likely(d.select("doc_id", "text"), merged).join(merged, F.col("doc_id") == F.col("id")).select(F.col("component").alias("region"), "id", "text", F.col("id").alias("joined"))
     large = weights.where(F.col("shingles") > most)
     if large.isEmpty():
         return durable(_join_regions(members, width, percent))

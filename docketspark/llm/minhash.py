@@ -110,7 +110,7 @@ def _in_lots(docs: DataFrame, lots: int, classes: DataFrame | None = None) -> Da
 
 def _frames(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Rows (lot, own, doc_id, tie, text) as frames. A task holds about `most` bytes of texts."""
-    codec = pa.Codec("zstd", compression_level=3)
+    codec = pa.Codec("zstd", compression_level=6)
     held: dict[int, list[tuple]] = {}
     size = 0
 
@@ -211,7 +211,7 @@ def signed(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH
 
 
 def _banded(docs: DataFrame, bands: int, permutations: int, width: int) -> DataFrame:
-    """Per row with words: doc_id, key (a digest of the text), n, pivots (a hash per band), sketch (see jaccard).
+    """Per row with words: doc_id, key (128 bits of a digest of the text), n, pivots (a hash per band), sketch (see jaccard).
 
     A band has permutations // bands values, of the first permutations.
     """
@@ -233,7 +233,7 @@ def _banded(docs: DataFrame, bands: int, permutations: int, width: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[begin + i] for i in full], pa.int64()),
-                        pa.array([hashlib.sha256(texts[i]).digest() for i in full], pa.binary()),
+                        pa.array([hashlib.sha256(texts[i]).digest()[:16] for i in full], pa.binary()),
                         pa.array(n[full], pa.int64()),
                         pa.array(list(marks[full].view(np.int64)), pa.list_(pa.int64())),
                         pa.array([drawn[i] for i in full], pa.binary()),
@@ -259,7 +259,7 @@ def classes_of(
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     sets = durable(_banded(d, bands, permutations, width).groupBy("key").agg(F.min("doc_id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "pivots", "sketch"))))
     links = jaccard.links_of(d, sets, width, 100 * threshold, small, most)
-    keyed = d.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"), "doc_id")  # without words there is no set to join
+    keyed = d.select(F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)).alias("key"), "doc_id")  # without words there is no set to join
     copies = keyed.join(sets.select("key", "id"), "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     return connected(durable(links.unionByName(copies))).select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"))
 
