@@ -13,7 +13,7 @@ uses both, in three steps.
    the empty set) and if no more cells of their parity sketches differ than the largest
    allowed symmetric difference (odd cells are a lower bound of it). A large region is first
    joined by one member, its document pivot; the members that don't fall to it are
-   its boundary, which meets itself and, once for all regions, the pivot's component.
+   its boundary, which meets itself and the pivot's component, once for all regions with this component.
    Documents that pairs within their windows connect make a joined region.
 3. Recursion inside a joined region with documents as pivots, on exact distances. A region
    that a task can hold is joined in one: each member in turn is a pivot, and rings as wide as the
@@ -25,6 +25,7 @@ uses both, in three steps.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,18 +227,27 @@ def _window_blocks(rows: DataFrame, sets: DataFrame, percent: float, most: int)
 
     `rows` is (region, group, id, comp): pairs of one region are tested whose comps differ and whose
     groups are 0 and 0, or 0 and 1; pairs of two members of group 1 never are. Members are dealt into blocks of about
-    `most` of a group; each pair of blocks is a task. Sketches join their rows after the dealing, so they are shuffled once.
+    `most` of a group, in the order of their sizes; each pair of blocks whose sizes allow a link is a task.
+    Sketches join their rows after the dealing, so they are shuffled once.
     """
-    sizes = rows.groupBy("region").agg(F.sum(1 - F.col("group")).alias("m0"), F.sum("group").alias("m1"))
-    b = lambda k: F.greatest(F.ceil(F.col(f"m{k}") / most), F.lit(1)).cast("int")
-    rows = rows.join(sizes.select("region", b(0).alias("b0"), b(1).alias("b1")), "region")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(2), "id"), F.when(F.col("group") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int"))
-    task = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    among = F.transform(upto("b0"), lambda x: task(F.least("own", x), F.greatest("own", x), 0))
-    across = F.when(F.col("group") == 0, F.transform(upto("b1"), lambda x: task(F.col("own"), x, 1))).otherwise(F.transform(upto("b0"), lambda x: task(x, F.col("own"), 1)))
-    tasks = F.when(F.col("group") == 0, F.concat(among, across)).otherwise(across)
-    rows = rows.withColumn("task", F.explode(tasks)).select("region", "task", "group", "own", "id", "comp").join(sets.select("id", "n", "sketch"), "id")
+    rows = rows.join(sets.select("id", "n").distinct(), "id")
+    rows = rows.withColumn("class", F.floor(F.log("n") / max(math.log(100 / percent), 0.01)).cast("int"))
+    key = ["region", "group", "class"]
+    classes = rows.groupBy(key).agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    above = W.partitionBy("region", "group").orderBy("class").rowsBetween(W.unboundedPreceding, -1)  # a row per class of sizes
+    classes = durable(classes.withColumn("before", F.coalesce(F.sum("m").over(above), F.lit(0))))
+    block = lambda place: F.floor(place / most).cast("int")
+    rows = rows.join(classes.select(*key, "m", "before"), key).withColumn("own", block(F.col("before") + F.pmod(F.xxhash64(F.lit(2), "id"), "m")))
+    spans = classes.withColumn("own", F.explode(F.sequence(block(F.col("before")), block(F.col("before") + F.col("m") - 1))))
+    spans = spans.groupBy("region", "group", "own").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    first = spans.where("group = 0").select("region", F.col("own").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    pairs = first.join(spans, "region").where((F.col("group") == 1) | (F.col("i") <= F.col("own")))
+    pairs = pairs.where((100 * F.col("hi_i") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("lo_i")))
+    task = F.struct("i", F.col("own").alias("j"), F.col("group").alias("kind")).alias("task")
+    ends = F.array_distinct(F.array(F.struct(F.lit(0).alias("group"), F.col("i").alias("own")), F.struct("group", "own")))
+    tasks = pairs.select("region", task, F.explode(ends).alias("end")).select("region", "task", "end.group", "end.own")
+    rows = rows.join(tasks, ["region", "group", "own"]).select("region", "task", "group", "own", "id", "n", "comp")
+    rows = rows.join(sets.select("id", "n", "sketch"), ["id", "n"])
 
     def run(table: pa.Table) -> pa.Table:
         kind, cut = table.column("task")[0].as_py()["kind"], table.column("task")[0].as_py()
@@ -277,8 +287,8 @@ def _near(sets: DataFrame, percent: float, small: int, block: int) -> DataFrame:
 
     Large regions are first joined by a document pivot each, the member with the least hash, so
     regions with much the same members agree on it. Members that don't fall to their region's pivot
-    are its boundary: they are compared with each other and, once for all regions, with the
-    pivot's component.
+    are its boundary: they are compared with each other and with the pivot's component, once
+    for all regions whose pivots have this component.
     """
     spark = sets.sparkSession
     regions = sets.select(F.explode("pivots").alias("pivot"), "id", "n")
@@ -308,22 +318,14 @@ def _near(sets: DataFrame, percent: float, small: int, block: int) -> DataFrame:
     large = large.join(comp("id"), "id", "left").join(comp("first"), "first", "left")
     outside = large.select("pivot", "id", F.coalesce("id_comp", "id").alias("comp"), F.coalesce("first_comp", "first").alias("main")).where("comp <> main")
     outside = durable(outside)
-    # the boundary against the pivots' components, once for all regions
+    # the boundary against the pivots' components and its members with each other, once for all regions with one component
     facing = outside.groupBy("main", "id").agg(F.first("comp").alias("comp"))
     mains = facing.select("main").distinct()
     own = comps.select(F.col("component").alias("main"), "id").unionByName(mains.select("main", F.col("main").alias("id"))).distinct()
     own = own.join(mains, "main", "left_semi").select("main", F.lit(1).alias("group"), "id", F.col("main").alias("comp"))
     facing = facing.select("main", F.lit(0).alias("group"), "id", "comp").unionByName(own).withColumn("region", F.xxhash64(F.lit(1), "main"))
-    # the boundary's members with each other; regions with the same boundary count once
-    marks = outside.groupBy("pivot").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "id"), 24)).alias("y"))
-    once = marks.where("m > 1").groupBy("m", "x", "y").agg(F.min("pivot").alias("pivot"))
-    among = durable(outside.join(once.select("pivot", "m"), "pivot"))
-    few, many = among.where(F.col("m") <= small), among.where(F.col("m") > small)
-    few = few.select("pivot", "id").join(sets.select("id", "n"), "id").select("pivot", "id", "n").repartition(partitions(spark), "pivot").sortWithinPartitions("pivot", "n", "id")
-    pairs = listed.where("not large").select("a", "b").unionByName(_pairs(few, percent, small).select("a", "b")).distinct()
-    blocks = many.select(F.xxhash64(F.lit(0), "pivot").alias("region"), F.lit(0).alias("group"), "id", "comp")
-    blocks = facing.select("region", "group", "id", "comp").unionByName(blocks)
-    return durable(stars.unionByName(_window(_ends(pairs, sets), percent)).unionByName(_window_blocks(blocks, sets, percent, block)))
+    pairs = listed.where("not large").select("a", "b").distinct()
+    return durable(stars.unionByName(_window(_ends(pairs, sets), percent)).unionByName(_window_blocks(facing, sets, percent, block)))
 
 
 class Region:

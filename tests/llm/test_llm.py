@@ -291,6 +291,32 @@ def test_jaccard_join_equals_brute_force(spark, options):
     assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in out) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [3, 1000])
+def test_window_blocks_join_all_pairs_within_their_windows(spark, most):
+    docs_ = [(i, t) for i, t in family(120, 5)]
+    values, offsets = jaccard._sets([t.encode() for _, t in docs_], 4)
+    n, sketch = np.diff(offsets).tolist(), jaccard.sketches(values, offsets)
+    sets = spark.createDataFrame([(i, n[i], bytearray(sketch[i])) for i, _ in docs_], "id long, n long, sketch binary")
+    group = lambda i: int(i % 5 == 0)
+    rows = spark.createDataFrame([(7, group(i), i, i) for i, _ in docs_], "region long, `group` int, id long, comp long")
+    found = jaccard._window_blocks(rows, sets, 85, most).collect()
+
+    def likely(a, b):
+        odd = int(jaccard._odd(np.frombuffer(sketch[a], np.uint8), np.frombuffer(sketch[b], np.uint8)))
+        return 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b]) and 185 * odd <= 15 * (n[a] + n[b])
+
+    near = [(a, b) for a in range(120) for b in range(a) if not (group(a) and group(b)) and likely(a, b)]
+    assert near and all(likely(*p) and not (group(p[0]) and group(p[1])) for p in found)
+
+    def least(pairs):
+        comp = list(range(120))
+        for a, b in pairs:
+            comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+        return comp
+
+    assert least(found) == least(near)
+
+
 def test_jaccard_join_keeps_all_texts_of_a_doc_id(spark):
     cell = lambda t: int(jaccard._sets([t.encode()], 4)[0][0]) >> 40 & 127
     one = "first text"
