@@ -6,6 +6,7 @@ import gc
 import itertools
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,16 @@ def durable(df: DataFrame) -> DataFrame:
 _calls = itertools.count()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def freed(spark: SparkSession) -> None:
     """Has the driver collect plans that nothing refers to any longer; Spark then deletes their shuffle and checkpoint files."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm import htmltext, jaccard, licenses, minhash, mixing, packing, quality, topk, toxicity, urls
+from docketspark.llm import bond, divergence, exactdedup, htmltext, jaccard, licenses, minhash, mixing, packing, quality, topk, toxicity, urls
 from docketspark.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op3_pack": op3_pack,
@@ -61,6 +73,9 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_html_text": op10_html_text,
     "op2_license_scan": op2_license_scan,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -91,6 +106,46 @@ SQL: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
         ) WHERE rank <= 5
     """,
+    "op11_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        w AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        t AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 30),
+        v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS n FROM t GROUP BY ALL),
+        c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN t USING (lang, term) GROUP BY ALL),
+        s AS (SELECT lang, source, coalesce(CAST((SELECT sum(c.c) FROM c WHERE c.lang = g.lang AND c.source = g.source) AS HUGEINT), 0) AS n FROM g),
+        p AS (SELECT s.lang, s.source, t.term, coalesce(c.c, 0) AS c, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5)) // (s.n + 5 * v.v) AS p,
+                     1 + (CAST(1000000000 AS HUGEINT) * (t.n + 5)) // (v.n + 5 * v.v) AS q
+              FROM s JOIN v USING (lang) JOIN t USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = t.term),
+        a AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+        f AS (SELECT a.lang, a.source, a.item, sum(abs(x.p - y.p)) AS value FROM a JOIN p x ON x.lang = a.lang AND x.source = a.source
+              JOIN p y ON y.lang = a.lang AND y.source = a.item AND y.term = x.term GROUP BY ALL),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, a.item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM a LEFT JOIN f USING (lang, source, item)
+              UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+        WHERE part = 'pair' OR rank <= 50
+    """,
+    "op12_exact_dedup": """
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY t)
+    """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                   CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+        ), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5
+    """,
 }
 
 __all__ = ["F", "QUERIES", "SQL"]
