@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.functions.columns import ratio
+from docketspark.operators.metrics import quantiles
 
 
 def missing_share(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -56,9 +57,13 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spread(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """n, mean, median, 5th and 95th percentile per group."""
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), q(0.5).alias("median"), q(0.05).alias("p05"), q(0.95).alias("p95"))
+    """n, mean, median, 5th and 95th percentile per group, all from one table of (group, value, rows)."""
+    counted = df.groupBy(*by, value.cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    means = counted.groupBy(*by).agg(F.sum("_c").alias("n"), ratio(F.sum(F.col("_v") * F.col("_c")), F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))).alias("mean"))
+    q = quantiles(df, value, [0.5, 0.05, 0.95], by).withColumnRenamed("n", "_known").alias("q")
+    same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by])
+    pick = [F.get("q.quantiles", F.lit(i)).alias(n) for i, n in enumerate(("median", "p05", "p95"))]
+    return means.alias("m").join(q, same, "left").select("m.*", *pick)
 
 
 def modal_share(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -76,11 +81,16 @@ def unstable_attributes(df: DataFrame, key: str, attributes: list[str]) -> DataF
 
 
 def within_group_quartiles(df: DataFrame, value: str, groups: list[str], least: int) -> DataFrame:
-    """Rate per quartile of the value within each group of at least `least` rows; edges are the group's exact quartiles."""
-    e = df.groupBy(*groups).agg(F.count("*").alias("_n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_e"))
-    d = df.join(e.where(F.col("_n") >= least), groups)
-    quartile = F.when(F.col(value) <= F.get("_e", F.lit(0)), 1).when(F.col(value) <= F.get("_e", F.lit(1)), 2).when(F.col(value) <= F.get("_e", F.lit(2)), 3).otherwise(4)
-    return d.groupBy(quartile.alias("quartile")).agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
+    """Rate per quartile of the value within each group of at least `least` rows; edges are the group's exact quartiles.
+
+    Rows are summed per (group, value) before they meet their group's edges.
+    """
+    counted = df.groupBy(*groups, value).agg(F.count("*").alias("_c"), F.sum("y").alias("_y"), F.count("y").alias("_k"))
+    large = df.groupBy(*groups).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    e = quantiles(df, value, [0.25, 0.5, 0.75], groups).join(large, groups)
+    edge = [F.get("quantiles", F.lit(i)) for i in range(3)]
+    quartile = F.when(F.col(value) <= edge[0], 1).when(F.col(value) <= edge[1], 2).when(F.col(value) <= edge[2], 3).otherwise(4)
+    return counted.join(e, groups).groupBy(quartile.alias("quartile")).agg(F.sum("_c").alias("n"), ratio(F.sum("_y"), F.sum("_k")).alias("rate"))
 
 
 def normalised_counts(df: DataFrame, column: str) -> DataFrame:

@@ -21,10 +21,18 @@ def eligible(requester: Column) -> Column:
     return requester.isNotNull() & (requester.cast("string") != "0")
 
 
-def _apart(*order: str) -> Column:
-    """A second window key: 0 for rows with a history, and any of many numbers for the others, whose windows
-    count for nothing; so anonymous rows, a sixth of all and more, aren't one window."""
-    return F.when(eligible(F.col("requester")), F.lit(0)).otherwise(F.pmod(F.xxhash64("reg", *order), F.lit(1 << 20)))
+#: A second window key, see `apart`.
+OWN = "_own"
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """Adds the column `_own`: 0 for rows with a history, and any of many numbers for the others, whose windows count for nothing;
+    so anonymous rows, a sixth of all and more, aren't one window. Dealt once by (requester, _own), which all
+    windows of requesters then share. A frame that has the column already is taken as dealt."""
+    if OWN in df.columns:
+        return df
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
+    return df.withColumn(OWN, F.when(eligible(F.col("requester")), F.lit(0).cast("long")).otherwise(spread)).repartition("requester", OWN)
 
 
 def prior_counts(df: DataFrame, order: list[str]) -> DataFrame:
@@ -33,30 +41,34 @@ def prior_counts(df: DataFrame, order: list[str]) -> DataFrame:
     `order` breaks ties of a day; earlier requests of the same day count.
     """
     ok = eligible(F.col("requester"))
-    own = W.partitionBy("requester", _apart(*order)).orderBy("reg", *order)
-    pair = W.partitionBy("requester", _apart(*order), "agency").orderBy("reg", *order)
-    first = (F.row_number().over(pair) == 1).cast("int")
-    d = df.withColumn("_first", first).withColumn("_pair", F.row_number().over(pair) - 1)
-    agencies = F.sum("_first").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("_first")
-    absent = F.lit(ABSENT)
-    return d.select(
-        *df.columns,
-        F.when(ok, F.row_number().over(own) - 1).otherwise(absent).cast("long").alias("n_prior"),
-        F.when(ok, F.col("_pair")).otherwise(absent).cast("long").alias("n_prior_pair"),
-        F.when(ok, agencies).otherwise(absent).cast("long").alias("n_agencies_prior"),
-        F.when(ok, F.coalesce(F.datediff("reg", F.lag("reg").over(own)), absent)).otherwise(absent).cast("long").alias("days_since_last"),
-    )
+    own, pair = (W.partitionBy("requester", OWN, *more).orderBy("reg", *order) for more in ([], ["agency"]))
+    d = apart(df).withColumn("_pair", F.row_number().over(pair) - 1)
+    seen = F.count_if(F.col("_pair") == 0).over(own.rowsBetween(W.unboundedPreceding, 0)) - (F.col("_pair") == 0).cast("int")
+    counts = {
+        "n_prior": F.row_number().over(own) - 1, "n_prior_pair": F.col("_pair"), "n_agencies_prior": seen,
+        "days_since_last": F.coalesce(F.datediff("reg", F.lag("reg").over(own)), F.lit(ABSENT)),
+    }
+    kept = [*df.columns, *([OWN] if OWN in df.columns else [])]
+    return d.select(*dict.fromkeys(kept), *[F.when(ok, c).otherwise(F.lit(ABSENT)).cast("long").alias(n) for n, c in counts.items()])
 
 
 def matured_history(df: DataFrame, keys: list[str], name: str, lag: int = 60) -> DataFrame:
     """Adds {name} (sum of labels), {name}_den (requests) and {name}_rate of the same keys up to `lag` days before."""
-    spread = [_apart("agency", "y")] if "requester" in keys else []
-    w = W.partitionBy(*keys, *spread).orderBy(day_number(F.col("reg"))).rangeBetween(W.unboundedPreceding, -lag)
+    d = apart(df) if "requester" in keys else df
+    by = ", ".join([*(f"`{k}`" for k in keys), *([OWN] if "requester" in keys else [])])
+    past = f"OVER (PARTITION BY {by} ORDER BY reg RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '{int(lag)}' DAY PRECEDING)"
     ok = eligible(F.col("requester"))
-    out = df.withColumn(f"{name}_den", F.when(ok, F.count("*").over(w))).withColumn(
-        name, F.when(ok, F.coalesce(F.sum("y").over(w), F.lit(0))).otherwise(F.lit(ABSENT)).cast("long")
-    )
-    return out.withColumn(f"{name}_rate", F.coalesce(ratio(F.col(name), F.col(f"{name}_den")), F.lit(float(ABSENT))))
+    out = d.withColumn("_n", F.expr(f"count(*) {past}")).withColumn("_y", F.expr(f"sum(y) {past}"))
+    out = out.withColumn(f"{name}_den", F.when(ok, F.col("_n"))).withColumn(name, F.when(ok, F.coalesce("_y", F.lit(0))).otherwise(F.lit(ABSENT)).cast("long"))
+    out = out.withColumn(f"{name}_rate", F.coalesce(ratio(F.col(name), F.col(f"{name}_den")), F.lit(float(ABSENT)))).drop("_n", "_y")
+    return out if OWN in df.columns else out.drop(OWN)
+
+
+def histories(df: DataFrame, order: list[str], lag: int = 60) -> DataFrame:
+    """All features of a requester's past: prior_counts, and matured_history of the requester (`prev`) and of the requester at
+    the agency (`prev_here`). One shuffle; windows of a pair come first, so that each sort order is made once."""
+    d = matured_history(apart(df), ["requester", "agency"], "prev_here", lag)
+    return matured_history(prior_counts(d, order), ["requester"], "prev", lag).drop(OWN)
 
 
 def daily(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,12 +87,21 @@ def rolling(df: DataFrame, windows: tuple[int, ...] = (90, 365), lag: int = 60,
     return d
 
 
-def rolling_rates(df: DataFrame, base: float, windows: tuple[int, ...] = (90, 365), lag: int = 60, prior: float = 20.0) -> DataFrame:
-    """Per (agency, day): rate_w, smoothed towards the training base rate, and their trend."""
+def rolling_rates(
+    df: DataFrame, base: float | None = None, windows: tuple[int, ...] = (90, 365), lag: int = 60, prior: float = 20.0, train: str | None = None
+) -> DataFrame:
+    """Per (agency, day): rate_w, smoothed towards the training base rate, and their trend.
+
+    The base rate is given, or is that of the days where `train`, a SQL condition on reg, holds: a sum of the same
+    daily sums, so the log isn't read again.
+    """
     d = rolling(df, windows, lag)
+    if base is None:
+        sums = daily(df, ["agency"]).agg(F.sum(F.when(F.expr(train), F.col("y_day"))).alias("_y"), F.sum(F.when(F.expr(train), F.col("n_day"))).alias("_n"))
+        d = d.crossJoin(F.broadcast(sums.select(F.coalesce(ratio(F.col("_y"), F.col("_n")), F.lit(0.0)).alias("_base"))))
     for w in windows:
-        d = d.withColumn(f"rate_{w}", smoothed(F.col(f"sum_{w}"), F.col(f"cnt_{w}"), F.lit(base), prior))
-    return d.withColumn("trend", F.col(f"rate_{windows[0]}") - F.col(f"rate_{windows[-1]}"))
+        d = d.withColumn(f"rate_{w}", smoothed(F.col(f"sum_{w}"), F.col(f"cnt_{w}"), F.lit(base) if base is not None else F.col("_base"), prior))
+    return d.withColumn("trend", F.col(f"rate_{windows[0]}") - F.col(f"rate_{windows[-1]}")).drop("_base")
 
 
 def births(df: DataFrame) -> DataFrame:
@@ -121,9 +142,15 @@ def settled(df: DataFrame, status: str, in_transit: str) -> DataFrame:
 
 
 def unlagged_history(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The history as it leaks: all earlier rows, labels not matured. Only to measure the leak."""
-    w = W.partitionBy(*keys).orderBy("reg", *order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("leaky_sum", F.coalesce(F.sum("y").over(w), F.lit(0))).withColumn("leaky_den", F.count("*").over(w))
+    """The history as it leaks: all earlier rows, labels not matured; -1 for requesters without a history. Only to measure the leak."""
+    of_requester = "requester" in keys
+    d = apart(df) if of_requester else df
+    w = W.partitionBy(*keys, *([OWN] if of_requester else [])).orderBy("reg", *order).rowsBetween(W.unboundedPreceding, -1)
+    out = d.withColumn("leaky_sum", F.coalesce(F.sum("y").over(w), F.lit(0))).withColumn("leaky_den", F.count("*").over(w))
+    if of_requester:
+        ok = eligible(F.col("requester"))
+        out = out.withColumns({c: F.when(ok, F.col(c)).otherwise(F.lit(ABSENT)).cast("long") for c in ("leaky_sum", "leaky_den")})
+    return out if OWN in df.columns else out.drop(OWN)
 
 
 def strictly_prior(df: DataFrame, window: int, key: str = "agency") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.operators import audit
+from docketspark.operators.metrics import quantiles
 from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log, table
 
@@ -64,7 +65,8 @@ def deadline_spread(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH {LOG} SELECT year, quantile_cont(reg - asked, 0.5) FILTER (y = 0) AS y_0, quantile_cont(reg - asked, 0.5) FILTER (y = 1) AS y_1 FROM req GROUP BY year""")
 def deadline_pivot(spark: SparkSession, d: str) -> DataFrame:
     log = request_log(spark, d).withColumn("days", F.datediff("reg", "asked"))
-    return log.groupBy("year").pivot("y", [0, 1]).agg(F.percentile("days", 0.5)).select("year", F.col("0").alias("y_0"), F.col("1").alias("y_1"))
+    q = quantiles(log, "days", [0.5], ["year", "y"])
+    return q.groupBy("year").pivot("y", [0, 1]).agg(F.max(F.get("quantiles", F.lit(0)))).select("year", F.col("0").alias("y_0"), F.col("1").alias("y_1"))
 
 
 @query("""WITH {LOG}, c AS (SELECT year, quantity, count(*) AS c FROM req GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY year) AS n, row_number() OVER (PARTITION BY year ORDER BY c DESC, quantity) AS rn FROM c)

@@ -12,6 +12,8 @@ from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log, table
 
 ORDER = ["request_id", "line", "part", "quantity", "agency"]
+#: The days of the training years, as a condition.
+TRAIN_DAYS = f"year(reg) in ({', '.join(map(str, DEMO.train_years))})"
 
 
 def _train(log: DataFrame) -> DataFrame:
@@ -97,11 +99,11 @@ def right_closed_bins(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS v, count(*) AS n FROM events, (SELECT json_keys(props)[1] AS k FROM events LIMIT 1) GROUP BY 1""")
+@query("""SELECT k, json_extract_string(props, '$.' || k) AS v, count(*) AS n FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL""")
 def json_payload(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    first = e.select(F.get(F.json_object_keys("props"), F.lit(0)).alias("k")).limit(1)
-    return e.crossJoin(F.broadcast(first)).groupBy(F.try_element_at(F.from_json("props", "map<string,string>"), F.col("k")).alias("v")).agg(F.count("*").alias("n"))
+    """Rows per key and value of the payload."""
+    pairs = table(spark, d, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("k", "v"))
+    return pairs.groupBy("k", "v").agg(F.count("*").alias("n"))
 
 
 @query("""WITH {LOG}, p AS (SELECT * FROM (SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_custkey ORDER BY c_name) AS rn FROM customer) WHERE rn = 1)
@@ -124,10 +126,11 @@ def receivers_semi(spark: SparkSession, d: str) -> DataFrame:
     return request_log(spark, d).join(rich, "requester", "left_semi").groupBy("agency").agg(F.count("*").alias("n"))
 
 
-@query("""WITH {LOG}, seen AS (SELECT DISTINCT part FROM req WHERE year <= 1996) SELECT DISTINCT part FROM req WHERE year > 1996 AND part NOT IN (SELECT part FROM seen)""")
+@query("""WITH {LOG} SELECT DISTINCT requester, agency FROM req r WHERE year >= 1997 AND NOT EXISTS (SELECT 1 FROM req s WHERE s.requester = r.requester AND s.agency = r.agency AND s.year < 1997)""")
 def new_agencies_anti(spark: SparkSession, d: str) -> DataFrame:
-    log = request_log(spark, d)
-    return log.where("year > 1996").select("part").distinct().join(log.where("year <= 1996").select("part"), "part", "left_anti")
+    """Agencies that are new to a requester from 1997 on."""
+    log, pair = request_log(spark, d), ["requester", "agency"]
+    return log.where("year >= 1997").select(*pair).distinct().join(log.where("year < 1997").select(*pair), pair, "left_anti")
 
 
 @query("""WITH o AS (SELECT c_custkey, c_mktsegment, c_nationkey FROM customer), n AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 <> 0)
@@ -139,19 +142,19 @@ def snapshot_compare(spark: SparkSession, d: str) -> DataFrame:
     return joins.compare_snapshots(old, new, "c_custkey", ["c_mktsegment", "c_nationkey"])
 
 
-@query("""WITH {LOG}, t AS (SELECT agency, channel, count(*) AS n FROM req WHERE year = 1995 AND line = 1 GROUP BY ALL HAVING count(*) >= 5)
-    SELECT coalesce(t.n, -1) AS n, count(*) AS rows FROM req LEFT JOIN t USING (agency, channel) WHERE year = 1996 GROUP BY 1""")
+@query("""WITH {LOG}, t AS (SELECT agency, channel, count(*) AS n FROM req WHERE year BETWEEN 1995 AND 1998 GROUP BY ALL HAVING count(*) >= 5)
+    SELECT coalesce(t.n, -1) AS n, count(*) AS rows FROM req LEFT JOIN t USING (agency, channel) GROUP BY 1""")
 def composite_lookup(spark: SparkSession, d: str) -> DataFrame:
     log = request_log(spark, d)
-    t = log.where("year = 1995 and line = 1").groupBy("agency", "channel").agg(F.count("*").alias("n")).where("n >= 5")
-    return joins.composite_lookup(log.where("year = 1996"), t, ["agency", "channel"], "n", -1).groupBy("n").agg(F.count("*").alias("rows"))
+    t = _train(log).groupBy("agency", "channel").agg(F.count("*").alias("n")).where("n >= 5")
+    return joins.composite_lookup(log, t, ["agency", "channel"], "n", -1).groupBy("n").agg(F.count("*").alias("rows"))
 
 
-@query("""WITH {LOG}, r AS (SELECT agency, reg, max(part) AS part FROM req WHERE line = 1 GROUP BY ALL), l AS (SELECT DISTINCT agency, reg FROM req WHERE line = 2)
+@query("""WITH {LOG}, r AS (SELECT agency, reg, max(part) AS part FROM req GROUP BY ALL), l AS (SELECT DISTINCT agency, reg FROM req)
     SELECT l.agency, l.reg, r.part AS asof_part FROM l ASOF LEFT JOIN r ON l.agency = r.agency AND l.reg >= r.reg + 60""")
 def asof_backward(spark: SparkSession, d: str) -> DataFrame:
     log = request_log(spark, d)
-    return history.asof(log.where("line = 2").select("agency", "reg").distinct(), log.where("line = 1").select("agency", "reg", "part"), ["agency"], "reg", ["part"], lag=60)
+    return history.asof(log.select("agency", "reg").distinct(), log.select("agency", "reg", "part"), ["agency"], "reg", ["part"], lag=60)
 
 
 _KEYS = "request_id, line, part, quantity, agency"
@@ -207,7 +210,7 @@ _ROLL = """WITH {LOG}, b AS (SELECT avg(y) AS base FROM req WHERE year BETWEEN 1
     round((sum_90 + 20 * base) / (cnt_90 + 20) - (sum_365 + 20 * base) / (cnt_365 + 20), 6) AS trend, CAST(cnt_90 AS BIGINT) AS volume FROM r, b""")
 def rolling_rate_90_365(spark: SparkSession, d: str) -> DataFrame:
     log = request_log(spark, d)
-    out = history.rolling_rates(log, encode.base_rate(_train(log)), DEMO.windows, DEMO.maturity_days, DEMO.prior_rolling)
+    out = history.rolling_rates(log, None, DEMO.windows, DEMO.maturity_days, DEMO.prior_rolling, train=TRAIN_DAYS)
     return out.select("agency", "reg", *[F.round(c, 6).alias(c) for c in ("rate_90", "rate_365", "trend")], F.col("cnt_90").alias("volume"))
 
 
@@ -222,12 +225,15 @@ def agency_age(spark: SparkSession, d: str) -> DataFrame:
 @query(_ROLL + " SELECT agency, round(arg_max((sum_90 + 20 * base) / (cnt_90 + 20), reg), 6) AS rate FROM r, b GROUP BY agency")
 def latest_per_agency(spark: SparkSession, d: str) -> DataFrame:
     log = request_log(spark, d)
-    rates = history.rolling_rates(log, encode.base_rate(_train(log)), DEMO.windows, DEMO.maturity_days, DEMO.prior_rolling)
+    rates = history.rolling_rates(log, None, DEMO.windows, DEMO.maturity_days, DEMO.prior_rolling, train=TRAIN_DAYS)
     return history.latest(rates, "agency", "rate_90").select("agency", F.round("rate_90", 6).alias("rate"))
 
 
-@query("WITH {LOG} SELECT requester, reg, " + _KEYS + f""", CAST(coalesce(sum(y) OVER (PARTITION BY requester ORDER BY reg, {_KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS leaky_sum,
-    count(*) OVER (PARTITION BY requester ORDER BY reg, {_KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS leaky_den FROM req""")
+_BEFORE = f"OVER (PARTITION BY requester ORDER BY reg, {_KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query("WITH {LOG} SELECT requester, reg, " + _KEYS + f""", CAST(CASE WHEN requester <> 0 THEN coalesce(sum(y) {_BEFORE}, 0) ELSE -1 END AS BIGINT) AS leaky_sum,
+    CASE WHEN requester <> 0 THEN count(*) {_BEFORE} ELSE -1 END AS leaky_den FROM req""")
 def leaky_history(spark: SparkSession, d: str) -> DataFrame:
     return history.unlagged_history(request_log(spark, d), ["requester"], ORDER).select("requester", "reg", *ORDER, "leaky_sum", "leaky_den")
 
@@ -265,9 +271,9 @@ def category_codes(spark: SparkSession, d: str) -> DataFrame:
     return encode.category_codes(_train(request_log(spark, d)), ["channel", "status"])
 
 
-@query("""WITH {LOG}, l AS (SELECT channel, dense_rank() OVER (ORDER BY channel) - 1 AS code FROM (SELECT DISTINCT channel FROM req WHERE year = 1995 AND channel <> '3-MEDIUM'))
-    SELECT CAST(coalesce(code, -1) AS INTEGER) AS channel, count(*) AS n FROM req LEFT JOIN l USING (channel) WHERE year = 1999 GROUP BY 1""")
+@query("""WITH {LOG}, l AS (SELECT channel, dense_rank() OVER (ORDER BY channel) - 1 AS code FROM (SELECT DISTINCT channel FROM req WHERE year BETWEEN 1995 AND 1998 AND channel <> '3-MEDIUM'))
+    SELECT CAST(coalesce(code, -1) AS INTEGER) AS channel, count(*) AS n FROM req LEFT JOIN l USING (channel) GROUP BY 1""")
 def encode_unseen(spark: SparkSession, d: str) -> DataFrame:
     log = request_log(spark, d)
-    codes = encode.category_codes(log.where("year = 1995 and channel <> '3-MEDIUM'"), ["channel"])
-    return encode.encode(log.where("year = 1999"), codes, ["channel"]).groupBy("channel").agg(F.count("*").alias("n"))
+    codes = encode.category_codes(_train(log).where("channel <> '3-MEDIUM'"), ["channel"])
+    return encode.encode(log, codes, ["channel"]).groupBy("channel").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketspark.config import DEMO
 from docketspark.operators import encode, history, metrics, model, serving
+from docketspark.plans.features import TRAIN_DAYS
 from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log
 
@@ -123,12 +124,10 @@ FEATURES = ["quantity", "n_prior", "n_prior_pair", "days_since_last", "prev", "p
 
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    """All features of every request; the plan's shuffles are by requester and by agency."""
+    """All features of every request; the plan shuffles the log once by requester and once by (agency, day)."""
     log = request_log(spark, d)
-    base = encode.base_rate(log.where(F.col("year").isin(*DEMO.train_years)))
-    out = history.prior_counts(log, ["request_id", "line", "part", "quantity", "agency"])
-    out = history.matured_history(out, ["requester"], "prev")
-    rates = history.rolling_rates(log, base).select("agency", "reg", "rate_90", "rate_365", "trend")
+    out = history.histories(log, ["request_id", "line", "part", "quantity", "agency"])
+    rates = history.rolling_rates(log, train=TRAIN_DAYS).select("agency", "reg", "rate_90", "rate_365", "trend")
     out = out.join(rates, ["agency", "reg"])
     codes = encode.category_codes(log.where(F.col("year").isin(*DEMO.train_years)), ["channel"])
     return encode.encode(out, codes, ["channel"])
