@@ -44,7 +44,7 @@ def terms_of(text: str, piece: int = 1 << 20) -> Iterator[list[bytes]]:
         begin = end
 
 
-def counted(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def counted(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of rows (lang, source, text), summed within a task; a row without a term for each group.
 
     A task holds at most about `most` sums, plus one document's, before it hands them on.
@@ -146,7 +146,7 @@ def one_sided(rows: np.ndarray, prices: np.ndarray, zero: np.ndarray) -> np.ndar
 
 def pair_sums(cells: pa.Table, sources: pa.Table) -> pa.Table:
     """Of one tile and two blocks of rows: (a, b, part) for pairs of rows a < b, one of each block. cells: nonzeros (row, term, p);
-    sources: the blocks' rows (row, block_row, zero), where block_row tells the blocks apart."""
+    sources: the blocks' rows (row, own, zero), where own is the block's number."""
     ids, first = np.unique(sources["row"].to_numpy(), return_index=True)
     zero, block = sources["zero"].to_numpy()[first], sources["own"].to_numpy()[first]
     split = int((block == block[0]).sum()) if len(ids) else 0
@@ -154,7 +154,7 @@ def pair_sums(cells: pa.Table, sources: pa.Table) -> pa.Table:
     if cells.num_rows == 0:
         return pa.table({n: pa.array([], pa.int64()) for n in ("a", "b", "part")})
     rows, prices = np.searchsorted(ids, cells["row"].to_numpy()), cells["p"].to_numpy()
-    columns = np.unique(cells["term"].to_numpy(), return_inverse=True)[1]
+    columns = cells["term"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
     alone = one_sided(rows, prices, zero)
     both = Quadtree(rows, columns, prices, zero).joint(*blocks)[: len(ids), : len(ids)]
     total = alone + alone.T + both
@@ -164,7 +164,7 @@ def pair_sums(cells: pa.Table, sources: pa.Table) -> pa.Table:
     return pa.table({"a": ids[a], "b": ids[b], "part": total[a, b]})
 
 
-def source_divergence(docs: DataFrame, least_docs: int = 30, most_terms: int = 50, block: int = 256, cells_each: int = 250_000) -> DataFrame:
+def source_divergence(docs: DataFrame, least_docs: int = 30, most_terms: int = 50, block: int = 256, cells_each: int = 50_000, tile_terms: int = 100) -> DataFrame:
     """lang, source, part, item, value, rank: how far each source's use of terms lies from other sources' and from its language's.
 
     Null text, lang and source are ''. A language keeps the terms of at least `least_docs` of its documents. Part `pair` has every
@@ -175,24 +175,28 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, most_terms: int = 5
     small_batches(docs.sparkSession)
     read = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     sums = docs.select(*read).mapInArrow(counted, "lang string, source string, term string, n long, docs long")
-    sums = durable(sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    uses = sums.where("term is not null")
-    kept = uses.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).where(F.col("docs") >= least_docs)
-    kept = durable(kept.select("lang", "term", "n_lang", F.monotonically_increasing_id().alias("column")))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("all_lang"))
-    cells = uses.join(kept, ["lang", "term"]).select("lang", "source", "term", "column", "n", "n_lang")
-    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("all"), F.count("*").alias("cells"))
-    groups = sums.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
-    groups = durable(groups.withColumn("row", F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long") - 1))
+    # summed within tasks already, so one shuffle by term serves the sums by source and those by language; rare terms end here
+    term = W.partitionBy("lang", "term")
+    cells = sums.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    cells = cells.withColumns({"docs": F.sum("docs").over(term), "n_lang": F.sum("n").over(term), "first": F.row_number().over(term.orderBy("source")) == 1})
+    cells = durable(cells.where((F.col("docs") >= least_docs) | F.col("term").isNull()).drop("docs"))
+    uses = cells.where("term is not null")
+    langs = uses.where("first").groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("all_lang"))
+    totals = uses.groupBy("lang", "source").agg(F.sum("n").alias("all"), F.count("*").alias("cells"))
+    groups = cells.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
+    groups = groups.withColumn("row", F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long") - 1)
+    of_lang = W.partitionBy("lang")
+    tile_cells = F.greatest(F.lit(cells_each), F.count("*").over(of_lang) * tile_terms)
+    groups = durable(groups.withColumn("tiles", F.greatest(F.ceil(F.sum("cells").over(of_lang) / tile_cells), F.lit(1)).cast("long")))
     groups = groups.withColumn("zero", price(F.lit(0), F.col("all"), F.col("v"))).withColumn("own", F.floor(F.col("row") / block).cast("long"))
-    priced = cells.join(groups, ["lang", "source"]).withColumn("p", price(F.col("n"), F.col("all"), F.col("v")))
-    priced = durable(priced.select("lang", "source", "row", "own", "term", "column", "p", price(F.col("n_lang"), F.col("all_lang"), F.col("v")).alias("q")))
+    priced = uses.join(groups, ["lang", "source"]).withColumn("p", price(F.col("n"), F.col("all"), F.col("v"))).withColumn("tile", F.pmod(F.xxhash64("term"), F.col("tiles")))
+    priced = durable(priced.select("lang", "source", "row", "own", "tile", "term", "p", price(F.col("n_lang"), F.col("all_lang"), F.col("v")).alias("q")))
 
     over = priced.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     best = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     over = over.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most_terms)
 
-    pairs = block_sums(priced, groups, cells_each).groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))
+    pairs = block_sums(priced, groups).groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))
     one = groups.select("lang", F.col("source").alias("s1"), F.col("row").alias("a"), F.col("zero").alias("z1"), "v")
     two = groups.select("lang", F.col("source").alias("s2"), F.col("row").alias("b"), F.col("zero").alias("z2"))
     every = one.join(two, "lang").where("a < b").join(pairs, ["lang", "a", "b"], "left")
@@ -202,13 +206,10 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, most_terms: int = 5
     return every.withColumn("rank", F.row_number().over(best)).unionByName(over)
 
 
-def block_sums(priced: DataFrame, groups: DataFrame, cells_each: int) -> DataFrame:
-    """(lang, a, b, part) of every tile of terms and every two blocks of rows that both have cells in it."""
-    tiles = groups.groupBy("lang").agg(F.greatest(F.ceil(F.sum("cells") / cells_each), F.lit(1)).cast("long").alias("tiles"))
-    cells = priced.join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("column"), F.col("tiles")))
-    cells = durable(cells.select("lang", "tile", "own", "row", F.col("column").alias("term"), "p"))
+def block_sums(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, a, b, part) of every tile of terms and every two blocks of rows of which one has cells in it."""
     quadrants = cells.select("lang", "tile", "own").distinct()
-    blocks = groups.groupBy("lang").agg(F.max("own").alias("last")).join(tiles, "lang")
+    blocks = groups.groupBy("lang").agg(F.max("own").alias("last"))
     # a pair of blocks is met where either has cells: one row's cells are priced against all rows of the other block
     met = quadrants.join(blocks, "lang").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     met = durable(met.select("lang", "tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct())
