@@ -48,3 +48,14 @@ FORBIDDEN_INPUTS = (
     "PrazoRestricaoAcesso", "AssuntoPedido", "SubAssuntoPedido", "Tag",
     "PrazoAtendimento", "prazo_dias", "ProtocoloPedido", "protocolo_seq",
 )
+
+#: The inputs of the shipped model, in its order; the first fourteen are categories.
+MODEL_INPUTS = (
+    "Esfera", "UF", "Municipio", "OrgaoDestinatario", "FormaResposta", "OrigemSolicitacao", "TipoDemandante",
+    "Genero", "Escolaridade", "Profissao", "TipoPessoaJuridica", "Pais", "UF_sol", "Municipio_sol",
+    "reg_month", "reg_dow", "reg_day", "idade", "orgao_rate", "uf_match", "n_pedidos_previos",
+    "prev_reenc_solicitante", "prev_reenc_rate_solicitante", "n_pedidos_previos_neste_orgao",
+    "prev_reenc_neste_orgao", "n_orgaos_distintos_previos", "dias_desde_ultimo_pedido",
+    "prev_reenc_rate_neste_orgao", "orgao_rate_movel_90d", "orgao_rate_movel_365d",
+    "dias_desde_primeiro_pedido_do_orgao",
+)

@@ -67,6 +67,15 @@ def same_region(a: Column, b: Column) -> Column:
     return same(region(a), region(b))
 
 
+def missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds {column}_missing, 1 where null, for each column, and `complete`, 1 where none is."""
+    flags = {f"{c}_missing": F.col(c).isNull().cast("int") for c in columns}
+    none = F.lit(True)
+    for c in columns:
+        none = none & F.col(c).isNotNull()
+    return df.withColumns(flags | {"complete": none.cast("int")})
+
+
 def flag(c: Column, yes: str) -> Column:
     return same(c, F.lit(yes))
 
@@ -93,16 +102,22 @@ def share_text(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.format_string("%.2f%%", 100.0 * part / whole)).otherwise("-")
 
 
-#: Personal data that an artifact must not hold: a taxpayer number in its printed form (three groups of three digits and a pair) or as a
-#: word of eleven digits, a mail address (a local part, then labels of a domain with a dot between them), the name of the requester's
-#: number, and a birth date's field with a value that begins with a digit.
+#: The printed form of a taxpayer number, and its digits alone.
+CPF, ELEVEN = r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", r"\b\d{11}\b"
+#: Fields of a person's record: name of the finding, name of the field, and how a value must begin to count (nothing: the name alone counts).
+PERSONAL_FIELDS = (("requester", "IdSolicitante", ""), ("birth_date", "DataNascimento", r"\d"))
+
+
+def _field(name: str, begin: str) -> str:
+    """A field's name as a word; with `begin`, only where a quoted value that begins so follows, the name's own quote aside."""
+    return rf"\b{name}\b" + (rf'"?\s*:\s*"{begin}' if begin else "")
+
+
+#: Personal data that an artifact must not hold. A mail address is a local part, then labels of a domain with a dot between them.
 PERSONAL = {
-    "cpf": r"(?<![0-9A-Za-z_])[0-9]{3}[.][0-9]{3}[.][0-9]{3}-[0-9]{2}(?![0-9A-Za-z_])",
-    "eleven_digits": r"(?<![0-9A-Za-z_])[0-9]{11}(?![0-9A-Za-z_])",
-    "e_mail": r"[0-9A-Za-z_.%+-]+@[0-9A-Za-z-]+([.][0-9A-Za-z-]+)+",
-    "requester": r"(?<![0-9A-Za-z_])IdSolicitante(?![0-9A-Za-z_])",
-    "birth_date": r"(?<![0-9A-Za-z_])DataNascimento\"?\s*:\s*\"[0-9]",
-}
+    "cpf": CPF, "eleven_digits": ELEVEN, "e_mail": r"[0-9A-Za-z_.%+-]+@[0-9A-Za-z-]+([.][0-9A-Za-z-]+)+",
+    **{finding: _field(name, begin) for finding, name, begin in PERSONAL_FIELDS},
+}
 
 
 def personal_data(c: Column) -> Column:

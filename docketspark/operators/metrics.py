@@ -20,8 +20,10 @@ from docketspark.sources.store import stored
 RANGE_BLOCKS = 50_000
 
 
-def blocks(df: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
-    """(by, score, n, pos): rows and positives per distinct score. Null scores or labels are left out."""
+def blocks(df: DataFrame, score: str = "score", by: list[str] | None = None, counted: bool = False) -> DataFrame:
+    """(by, score, n, pos): rows and positives per distinct score. Null scores or labels are left out. `counted` frames have n and pos."""
+    if counted:
+        return df.where(F.col(score).isNotNull()).groupBy(*(by or []), F.col(score).alias("score")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     return df.where(F.col(score).isNotNull() & F.col("y").isNotNull()).groupBy(*(by or []), F.col(score).alias("score")).agg(
         F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("pos")
     )
@@ -78,14 +80,14 @@ def quantiles(df: DataFrame, value: Column | str, at: list[float], by: list[str]
     return out.where("n is not null").select(*by, "n", F.array(*q).alias("quantiles"))
 
 
-def precision_at_k(df: DataFrame, fraction: float, score: str = "score", by: list[str] | None = None) -> DataFrame:
+def precision_at_k(df: DataFrame, fraction: float, score: str = "score", by: list[str] | None = None, counted: bool = False) -> DataFrame:
     """precision, k, n_tied, need: the expected precision of the k highest scores when ties fall by lot.
 
     k is the fraction of the rows, rounded half to even, at least 1. All positives strictly
     above the cut count, and of the tied ones the share that the queue still takes. No rows, no result row.
     """
     by = by or []
-    b = with_above(blocks(df, score, by), by)
+    b = with_above(blocks(df, score, by, counted), by)
     k = F.least(F.greatest(F.bround(F.lit(float(fraction)) * F.col("n_all")).cast("long"), F.lit(1)), F.col("n_all"))
     cut = b.withColumn("k", k).where((F.col("n_above") < F.col("k")) & (F.col("k") <= F.col("n_above") + F.col("n")))
     need = F.col("k") - F.col("n_above")
@@ -112,10 +114,10 @@ def roc_auc(df: DataFrame, score: str = "score", by: list[str] | None = None) ->
     return b.groupBy(*by).agg(ratio(won, pairs).alias("auc"))
 
 
-def average_precision(df: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
+def average_precision(df: DataFrame, score: str = "score", by: list[str] | None = None, counted: bool = False) -> DataFrame:
     """ap: the sum over distinct scores of recall gained times precision."""
     by = by or []
-    b = with_above(blocks(df, score, by), by)
+    b = with_above(blocks(df, score, by, counted), by)
     step = F.col("pos") * (F.col("pos_above") + F.col("pos")) / (F.col("n_above") + F.col("n"))
     return b.groupBy(*by).agg(ratio(F.sum(step), F.max("pos_all")).alias("ap"))
 

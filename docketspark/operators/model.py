@@ -1,58 +1,105 @@
-"""Models: training, calibration, selection, and scoring of LightGBM text models as Spark expressions."""
+"""Models: training with staged validation, search, selection, calibration. Trees are scored by operators.trees."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from hashlib import md5
 
-from pyspark.ml import PipelineModel
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.functions.columns import interpolated
 from docketspark.operators import metrics
+from docketspark.operators.trees import Forest, forest_of, probability, staged
+from docketspark.sources.store import stored
 
 
 @dataclass
 class Fitted:
-    """A boosted-tree model, the number of trees kept, and its validation metric."""
+    """A boosted-tree model cut to the trees kept, its validation metric, and each input's share of the gain."""
 
-    model: PipelineModel
+    forest: Forest
     features: list[str]
     trees: int
     validation_ap: float
+    gains: list[float] = field(default_factory=list)
 
     def score(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df)
-        return out.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
+        return df.withColumn("score", probability(self.forest))
 
     def importance(self, top: int = 15) -> list[tuple[str, float]]:
-        gains = self.model.stages[-1].featureImportances.toArray()
-        return sorted(zip(self.features, 100 * gains / max(gains.sum(), 1e-12), strict=True), key=lambda x: -x[1])[:top]
+        total = max(sum(self.gains), 1e-12)
+        return sorted(zip(self.features, (100 * g / total for g in self.gains), strict=True), key=lambda x: -x[1])[:top]
 
 
-def fit_trees(train: DataFrame, validation: DataFrame, features: list[str], options: tuple[int, ...] = (10, 20, 40), depth: int = 4, seed: int = 42) -> Fitted:
-    """Boosted trees; of the numbers of trees in `options` the one with the best validation average precision.
+def stopped(curve: Sequence[float], patience: int) -> int:
+    """How many trees to keep: the first best of the rounds before `patience` of them brought no gain."""
+    best = 0
+    for i, ap in enumerate(curve):
+        if ap > curve[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_trees(
+    train: DataFrame, validation: DataFrame, features: list[str], rounds: int = 60, patience: int = 40, depth: int = 4, step: float = 0.1, least: int = 20,
+    share: float = 1.0, bins: int = 63, seed: int = 42,
+) -> Fitted:
+    """Boosted trees, fitted once; the validation average precision of every number of trees comes from one pass over the validation rows,
+    and the rounds end where `patience` of them bring no gain. `least` rows make a leaf, each split sees a `share` of the inputs.
 
-    It stops at the first number that doesn't improve. Nulls become -1 before this, as in serving.
+    Unknown inputs (null, NaN) are -1 in training, as they are in serving, and go the same way in scoring.
     """
-    assembler, best = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), None
-    for n in options:
-        trees = GBTClassifier(labelCol="y", featuresCol="features", maxIter=n, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, maxBins=63)
-        fitted = Fitted(PipelineModel([assembler, trees.fit(assembler.transform(train))]), features, n, 0.0)
-        fitted.validation_ap = metrics.average_precision(fitted.score(validation)).first()[0] or 0.0
-        if best is not None and fitted.validation_ap <= best.validation_ap:
-            break
-        best = fitted
-    return best
+    unknown = F.lit(-1.0)
+    rows = train.select(*[F.coalesce(F.nanvl(F.col(f).cast("double"), unknown), unknown).alias(f) for f in features], F.col("y").cast("double").alias("y"))
+    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("features", "y")
+    trees = GBTClassifier(
+        labelCol="y", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed, maxBins=bins,
+        minInstancesPerNode=least, featureSubsetStrategy="all" if share >= 1 else str(share),
+    ).fit(assembled)
+    forest = forest_of(trees, features)
+    by_trees = {r["trees"]: r["ap"] or 0.0 for r in metrics.average_precision(staged(validation, forest, ["y"]), by=["trees"]).collect()}  # one row a round
+    curve = [by_trees.get(i + 1, 0.0) for i in range(len(forest))]
+    kept = stopped(curve, patience)
+    return Fitted(forest.prefix(kept), features, kept, curve[kept - 1], trees.featureImportances.toArray().tolist())
+
+
+def draws(lists: dict[str, Sequence], n: int = 16, seed: int = 42) -> list[dict]:
+    """`n` random settings, one value of each list by a hash of seed, draw and name; so a draw doesn't depend on the others."""
+    return [{k: v[int(md5(f"{seed}/{i}/{k}".encode()).hexdigest()[:8], 16) % len(v)] for k, v in lists.items()} for i in range(n)]
+
+
+#: The lists of the search: leaves (as depth), step, rows of a leaf, share of inputs, bins.
+SEARCH = {"depth": (4, 5, 6, 7), "step": (0.03, 0.05, 0.1, 0.2), "least": (20, 50, 100, 300), "share": (0.6, 0.8, 1.0), "bins": (31, 63, 127)}
+
+
+def random_search(
+    table: DataFrame, is_train: Column, is_validation: Column, features: list[str], n: int = 16, seed: int = 42, at_once: int = 4, lists: dict[str, Sequence] = SEARCH, **options
+) -> list[tuple[dict, Fitted]]:
+    """`n` drawn settings, each fitted on one stored feature table, `at_once` as concurrent Spark jobs; best validation first, ties by draw.
+
+    Only training and validation rows are looked at: the choice can't see a test.
+    """
+    kept = stored(table.select(*features, "y", is_train.alias("_train"), is_validation.alias("_validation")).where("_train or _validation"))
+    train, validation = kept.where("_train").select(*features, "y"), kept.where("_validation").select(*features, "y")
+    settings = draws(lists, n, seed)
+    fit = inheritable_thread_target(train.sparkSession)(lambda s: fit_trees(train, validation, features, seed=seed, **(options | s)))
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(fit, settings))
+    order = sorted(range(n), key=lambda i: (-done[i].validation_ap, i))
+    return [(settings[i], done[i]) for i in order]
 
 
 def run_variants(train: DataFrame, validation: DataFrame, variants: dict[str, list[str]], **options) -> dict[str, Fitted]:
+    """The same training for several lists of inputs."""
     return {name: fit_trees(train, validation, features, **options) for name, features in variants.items()}
 
 
@@ -96,73 +143,3 @@ def fit_calibration(validation: DataFrame, points: int = 1000, score: str = "sco
         else:
             image.append(y[at] + (y[at + 1] - y[at]) * max(0.0, g - x[at]) / max(x[at + 1] - x[at], 1e-300))
     return Calibration(grid, image)
-
-
-@dataclass
-class Tree:
-    feature: list[int]
-    threshold: list[float]
-    decision: list[int]
-    left: list[int]
-    right: list[int]
-    leaf: list[float]
-    boundaries: list[int]
-    bits: list[int]
-
-
-@dataclass
-class TextModel:
-    names: list[str]
-    trees: list[Tree]
-    sigmoid: float
-
-
-def parse_text_model(text: str) -> TextModel:
-    """A LightGBM text model: blocks of key=value lines, one block per tree."""
-    head, *blocks = text.split("\nTree=")
-    keys = dict(line.split("=", 1) for line in head.splitlines() if "=" in line)
-    trees = []
-    for block in blocks:
-        v = dict(line.split("=", 1) for line in block.split("\nend of trees")[0].splitlines() if "=" in line)
-        ints = lambda k: [int(x) for x in v.get(k, "").split()]  # noqa: B023, E731
-        floats = lambda k: [float(x) for x in v.get(k, "").split()]  # noqa: B023, E731
-        trees.append(Tree(ints("split_feature"), floats("threshold"), ints("decision_type"), ints("left_child"), ints("right_child"), floats("leaf_value"), ints("cat_boundaries"), ints("cat_threshold")))
-    objective = keys.get("objective", "").split()
-    slope = next((float(x.split(":")[1]) for x in objective if x.startswith("sigmoid:")), 1.0)
-    return TextModel(keys["feature_names"].split(), trees, slope)
-
-
-def _goes_left(tree: Tree, node: int, x: Column) -> Column:
-    """Bits of the decision: 1 categorical, 2 missing goes left, then how missing is told (0 never, 1 zero, 2 NaN)."""
-    kind = tree.decision[node]
-    if kind & 1:
-        i = int(tree.threshold[node])
-        words = tree.bits[tree.boundaries[i] : tree.boundaries[i + 1]]
-        levels = [32 * w + b for w, word in enumerate(words) for b in range(32) if word >> b & 1]
-        return F.coalesce(x.cast("long").isin(levels), F.lit(False)) if levels else F.lit(False)
-    missing = kind >> 2 & 3
-    value = F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x) if missing != 2 else x
-    test = value <= tree.threshold[node]
-    if missing == 0:
-        return test
-    unknown = value.isNull() | F.isnan(value) if missing == 2 else F.abs(value) <= 1e-35
-    return F.when(unknown, F.lit(bool(kind & 2))).otherwise(test)
-
-
-def text_model_score(model: TextModel, column_of: Callable[[str], Column] = F.col) -> Column:
-    """The probability as one expression: a nested condition per tree, summed, through the sigmoid."""
-
-    def walk(tree: Tree, node: int) -> Column:
-        if node < 0:
-            return F.lit(tree.leaf[~node])
-        x = column_of(model.names[tree.feature[node]]).cast("double")
-        return F.when(_goes_left(tree, node, x), walk(tree, tree.left[node])).otherwise(walk(tree, tree.right[node]))
-
-    total = F.lit(0.0)
-    for tree in model.trees:
-        total = total + (walk(tree, 0) if tree.feature else F.lit(tree.leaf[0]))
-    return 1 / (1 + F.exp(-model.sigmoid * total))
-
-
-def sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-x))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.config import FORBIDDEN_INPUTS
-from docketspark.functions.columns import age, calendar, day, interpolated, ratio, smoothed, trimmed
+from docketspark.functions.columns import age, calendar, day, interpolated, personal_data, smoothed, trimmed
 from docketspark.operators import encode, history
+from docketspark.operators.trees import Forest, probability
 from docketspark.sources.requests import check_inputs
 
 #: The eight history inputs; they count only all together.
@@ -75,9 +76,17 @@ class Artifact:
         }
 
 
+def check_no_personal_data(spark: SparkSession, text: str) -> None:
+    """Raises if the text holds what looks like personal data, naming the kinds but not the values."""
+    found = spark.createDataFrame([(text,)], "t string").select(personal_data(F.col("t"))).first()[0]
+    if found:
+        raise ValueError(f"the artifact holds personal data: {', '.join(found)}")
+
+
 def save_artifact(spark: SparkSession, artifact: Artifact, path: str, apply: bool = False) -> str:
-    """Writes the artifact as one JSON file where Spark can write; without `apply` it only returns the text."""
+    """Writes the artifact as one JSON file where Spark can write; without `apply` it only returns the text. Personal data raise."""
     text = artifact.to_json()
+    check_no_personal_data(spark, text)
     if apply:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return text
@@ -94,7 +103,7 @@ def with_tables(df: DataFrame, tables: DataFrame, base: float) -> DataFrame:
     out = df.withColumn("agency", trimmed(F.col("agency").cast("string"))).join(t, F.col("agency") == F.col("_agency"), "left")
     for c in ("rate", "rate_90", "rate_365"):
         out = out.withColumn(c, F.coalesce(f"_{c}", F.lit(base)))
-    return out.withColumn("agency_age", F.datediff("reg", "_born")).withColumn("agency_known", F.col("_agency").isNotNull()).drop(*names.values())
+    return out.withColumn("agency_age", F.datediff("reg", "_born")).withColumn("agency_known", F.col("_rate").isNotNull()).drop(*names.values())
 
 
 def with_history(df: DataFrame) -> DataFrame:
@@ -110,14 +119,16 @@ def with_history(df: DataFrame) -> DataFrame:
     return out
 
 
-def transform(df: DataFrame, artifact: Artifact) -> DataFrame:
+def transform(df: DataFrame, artifact: Artifact, tables: DataFrame | None = None) -> DataFrame:
     """Requests (agency, reg and optional inputs) with every feature; forbidden inputs raise."""
-    return with_history(with_tables(check_inputs(df), artifact.tables(df.sparkSession), artifact.base_rate))
+    return with_history(with_tables(check_inputs(df), artifact.tables(df.sparkSession) if tables is None else tables, artifact.base_rate))
 
 
-def request_features(requests: DataFrame, artifact: Artifact) -> DataFrame:
+def request_features(requests: DataFrame, artifact: Artifact, tables: DataFrame | None = None) -> DataFrame:
     """Requests in their own field names with every input of the model; the request's fields are trimmed.
 
+    `tables` are the tables by agency as a frame (Spark joins them by their size); else the artifact's own.
+
     Codes of categories that the artifact doesn't know are -1, dates that are none give null. A field that is
     only known after the decision raises.
     """
@@ -126,7 +137,7 @@ def request_features(requests: DataFrame, artifact: Artifact) -> DataFrame:
     for c in ("UF", "UF_sol", "DataNascimento"):
         given = given if c in given.columns else given.withColumn(c, F.lit(None).cast("string"))
     given = given.withColumns({"agency": F.coalesce("OrgaoDestinatario", F.lit("")), "reg": day(F.col("DataRegistro"))})
-    out = with_history(with_tables(given, artifact.tables(given.sparkSession), artifact.base_rate))
+    out = with_history(with_tables(given, artifact.tables(given.sparkSession) if tables is None else tables, artifact.base_rate))
     out = out.withColumnsRenamed({"rate": "orgao_rate", "rate_90": "orgao_rate_movel_90d", "rate_365": "orgao_rate_movel_365d", "agency_age": "dias_desde_primeiro_pedido_do_orgao"})
     parts = calendar(F.col("reg"))
     out = out.withColumns({
@@ -140,12 +151,31 @@ def request_features(requests: DataFrame, artifact: Artifact) -> DataFrame:
     return out
 
 
-def responses(requests: DataFrame, artifact: Artifact, model: Column) -> DataFrame:
-    """One answer of eleven fields per request. The raw probability meets the threshold; the calibrated one is for reading only."""
-    out = request_features(requests, artifact).withColumn("_raw", model)
+def model_inputs(features: DataFrame, names: list[str]) -> DataFrame:
+    """Adds `inputs`, a struct of doubles with the model's names in the model's order, from request_features: categories by their code, other
+    inputs by their number. What neither the request nor the tables give is null; text where a number is due, too."""
+
+    def value(name: str) -> Column:
+        if f"code_{name}" in features.columns:
+            return F.col(f"code_{name}").cast("double")
+        return F.col(name).try_cast("double") if name in features.columns else F.lit(None).cast("double")
+
+    return features.withColumn("inputs", F.struct(*[value(n).alias(n) for n in names]))
+
+
+def responses(requests: DataFrame, artifact: Artifact, model: Column | Forest, tables: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One answer of eleven fields per request. The raw probability meets the threshold; the calibrated one is for reading only.
+
+    The model is a forest, which gets its inputs by name, or a column over request_features. `keep` carries columns of the request.
+    """
+    out = request_features(requests, artifact, tables)
+    if isinstance(model, Forest):
+        out = model_inputs(out, model.names)
+        model = probability(model, lambda n: F.col("inputs")[n])
+    out = out.withColumn("_raw", model)
     shown = F.round(interpolated(F.col("_raw"), artifact.grid, artifact.image), 6) if artifact.grid else F.lit(None).cast("double")
     return out.select(
-        F.round("_raw", 6).alias("probabilidade_reencaminhamento"), risk(F.col("_raw"), artifact.threshold).alias("alerta"), F.lit(artifact.threshold).alias("threshold"),
+        *(keep or []), F.round("_raw", 6).alias("probabilidade_reencaminhamento"), risk(F.col("_raw"), artifact.threshold).alias("alerta"), F.lit(artifact.threshold).alias("threshold"),
         shown.alias("probabilidade_calibrada"), F.lit(True).alias("calibrada_apenas_para_leitura"), F.col("agency_known").alias("orgao_conhecido"),
         F.round("orgao_rate", 6).alias("orgao_rate_historica"), F.round("orgao_rate_movel_90d", 6).alias("orgao_rate_movel_90d"), F.lit(round(artifact.base_rate, 6)).alias("base_rate_coorte"),
         F.col("history_given").alias("historico_informado"), F.col("partial_history_ignored").alias("historico_parcial_ignorado"),
@@ -156,16 +186,16 @@ def risk(score: Column, threshold: float) -> Column:
     return F.when(score >= threshold, "ALTO RISCO").otherwise("BAIXO RISCO")
 
 
-def score_batch(df: DataFrame, artifact: Artifact, model: Column) -> DataFrame:
+def score_batch(df: DataFrame, artifact: Artifact, model: Column, tables: DataFrame | None = None) -> DataFrame:
     """Probability, calibrated value (display only), risk label and flags per request."""
-    out = transform(df, artifact).withColumn("_raw", model)
+    out = transform(df, artifact, tables).withColumn("_raw", model)
     shown = interpolated(F.col("_raw"), artifact.grid, artifact.image) if artifact.grid else F.col("_raw")
     out = out.withColumn("probability", F.round("_raw", 6)).withColumn("calibrated", F.round(shown, 6))
     return out.withColumn("risk", risk(F.col("_raw"), artifact.threshold)).drop("_raw")
 
 
-def score_baseline(df: DataFrame, artifact: Artifact) -> DataFrame:
-    out = with_tables(check_inputs(df), artifact.tables(df.sparkSession), artifact.base_rate)
+def score_baseline(df: DataFrame, artifact: Artifact, tables: DataFrame | None = None) -> DataFrame:
+    out = with_tables(check_inputs(df), artifact.tables(df.sparkSession) if tables is None else tables, artifact.base_rate)
     return out.withColumn("probability", F.round("rate", 6)).withColumn("risk", risk(F.col("rate"), artifact.threshold))
 
 
@@ -192,20 +222,23 @@ def key_changes(old: DataFrame, new: DataFrame, key: str = "agency") -> DataFram
     )
 
 
-def build_artifact(train: DataFrame, log: DataFrame, threshold: float, prior: float = 50.0, features: list[str] | None = None) -> Artifact:
-    """An artifact from training rows and the whole log. Agencies are few: their tables are meant for the driver."""
+def agency_tables(train: DataFrame, log: DataFrame, prior: float = 50.0, windows: tuple[int, int] = (90, 365), train_days: str | None = None) -> DataFrame:
+    """(agency, rate, rate_90, rate_365, born): the artifact's tables as a frame, a row per agency of the training rows or the log.
+
+    Nothing passes the driver but the base rate. `rate` is null for agencies without training rows.
+    """
     base = encode.base_rate(train)
-    rates = {str(r["agency"]): r["rate"] for r in encode.smoothed_rate(train, ["agency"], prior).collect()}
-    rolled = history.rolling_rates(log, base)
-    latest = rolled.groupBy("agency").agg(F.max_by("rate_90", "reg").alias("a"), F.max_by("rate_365", "reg").alias("b"), F.min("reg").alias("c")).collect()
-    return Artifact(
-        base, threshold, rates, {str(r["agency"]): r["a"] for r in latest}, {str(r["agency"]): r["b"] for r in latest},
-        {str(r["agency"]): r["c"].isoformat() for r in latest}, features=features or [],
-    )
+    rates = encode.smoothed_rate(train, ["agency"], prior).select("agency", "rate")
+    rolled = history.rolling_rates(log, None if train_days else base, windows, train=train_days)
+    latest = rolled.groupBy("agency").agg(*[F.max_by(f"rate_{w}", "reg").alias(n) for w, n in zip(windows, ("rate_90", "rate_365"), strict=True)], F.min("reg").alias("born"))
+    both = rates.alias("r").join(latest.alias("l"), F.col("r.agency") == F.col("l.agency"), "full")
+    agency = F.coalesce("r.agency", "l.agency").cast("string").alias("agency")
+    return both.select(agency, "r.rate", "l.rate_90", "l.rate_365", "l.born").where("agency is not null")
 
 
-def safe_rate(part: str, whole: str) -> Column:
-    return ratio(F.col(part), F.col(whole), -1.0)
+def build_artifact(train: DataFrame, threshold: float, features: list[str] | None = None, **more) -> Artifact:
+    """The artifact's scalars; its tables by agency are agency_tables, a frame."""
+    return Artifact(encode.base_rate(train), threshold, {}, features=features or [], **more)
 
 
 def report(rows: list[dict]) -> str:

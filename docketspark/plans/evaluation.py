@@ -6,21 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.config import DEMO
-from docketspark.operators import encode, metrics
+from docketspark.operators import encode, history, metrics
 from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log
 
 
-def baseline(log: DataFrame, since: int = 2000) -> DataFrame:
-    """Requests from `since` on with the smoothed training rate of their agency as the score."""
+def tested(log: DataFrame, since: int = DEMO.test_year) -> DataFrame:
+    """Requests from `since` on whose labels have matured on the log's last day."""
+    last = log.agg(F.max("reg").alias("_last"))
+    return history.matured(log.where(F.col("year") >= since).crossJoin(F.broadcast(last)), F.col("_last"), DEMO.maturity_days).drop("_last")
+
+
+def baseline(log: DataFrame) -> DataFrame:
+    """The matured test requests with the smoothed training rate of their agency as the score."""
     train = log.where(F.col("year").isin(*DEMO.train_years))
     rates = encode.smoothed_rate(train, ["agency"], DEMO.prior_agency)
-    return encode.lookup(log.where(F.col("year") >= since), rates, ["agency"], "rate", encode.base_rate(train), "score")
+    return encode.lookup(tested(log), rates, ["agency"], "rate", encode.base_rate(train), "score")
 
 
 BASE = """WITH {LOG}, t AS (SELECT * FROM req WHERE year BETWEEN 1995 AND 1998), base AS (SELECT avg(y) AS base FROM t),
     rates AS (SELECT agency, (sum(y) + 50 * max(base)) / (count(*) + 50) AS rate FROM t, base GROUP BY agency),
-    s AS (SELECT req.*, coalesce(rate, base) AS score FROM req LEFT JOIN rates USING (agency), base WHERE year >= 2000),
+    last AS (SELECT max(reg) - 60 AS last FROM req),
+    s AS (SELECT req.*, coalesce(rate, base) AS score FROM req LEFT JOIN rates USING (agency), base, last WHERE year >= 2000 AND reg <= last),
     g AS (SELECT score, count(*) AS n, sum(y) AS pos FROM s GROUP BY score),
     a AS (SELECT *, coalesce(sum(n) OVER w, 0) AS n_above, coalesce(sum(pos) OVER w, 0) AS pos_above, sum(n) OVER () AS n_all, sum(pos) OVER () AS pos_all
           FROM g WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""

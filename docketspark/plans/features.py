@@ -106,12 +106,23 @@ def json_payload(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("k", "v").agg(F.count("*").alias("n"))
 
 
-@query("""WITH {LOG}, p AS (SELECT * FROM (SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_custkey ORDER BY c_name) AS rn FROM customer) WHERE rn = 1)
-    SELECT c_mktsegment AS segment, count(*) AS n, sum(y) AS positives, count(c_nationkey) AS known FROM req LEFT JOIN p ON requester = c_custkey AND c_nationkey < 20 GROUP BY 1""")
+@query("""WITH {LOG}, y AS (SELECT unnest([1995, 1996, 1997, 1998, 1999, 2000, 2001]) AS year), p AS (SELECT year, c_custkey, arg_min(c_mktsegment, c_name) AS segment, arg_min(c_nationkey, c_name) AS nation
+        FROM customer, y WHERE (c_nationkey + year) % 5 <> 0 GROUP BY ALL)
+    SELECT req.year, segment, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, count(nation) AS known FROM req LEFT JOIN p ON requester = c_custkey AND req.year = p.year GROUP BY ALL""")
 def profile_left_join(spark: SparkSession, d: str) -> DataFrame:
-    profiles = table(spark, d, "customer").where("c_nationkey < 20").withColumnRenamed("c_custkey", "requester")
-    out = joins.with_profile(request_log(spark, d), profiles, ["requester"], ["c_name"])
-    return out.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.count("c_nationkey").alias("known"))
+    """Profiles of the request's own year; each year lacks a fifth of them."""
+    years = F.explode(F.sequence(F.lit(1995).cast("long"), F.lit(2001).cast("long")))
+    profiles = table(spark, d, "customer").withColumnRenamed("c_custkey", "requester").withColumn("year", years).where("(c_nationkey + year) % 5 <> 0")
+    out = joins.with_profile(request_log(spark, d), profiles, ["year", "requester"], ["c_name"])
+    return out.groupBy("year", F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.count("c_nationkey").alias("known"))
+
+
+@query("""WITH {LOG}, m AS (SELECT *, CAST(CASE WHEN line = 3 THEN 1 ELSE 0 END AS INTEGER) AS channel_missing, CAST(CASE WHEN quantity > 40 THEN 1 ELSE 0 END AS INTEGER) AS quantity_missing FROM req)
+    SELECT channel_missing, quantity_missing, CAST(1 - greatest(channel_missing, quantity_missing) AS INTEGER) AS complete, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM m GROUP BY ALL""")
+def missing_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Which of two fields a request lacks, and whether it is complete."""
+    log = request_log(spark, d).withColumns({"channel": F.when(F.col("line") != 3, F.col("channel")), "quantity": F.when(F.col("quantity") <= 40, F.col("quantity"))})
+    return C.missing_flags(log, ["channel", "quantity"]).groupBy("channel_missing", "quantity_missing", "complete").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
 
 
 @query("""WITH {LOG} SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT agency) AS agencies FROM req JOIN orders ON request_id = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1""")

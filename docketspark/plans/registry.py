@@ -31,4 +31,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from docketspark.plans import audits, evaluation, features, serving  # noqa: E402, F401
+from docketspark.plans import audits, evaluation, experiments, features, serving  # noqa: E402, F401

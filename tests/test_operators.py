@@ -111,17 +111,6 @@ def test_serving_matches_its_table_and_refuses_leaks(spark):
         serving.transform(df.withColumn("Situacao", F.lit("x")), art)
 
 
-def test_text_model_as_expression(spark):
-    text = (
-        "tree\nfeature_names=f g\nobjective=binary sigmoid:1\n\nTree=0\nnum_leaves=3\nsplit_feature=0 1\nthreshold=0.5 0\ndecision_type=2 1\nleft_child=-1 1\n"
-        "right_child=1 -3\nleaf_value=-1 1 2\ncat_boundaries=0 1\ncat_threshold=5\n\nend of trees\n"
-    ).replace("left_child=-1 1", "left_child=-1 -2")
-    m = model.parse_text_model(text)
-    df = spark.createDataFrame([(0.0, 0), (1.0, 0), (1.0, 1), (1.0, 2), (None, 0)], "f double, g int")
-    got = [r[0] for r in df.select(model.text_model_score(m)).collect()]
-    assert got == pytest.approx([model.sigmoid(x) for x in (-1, 1, 2, 1, -1)])
-
-
 def test_calibration_is_monotone_and_clamped(spark):
     df = spark.createDataFrame([(i / 100, int(i % 10 < i / 10)) for i in range(100)], "score double, y int")
     curve = model.fit_calibration(df, points=50)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketspark.functions.columns import personal_data
-from docketspark.operators import model, serving
+from docketspark.operators import serving
 from docketspark.operators.serving import HISTORY
 
 ART = serving.Artifact(0.1, 0.2, {"A – Org": 0.1999999, "B": 0.5}, {"B": 0.6}, {}, {"B": "2020-01-01"}, grid=[0.0, 1.0], image=[0.0, 0.5], codes={"Esfera": {"Federal": 3}})
@@ -56,10 +56,3 @@ def test_personal_data(spark):
     texts = {"a 123.456.789-01 b": ["cpf"], "x 12345678901": ["eleven_digits"], "123456789012": [], "to me.you+z@ex-a.org.": ["e_mail"], "me@host": [], "IdSolicitante": ["requester"], '"DataNascimento": "1990': ["birth_date"], '"DataNascimento"': []}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", personal_data(F.col("t")).alias("p")).collect()
     assert {r["t"]: r["p"] for r in rows} == texts
-
-
-def test_missing_values_of_a_text_model(spark):
-    tree = model.Tree([0], [0.5], [2 | 2 << 2], [-1], [-2], [1.0, -1.0], [], [])
-    d = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, float("nan")), (3, None)], "i int, x double")
-    out = [r["s"] > 0.5 for r in d.select("i", model.text_model_score(model.TextModel(["x"], [tree], 1.0)).alias("s")).orderBy("i").collect()]
-    assert out == [True, False, True, True]
