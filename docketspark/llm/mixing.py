@@ -1,11 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each source's words form streams that are packed into blocks of `block` words. A source's
-slots are as many as it is due; each falls into an output shard of about `slots` slots by chance, so a
-source's counts over the shards are a multinomial draw, given their sum. A source's slots map
-through a pseudorandom permutation of its block indexes, one to each pass; the slots' block
-indexes are then joined with the blocks. A document's share of the mix is what its stretches of
-drawn blocks hold.
+Each source's words form streams that are packed into blocks of `block` words. The mix is a row of output shards
+of `slots` slots each. Every slot draws its source by the target weights, so a shard's counts are a multinomial draw.
+Then the sums over all shards are set right: a source that got more than it is due gives slots back, shard
+by shard in a hashed order, and these go to sources that got less. A shard's counts number its slots in each
+source's sequence, a pseudorandom permutation per source and pass maps the numbers to block indexes, and the slots are
+joined with the blocks by index. A document's share of the mix is what its stretches of drawn blocks hold.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ MICRO = 1_000_000
 BROADCAST_ROWS, SALTS = 100_000, 64
 #: Rounds of the permutation.
 ROUNDS = 16
+#: Output shards at most; beyond, a shard has more slots. Windows over shards hold so many rows.
+MOST_SHARDS = 65_536
 
 
 def n_words(text: Column) -> Column:
@@ -76,18 +78,15 @@ def with_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFr
 
 
 def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 20240229, most: int = 3, rows_each: int = 2000) -> DataFrame:
-    """Per document: doc_id, source, key, size, source_size, target, taken, whole, extra.
+    """Per document: doc_id, source, key, size, source_size, target, taken, whole, extra, shard.
 
     `taken` counts the words that the mix takes of the document, repeats included; the
     mix holds the document `whole` times in full and, once more, the stretches `extra`
-    (place of the first word, number of words). A null text has size 0, takes part with
-    nothing and is returned; a null source is a source of its own; equal rows are told
-    apart by a row number that is kept in a checkpoint. How many slots a source has in all
-    is settled by one systematic draw, so it is what it is due within one, however many
-    shards there are; a shard's count of a source varies as a multinomial's does (its square root,
-    about). Hashes of `seed` decide everything, so reruns agree. A source is never due
-    more than `most` passes over its blocks, so a document never gives more than `most`
-    times its words.
+    (place of the first word, number of words); `shard` is the first output shard that holds some of it, null if none does. A null text has
+    size 0, takes part with nothing and is returned; a null source is a source of its own; equal rows are told
+    apart by a row number that is kept in a checkpoint. A source's slots in all are what it is due, within one; a shard's
+    counts are multinomial, but for the slots that make the sums right. Hashes of `seed` decide everything, so reruns agree. A
+    source is never due more than `most` passes over its blocks, so a document never gives more than `most` times its words.
     """
     sized = durable(
         docs.select(
@@ -126,7 +125,7 @@ def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 2
 
     slot = drawn_slots(due, slots, seed)
     index = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("nth"), F.floor(F.col("k") / F.col("blocks")))
-    draws = slot.select("nth", index.alias("index")).groupBy("nth", "index").agg(F.count("*").alias("draws"))
+    draws = slot.select("nth", index.alias("index"), "shard").groupBy("nth", "index").agg(F.count("*").alias("draws"), F.min("shard").alias("shard"))
 
     # the documents' stretches of blocks, joined with the draws by block index
     firsts = lots.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "first")
@@ -140,38 +139,73 @@ def mix_plan(docs: DataFrame, block: int = 128, slots: int = 4096, seed: int = 2
     given = cut.groupBy("rid").agg(
         F.sum(F.col("words") * F.col("draws")).alias("taken"),
         F.min("draws").alias("whole"),
+        F.min("shard").alias("shard"),
         F.collect_list(F.struct("at", "words", "draws")).alias("stretches"),
     )
     extra = F.array_sort(F.filter("stretches", lambda x: x["draws"] > F.col("whole")))
-    out = sized.join(given.select("rid", "taken", "whole", extra.alias("extra")), "rid", "left")
+    out = sized.join(given.select("rid", "taken", "whole", "shard", extra.alias("extra")), "rid", "left")
     out = with_source(out, totals.select("source", "source_size", "target"), "left")
     return out.select(
         "doc_id", "source", "key", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("whole", F.lit(0)).alias("whole"), "extra",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("whole", F.lit(0)).alias("whole"), "extra", "shard",
     )
 
 
-def drawn_slots(due: DataFrame, slots: int, seed: int) -> DataFrame:
-    """The slots (nth, blocks, k, shard) of sources (nth, blocks, due, upto, all), due in millionths of a slot.
+def located(points: DataFrame, spans: DataFrame, total: int, cells: int = 1024) -> DataFrame:
+    """`points` (u, ...) joined with the one span (low <= u < high) that holds u; spans part 0 .. total - 1.
+
+    An equality join on cells of the line: a span lies in as many cells as it touches, so the table has a row per span and `cells` more.
+    """
+    width = max(1, -(-total // cells))
+    spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
+    return points.withColumn("cell", F.floor(F.col("u") / width)).join(spans, "cell").where("low <= u and u < high").drop("cell", "low", "high")
+
 
-    One systematic draw settles a source's number of slots: the whole numbers in its part of all
-    slots. Each slot's shard is a hash's, so counts by shard are multinomial. Sources are cut into
-    runs of `slots` slots, which are dealt over all tasks before they are listed.
+def shard_counts(due: DataFrame, slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(counts, totals): slots by (nth, shard), and the slots in all by nth, of sources (nth, blocks, due, upto, all) with due in millionths of a slot.
+
+    Totals are one systematic draw: the whole numbers in a source's part of all slots. Each of the slots draws its
+    source with the weights `due`, which makes a shard's counts multinomial; then surplus slots are drawn again for sources that lack some.
+    Shards have `slots` slots, more where there would be over MOST_SHARDS.
     """
+    spark = due.sparkSession
     point = F.pmod(F.xxhash64(F.lit(seed)), F.lit(MICRO))
     edge = lambda c: ((c + point) - F.pmod(c + point, F.lit(MICRO))) / MICRO
-    counts = due.where("due > 0").withColumn("total", (edge(F.col("upto")) - edge(F.col("upto") - F.col("due"))).cast("long")).where("total > 0")
-    counts = counts.withColumn("shards", F.greatest(F.ceil(F.col("all") / (slots * MICRO)).cast("long"), F.lit(1)))
-    runs = counts.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / slots))))
-    runs = runs.repartition(partitions(due.sparkSession), "nth", "run")
-    stop = F.least((F.col("run") + 1) * slots, F.col("total")) - 1
-    listed = runs.withColumn("k", F.explode(F.sequence(F.col("run") * slots, stop)))
-    return listed.select("nth", "blocks", "k", F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "nth", "k"), F.col("shards")).alias("shard"))
+    totals = durable(due.where("due > 0").select("nth", "blocks", "upto", "due", (edge(F.col("upto")) - edge(F.col("upto") - F.col("due"))).cast("long").alias("total")))
+    n, whole = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("due"), F.lit(0))).first()
+    each = max(slots, -(-n // MOST_SHARDS))
+    drawn = spark.range(n).select(F.floor(F.col("id") / each).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "id"), F.lit(max(1, whole))).alias("u"))
+    spans = totals.select("nth", (F.col("upto") - F.col("due")).alias("low"), F.col("upto").alias("high"))
+    counts = durable(located(drawn, spans, whole).groupBy("nth", "shard").agg(F.count("*").alias("n")))
+
+    # keep, in a hashed order of shards, what a source is due; what is over is free
+    hashed = W.partitionBy("nth").orderBy(F.xxhash64(F.lit(seed), F.lit(2), "nth", "shard"), "shard").rowsBetween(W.unboundedPreceding, -1)
+    held = counts.join(totals.select("nth", "total"), "nth").withColumn("left", F.col("total") - F.coalesce(F.sum("n").over(hashed), F.lit(0)))
+    held = durable(held.select("nth", "shard", F.greatest(F.least("n", "left"), F.lit(0)).cast("long").alias("kept"), "n"))
+    lack = totals.join(held.groupBy("nth").agg(F.sum("kept").alias("kept")), "nth", "left").select("nth", (F.col("total") - F.coalesce("kept", F.lit(0))).alias("lack")).where("lack > 0")
+    upto = F.sum("lack").over(W.orderBy("nth").rowsBetween(W.unboundedPreceding, 0))
+    lack = durable(lack.select("nth", (upto - F.col("lack")).alias("low"), upto.alias("high")))
+    free = held.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("f")).where("f > 0")
+    last = F.sum("f").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, 0))  # at most MOST_SHARDS rows
+    free = free.withColumn("last", last).withColumn("r", F.explode(F.sequence(F.col("last") - F.col("f"), F.col("last") - 1)))
+    missing = lack.agg(F.coalesce(F.max("high"), F.lit(0))).first()[0]
+    again = located(free.select("shard", permuted(F.col("r"), F.lit(max(1, missing)), F.lit(seed), F.lit(3)).alias("u")), lack, missing)
+    both = held.select("nth", "shard", F.col("kept").alias("n")).where("n > 0").unionByName(again.select("nth", "shard", F.lit(1).cast("long").alias("n")))
+    return durable(both.groupBy("nth", "shard").agg(F.sum("n").alias("n"))), totals
+
+
+def drawn_slots(due: DataFrame, slots: int, seed: int) -> DataFrame:
+    """The slots (nth, blocks, k, shard): a source's slots are numbered through its shards, each shard's as many as its count."""
+    counts, totals = shard_counts(due, slots, seed)
+    before = F.coalesce(F.sum("n").over(W.partitionBy("nth").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = counts.withColumn("first", before).join(totals.select("nth", "blocks"), "nth").repartition(partitions(due.sparkSession), "nth", "shard")
+    return runs.select("nth", "blocks", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("k"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document; see mix_plan."""
-    return mix_plan(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, shard of every document; see mix_plan."""
+    return mix_plan(docs, **options).select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
