@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.functions.columns import ratio
-from docketspark.operators.metrics import quantiles
+from docketspark.operators.metrics import edges, quantile_bin, quantiles
 
 
 def missing_share(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -93,6 +93,17 @@ def within_group_quartiles(df: DataFrame, value: str, groups: list[str], least:
     return counted.join(e, groups).groupBy(quartile.alias("quartile")).agg(F.sum("_c").alias("n"), ratio(F.sum("_y"), F.sum("_k")).alias("rate"))
 
 
+def bin_rates(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    """Per bin of equal counts of a value: rows, lowest and highest value, rate; rows without a value are a bin of their own (null)."""
+    at = quantile_bin(F.col(value), edges(df, value, bins))
+    return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg("y").alias("rate"))
+
+
+def agreement(df: DataFrame, one: Column, two: Column, by: str) -> DataFrame:
+    """Per group: rows, and the share in which both values are known and equal."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), (F.count_if(one == two) / F.count("*")).alias("agree"))
+
+
 def normalised_counts(df: DataFrame, column: str) -> DataFrame:
     """n and share per value; null is a value."""
     total = df.agg(F.count("*").alias("_t"))

@@ -83,6 +83,30 @@ def within_group_quartiles(spark: SparkSession, d: str) -> DataFrame:
     return audit.within_group_quartiles(request_log(spark, d), "quantity", ["agency", "year"], 50).withColumn("rate", F.round("rate", 9))
 
 
+_PROTOCOL = "WITH {LOG}, p AS (SELECT *, lpad(CAST(request_id AS VARCHAR), 11, '0') || year(asked) || lpad(CAST(line AS VARCHAR), 2, '0') AS protocol FROM req)"
+
+
+def _with_protocol(log: DataFrame) -> DataFrame:
+    """A protocol of eleven digits, the year in which was asked, and two digits."""
+    return log.withColumn("protocol", F.concat(F.lpad(F.col("request_id").cast("string"), 11, "0"), F.year("asked").cast("string"), F.lpad(F.col("line").cast("string"), 2, "0")))
+
+
+@query(_PROTOCOL + " SELECT year, count(*) AS n, round(count(*) FILTER (CAST(substr(protocol, 12, 4) AS BIGINT) = year) / count(*), 9) AS agree FROM p GROUP BY year")
+def protocol_year(spark: SparkSession, d: str) -> DataFrame:
+    """Does the protocol's year tell the year of the request?"""
+    log = _with_protocol(request_log(spark, d))
+    return audit.agreement(log, F.substring("protocol", 12, 4).cast("long"), F.col("year"), "year").withColumn("agree", F.round("agree", 9))
+
+
+@query(_PROTOCOL + """, v AS (SELECT y, CAST(substr(protocol, 6, 6) AS DOUBLE) AS v FROM p), e AS (SELECT list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM v),
+    b AS (SELECT y, v, CAST(greatest(len(list_filter(e, lambda x: x < v)) - 1, 0) AS INTEGER) AS bin FROM v, e)
+    SELECT bin, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(y), 9) AS rate FROM b GROUP BY bin""")
+def protocol_deciles(spark: SparkSession, d: str) -> DataFrame:
+    """The rate by decile of a slice of the protocol, which must not tell the outcome."""
+    log = _with_protocol(request_log(spark, d)).withColumn("slice", F.substring("protocol", 6, 6).cast("double"))
+    return audit.bin_rates(log, "slice").withColumn("rate", F.round("rate", 9))
+
+
 @query("""WITH {LOG}, p AS (SELECT requester, count(DISTINCT channel) AS channel, count(DISTINCT status) AS status FROM req GROUP BY requester)
     SELECT 'channel' AS attribute, count(*) FILTER (channel > 1) AS changing, count(*) FILTER (channel > 0) AS known FROM p
     UNION ALL SELECT 'status', count(*) FILTER (status > 1), count(*) FILTER (status > 0) FROM p""")

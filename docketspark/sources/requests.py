@@ -29,10 +29,12 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-16") -> DataFrame:
-    """A `;`-separated file, every column a string, cleaned; `columns` prunes the scan."""
+    """A `;`-separated file, every column a string, cleaned; `columns` prunes the scan, before anything is cleaned."""
     raw = spark.read.options(header=True, sep=";", encoding=encoding, multiLine=True).csv(path)
-    out = clean_strings(raw)
-    return out.select(columns) if columns else out
+    if columns is None:
+        return clean_strings(raw)
+    own = {n.strip(): n for n in raw.columns}
+    return clean_strings(raw.select(*[F.col(f"`{own[c]}`") for c in columns]))
 
 
 def read_years(spark: SparkSession, folder: str, kind: str, years: list[int], columns: list[str], allow_missing: bool = False, encoding: str = "UTF-16") -> DataFrame:

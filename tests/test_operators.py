@@ -129,3 +129,26 @@ def test_stream_scores_like_the_batch(spark, tmp_path):
     scoring.write_scores(scoring.scored_stream(stream, art), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     want = sorted(tuple(r) for r in serving.score_baseline(df, art).collect())
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_daily_rates_as_a_stream(spark, tmp_path):
+    from docketspark.streaming import scoring
+
+    at = lambda d, h: dt.datetime(2020, 1, d, h)
+    rows = [("x", at(1, 1), 1), ("x", at(1, 23), 0), ("y", at(1, 5), 1), ("x", at(2, 0), 1), ("x", at(9, 0), 0)]
+    for i, part in enumerate((rows, [("x", at(20, 0), 1)])):
+        spark.createDataFrame(part, "agency string, ts timestamp, y int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = scoring.daily_rates(scoring.read_requests(spark, str(tmp_path / "in"), "agency string, ts timestamp, y int", 1))
+        query.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r["agency"], r["reg"].day): (r["n"], r["positives"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("x", 1): (2, 1), ("y", 1): (1, 1), ("x", 2): (1, 1), ("x", 9): (1, 0)}  # the last day is still open
+
+
+def test_shares_flags_and_pruned_files(spark, tmp_path):
+    d = spark.createDataFrame([(1, 4, "a"), (0, 0, None)], "p int, w int, s string")
+    assert [r[0] for r in d.select(C.share_text(F.col("p"), F.col("w"))).collect()] == ["25.00%", "-"]
+    out = C.missing_flags(d, ["s", "p"])
+    assert [(r["s_missing"], r["p_missing"], r["complete"]) for r in out.collect()] == [(0, 0, 1), (1, 0, 0)]
+    (tmp_path / "a.csv").write_bytes(b" id ;x;y\n 1 ;NA;3\n")
+    pruned = requests.read_csv(spark, str(tmp_path / "a.csv"), ["id", "y"], "UTF-8")
+    assert pruned.collect()[0].asDict() == {"id": "1", "y": "3"} and "x#" not in pruned._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
