@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketspark.llm import components, htmltext, jaccard, labelled, licenses, minhash, mixing, packing, quality, queries, topk, toxicity, urls
+from docketspark.llm import components, htmltext, jaccard, labelled, licenses, minhash, mixing, packing, quality, queries, topk, urls
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -227,30 +227,6 @@ def test_quality_words():
     assert list(offsets) == [0, 5, 5, 6] and words[0] == quality.CAPITALS and words[2] == quality.REPEATED and words[1] == words[5] and max(words[3], words[4]) < quality.SIGNS
 
 
-def test_toxicity_on_held_out_rows(spark, docs):
-    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rows = toxicity.toxicity(d, lab).where("held_out").join(lab, "doc_id").collect()
-    assert auc(rows, "toxic") > 0.8
-    assert toxicity.toxicity(docs, lab.limit(0)).where("predicted = 0").count() == len(TEXTS)
-
-
-def test_marginals_equal_enumeration():
-    rng = np.random.default_rng(1)
-    field = toxicity.Field({"bad|": 1}, rng.normal(size=(4, 2)), rng.normal(size=(2, 2)), np.zeros(5))
-    words = "a bad b c d e bad".split()
-    chain = toxicity.Chain(field)
-    marked, p, _ = chain.read(words)
-    kind = dict(marked)
-    total, on = 0.0, defaultdict(float)
-    for code in range(2 ** len(words)):
-        y = [code >> i & 1 for i in range(len(words))]
-        w = np.exp(sum(field.emission[kind.get(i, 0)][y[i]] for i in range(len(words))) + sum(field.transition[a][b] for a, b in zip(y, y[1:], strict=False)))
-        total += w
-        for i in range(len(words)):
-            on[i] += w * y[i]
-    assert [on[i] / total for i, _ in marked] == pytest.approx(list(p))
-
-
 def brute(rows):
     sets = []
     for i, t in rows:
