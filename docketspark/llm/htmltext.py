@@ -49,7 +49,7 @@ _SPACE = re.compile(r"\s+")
 #: Words in class, id and role that the model may use; each is a feature.
 HINTS = (
     "ad ads advert advertisement sponsor sponsored promo banner nav navbar menu breadcrumb sidebar side aside widget related recommended "
-    "comment comments reply replies footer header masthead cookie notice consent alert popup modal share social subscribe newsletter signup login "
+    "comment comments reply replies thread disqus discussion footer header masthead cookie notice consent alert popup modal share social subscribe newsletter signup login "
     "search pagination tags toolbar article content main post entry story body text page"
 ).split()
 _HINT = {h: i for i, h in enumerate(HINTS)}
@@ -303,6 +303,12 @@ LABELLED = (
     '<div data-content><p>Hello, this is the text of a page that is only a box of words and no more.</p><p>It has two parts.</p></div><div class="comments"><p>Nice one, I liked it a lot, truly.</p></div><footer>the foot of it</footer>',
     '<div class="wrap"><nav><a>Up</a></nav><div data-content><h2>Part of a page</h2><p>Some words that make up the text here, in a box.</p></div></div><footer><p>Words of the house at the end of the page.</p></footer>',
     '<div data-content><p>Only this.</p></div>',
+    # lists of links are content within an article, and not beside it
+    '<html><body><nav><ul><li><a href="/">Start</a></li><li><a href="/n">All the news</a></li></ul></nav><article data-content><h1>Sources</h1><p>What follows are the sources of this text, with a word or two about each.</p>'
+    '<ul><li><a href="/1">A report of the office</a></li><li><a href="/2">Another report</a></li><li><a href="/3">The law itself, as it was passed</a></li></ul><p>More on that another day.</p><ol><li><a>First part</a></li><li><a>Second part</a></li></ol></article>'
+    '<div class="related"><ul><li><a href="/r">Another story</a></li><li><a>One more story to read</a></li></ul></div><div id="disqus_thread"><p>I think so too, and have for years. Thanks!</p><p>No.</p></div><footer><ul><li><a>Imprint</a></li></ul></footer></body></html>',
+    '<html><body><div class="nav"><ul><li><a>Home</a></li><li><a>Sections of the paper</a></li></ul></div><main data-content><h2>Links of the week</h2><p>As every week, here is what we read and liked, in no order.</p><ul><li><a href="/1">Why it rains</a></li><li><a>How to bake</a></li></ul></main>'
+    '<section id="discussion"><ol><li><p>You forgot the best of all, which I wrote.</p></li><li><p>Great list, as always.</p></li></ol></section><aside><ul><li><a>Popular today</a></li></ul></aside></body></html>',
     '<h1 data-content>Title of a fragment</h1><p data-content>Paragraph of a fragment, without any box around it at all.</p><p data-content>And one more.</p>',
 )
 

@@ -62,11 +62,12 @@ class BallTree:
 class Best:
     """The k best (score, id) of each query so far; ties go to the smaller id."""
 
-    def __init__(self, queries: int, k: int, floor: np.ndarray):
+    def __init__(self, queries: int, k: int, floor: np.ndarray, wide: bool = False):
         self.k = k
-        self.scores = np.full((queries, k), NONE)
+        self.none = -(1 << 4200) if wide else NONE  # below any product of components of 64 bits, and more
+        self.scores = np.full((queries, k), self.none, object if wide else np.int64)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
-        self.floor = floor  # a score that k rows are known to reach
+        self.floor = np.where(floor == NONE, self.none, floor.astype(object)) if wide else floor  # a score that k rows are known to reach
 
     def kth(self) -> np.ndarray:
         return np.maximum(self.scores[:, -1], self.floor)
@@ -80,17 +81,22 @@ class Best:
         self.ids[rows] = np.take_along_axis(all_ids, order, 1)
 
 
+def reach(queries: np.ndarray, points: np.ndarray) -> float:
+    """More than the largest score of any query and row, by their lengths."""
+    return float(np.sqrt((queries**2).sum(axis=1)).max(initial=0) * np.sqrt((points**2).sum(axis=1).max(initial=0)))
+
+
 def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, best: Best, points: np.ndarray, whole: np.ndarray) -> None:
     """Brings every row of the tree that can be among a query's best into `best`.
 
     `points` and `whole` are the tree's rows and the queries in 64-bit integers. Where a score can pass 2 ** 53, products
-    are integers too; where one can pass 2 ** 62, an error says so.
+    are integers too; where one can pass 2 ** 62 (`best` is wide then), integers of any size.
     """
     norms = np.sqrt((queries**2).sum(axis=1))
-    largest = norms.max() * np.sqrt((tree.points**2).sum(axis=1).max())
-    if largest >= 2.0**62:
-        raise ValueError("a score can pass 2 ** 62")
+    largest = reach(queries, tree.points)
     whole, exact = (None, None) if largest < 2.0**53 else (whole, points[tree.order])
+    if best.scores.dtype == object:
+        whole, exact = (whole if whole is not None else queries.astype(np.int64)).astype(object), points[tree.order].astype(object)
     slack = 1e-9 * (norms * np.sqrt((tree.points**2).sum(axis=1).max()) + 1)  # more than the bounds' rounding errors
     ids = ids[tree.order]
     alive: np.ndarray | None = None
@@ -114,7 +120,7 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
             a, b = spans[leaf]
             scores = (queries[rows] @ tree.points[a:b].T).astype(np.int64) if whole is None else whole[rows] @ exact[a:b].T
             own = query_ids[rows][:, None] == ids[None, a:b]
-            scores[own] = NONE
+            scores[own] = best.none
             best.add(rows, scores, ids[a:b])
 
 
@@ -127,7 +133,7 @@ def top_k(
     those with the query's own vec_id. Vectors that are null, hold null or non-finite
     components or have no vec_id take no part; vectors of other lengths than the query's
     score nothing with it. A repeated candidate row counts as often as it occurs; of a
-    repeated query id the least vector asks. Queries are a stated set: blocks of
+    repeated query id the least vector asks. Scores are exact whatever the components; a returned score beyond 64 bits is an error. Queries are a stated set: blocks of
     `query_rows` of them meet lots of `shards_each` shards, so no task holds more.
     """
     v = vectors.select(F.col("vec_id").cast("long"), quantised(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null")
@@ -150,12 +156,15 @@ def top_k(
                 continue
             whole, names = np.array(part["v"].tolist(), np.int64), part["query_id"].to_numpy()
             queries = whole.astype(float)
-            best = Best(len(part), k, part["floor"].to_numpy())
+            wide = reach(queries, np.array(own["v"].tolist(), float)) >= 2.0**62
+            best = Best(len(part), k, part["floor"].to_numpy(), wide)
             for _, shard in own.groupby("shard", sort=True):
                 points = np.array(shard["v"].tolist(), np.int64)
                 search(BallTree(points.astype(float)), shard["vec_id"].to_numpy(), queries, names, best, points, whole)
             for name, scores, ids in zip(names, best.scores, best.ids, strict=True):
-                out += [(name, i, s) for s, i in zip(scores, ids, strict=True) if i != np.iinfo(np.int64).max and s != NONE]
+                out += [(name, i, s) for s, i in zip(scores, ids, strict=True) if i != np.iinfo(np.int64).max and s != best.none]
+        if any(not -(1 << 63) <= s < 1 << 63 for _, _, s in out):
+            raise ValueError("a score of the result needs more than 64 bits")
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def meet(rows: DataFrame, asks: DataFrame) -> DataFrame:

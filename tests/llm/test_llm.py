@@ -324,6 +324,21 @@ def test_top_k_equals_sorting(spark):
     assert topk.top_k(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 2, "query_rows": 1, "shards_each": 1}])
+def test_one_huge_vector_stops_no_query(spark, options):
+    v = [[1e12, 1.0], [1.0, 2.0], [1.0, 1.0], [0.5, -1.0], [1.0, 3.0], [2.0, 0.0]] + [[0.25, float(i)] for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(d, every=3, **options).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    q = [[int(256 * x) for x in e] for e in v]
+    for i in range(0, len(v), 3):
+        want = sorted(((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in range(len(v)) if j != i))[:5]
+        assert got[i] == [(j, -s) for s, j in want]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")).count()
+
+
 def test_url_rules_and_link_trust(spark):
     rows = [(1, "http://A.org/x", '<a href="https://good.com/1">'), (2, "https://example.org/es/1?q", "<a href='//worse.com/'>"), (3, "x://good.com/", None), (4, "http://farm.net/z#f", '<a href="http://example.org/es/9">'),
             (5, None, None), (6, "no url", ""), (7, "http://example.org/en/12", None), (8, "http://org", None), (9, "http://farm.net/z", None)]
@@ -409,3 +424,22 @@ def test_pipeline_stages(spark, tmp_path):
             rows = [(r["doc_id"], r["text"]) for r in d.collect()]
             assert len(rows) == len({c for _, _, c in brute(rows)})
     assert d.count() >= docs.count() // 4
+
+
+@pytest.mark.parametrize("comments", ["<div id='disqus_thread'><p>I liked this story a lot, thank you for it.</p><p>Me too, what a read.</p></div>", "<section id='discussion'><ol><li><p>I liked this story a lot, thank you for it.</p></li></ol></section>"])
+@pytest.mark.parametrize("box", ["article", "main", "div"])
+def test_html_text_keeps_lists_of_links_and_drops_threads(comments, box):
+    links = "<ul><li><a href='/1'>The first source of it</a></li><li><a href='/2'>Second</a></li><li><a>A third one to read</a></li></ul>"
+    story = f"<{box}><h1>A list of links</h1><p>Here are some words about the list that follows, as an introduction.</p>{links}<p>And it goes on after the list, for a while.</p></{box}>"
+    page = f"<html><body><nav><ul><li><a>Home</a></li></ul></nav>{story}{comments}<div class='related'><ul><li><a>Another story here</a></li></ul></div><footer><ul><li><a>Imprint</a></li></ul></footer></body></html>"
+    want = "A list of links Here are some words about the list that follows, as an introduction. The first source of it Second A third one to read And it goes on after the list, for a while."
+    assert htmltext.extract(page, htmltext.trained()) == want
+
+
+def test_html_text_of_odd_rows(spark):
+    rows = [(1, None, None, 5), (2, "u", "", 6), (None, "u", "<p>Only words of a page, without any id, but with a sentence.</p>", 7), (3, "u", "<div>" * 3000 + "<p>" + "long words " * 50_000, 8)] + [(4, "u", "<p>Twice the same row of a table, as it is.</p>", 9)] * 2
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").withColumn("text", F.lit("clash"))
+    out = htmltext.extract_text(d).collect()
+    assert len(out) == 6 and {r["page_id"]: r["n_chars"] for r in out if r["page_id"] in (1, 2)} == {1: 0, 2: 0}
+    assert all(len(r["text"]) == r["n_chars"] for r in out) and len({r["text"] for r in out if r["page_id"] == 4}) == 1
+    assert htmltext.extract_text(d.limit(0)).count() == 0
