@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where none is named, a local session (tests) gets one of its machine's and a cluster an error."""
+    """A folder of this session's own in spark.checkpoint.dir, which goes when the driver ends. Where none is named, a local
+    session (tests) gets one of its machine's and a cluster an error, for its executors would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docketspark-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docketspark-"))  # Spark makes a new folder in it
+        path, fs = hadoop_path(spark, sc.getCheckpointDir())
+        fs.deleteOnExit(path)
     return sc.getCheckpointDir()
 
 
