@@ -5,12 +5,13 @@ from __future__ import annotations
 import gc
 import itertools
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketspark.sources.store import shared_folder, stored
+
+__all__ = ["shared_folder", "stored"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -21,18 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a local session (tests) gets one of its
-    machine's and a cluster an error, for its executors would not share it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docketspark-"))
-    return sc.getCheckpointDir()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared folder, so that lost executors don't undo it."""
     shared_folder(df.sparkSession)
@@ -45,18 +34,9 @@ def durable(df: DataFrame) -> DataFrame:
 _calls = itertools.count()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def freed(spark: SparkSession) -> None:
-    """Has the driver collect plans that nothing refers to any longer; Spark then deletes their shuffle and checkpoint files."""
+    """Has the driver collect plans that nothing refers to any longer; Spark then deletes their shuffle files, and their checkpoints
+    where spark.cleaner.referenceTracking.cleanCheckpoints is on. What is left goes with the session's folder, when the driver ends."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
