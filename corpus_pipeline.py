@@ -3,14 +3,13 @@ near copies, mix the sources to their weights, and pack the mix into sequences."
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.llm import jaccard, mixing, packing, quality, toxicity
-from docketspark.llm.common import shared_folder, table
+from docketspark.llm.common import stored, table
 
 #: SQL can express neither the trained models nor the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -72,10 +71,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's result is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over `documents`; each stage's result is written to the shared folder and read again. The files go when the driver ends."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
     return docs
