@@ -15,7 +15,7 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("templates")
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
