@@ -18,11 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketspark.llm import jaccard, wordhash
-from docketspark.llm.common import durable, partitions, small_batches
+from docketspark.llm.common import durable, partitions, parts_for, small_batches
 from docketspark.llm.components import connected
 
 WIDTH, PERMUTATIONS, BANDS, THRESHOLD = 5, 128, 25, 0.8
 EMPTY = np.uint32(0xFFFFFFFF)
+#: Rows of a lot, whose texts one task holds at a time.
+LOT_ROWS = 4000
 
 
 @lru_cache
@@ -149,10 +151,11 @@ def fingerprint(docs: DataFrame, lots: int | None = None, classes: DataFrame | N
     one with words are not (0). The next document goes by descending doc_id, null ids
     last, equal ids by a hash of the text; after the last comes the first, so a single
     document is its own next. Repeated rows each give a row. Texts are shuffled once, by
-    range of doc_id and compressed; a task holds the texts of one lot.
+    range of doc_id and compressed; a task holds the texts of one lot, of which there are
+    as many as the rows ask for (LOT_ROWS each), four to a partition at least.
     """
     small_batches(docs.sparkSession)
-    lots = lots or 4 * partitions(docs.sparkSession)
+    lots = lots or max(4 * partitions(docs.sparkSession), parts_for(docs.count(), LOT_ROWS))
     framed = _in_lots(docs, lots, classes).repartition(partitions(docs.sparkSession), "lot").sortWithinPartitions("lot")
 
     def of_lot(rows: list[tuple[bool, int | None, int, str]], marked: dict[int, int]) -> Iterator[pa.RecordBatch]:

@@ -49,19 +49,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, follow: float, tolerance: float = 1e-9, rounds: int = 10_000) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, follow: float, tolerance: float = 1e-9) -> DataFrame:
     """Ranks (kind, host, rank) from seeds (kind, host, seed), spread until they settle.
 
     `edges` is (kind, src, dst, n). A host hands on the part `follow` of its rank in
     proportion to n. Rounds end when no host's rank grows by more than `tolerance` times
     itself, so small ranks count like large ones and every host that links reach is
-    reached, however far. Sums are rounded to 12 significant digits, so that reruns agree.
+    reached, however far: as many rounds as that takes, for what is handed on shrinks with each. Sums are rounded to 12 significant digits, so that reruns agree.
     """
+    if not 0 <= follow < 1:
+        raise ValueError("follow must lie in [0, 1), or ranks never settle")
     totals = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     shares = durable(edges.join(totals, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
     base = seeds.select("kind", "host", (F.col("seed") * (1 - follow)).alias("rank"), F.lit(0.0).alias("old"))
     ranks = durable(base)
-    for _ in range(rounds):
+    while True:
         moved = shares.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * follow).alias("rank"), F.lit(0.0).alias("old")
         )
@@ -70,7 +72,6 @@ def spread(edges: DataFrame, seeds: DataFrame, follow: float, tolerance: float =
         ranks = durable(base.unionByName(moved).unionByName(before).groupBy("kind", "host").agg(rank.alias("rank"), F.sum("old").alias("old")))
         if ranks.where(F.abs(F.col("rank") - F.col("old")) > F.col("rank") * tolerance).isEmpty():
             return ranks.drop("old")
-    raise RuntimeError("the ranks did not settle")
 
 
 def filter_urls(
