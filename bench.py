@@ -14,6 +14,7 @@ from docketspark.plans.serving import feature_table
 HEADLINE = (
     "lookup_baseline_precision_at_k", "rolling_rate_90_365", "prior_count", "prior_distinct_agencies", "matured_history", "matured_rate", "crossfit_rate",
     "asof_backward", "latest_per_agency", "roc_auc", "average_precision", "reliability_deciles", "equity_audit", "missing_by_recency", "within_group_quartiles", "refresh_tables",
+    "text_model_score",
 )
 
 

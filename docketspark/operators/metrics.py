@@ -95,11 +95,13 @@ def precision_at_k(df: DataFrame, fraction: float, score: str = "score", by: lis
 
 
 def lift(df: DataFrame, fractions: list[float], score: str = "score") -> DataFrame:
-    """A row per fraction: precision and its ratio to the base rate of these rows."""
-    base = df.where(F.col(score).isNotNull() & F.col("y").isNotNull()).agg(F.avg("y").alias("base"))
+    """A row per fraction: precision and its ratio to the base rate of these rows. The rows are read once."""
+    b = stored(blocks(df, score))
+    base = b.agg((F.sum("pos") / F.sum("n")).alias("base"))
     out = None
     for f in fractions:
-        row = precision_at_k(df, f, score).crossJoin(base).select(F.lit(f).alias("fraction"), "precision", "base", ratio(F.col("precision"), F.col("base")).alias("lift"))
+        row = precision_at_k(b, f, counted=True).crossJoin(base)  # a row each
+        row = row.select(F.lit(f).alias("fraction"), "precision", "base", ratio(F.col("precision"), F.col("base")).alias("lift"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -227,5 +227,6 @@ def trained_model_metrics(spark: SparkSession, d: str) -> DataFrame:
     fitted = model.fit_trees(train, validation, FEATURES)
     curve = model.fit_calibration(fitted.score(validation))
     test = fitted.score(t.where(F.col("year") >= DEMO.test_year)).withColumn("shown", curve.apply(F.col("score")))
+    test = stored(test.select("score", "shown", "y"))
     ap, auc = metrics.average_precision(test), metrics.roc_auc(test)
     return ap.crossJoin(auc).crossJoin(metrics.brier(test, "shown").select("brier", "n")).withColumn("trees", F.lit(fitted.trees))  # a row each
