@@ -34,9 +34,9 @@ NULL_WORDS = (
 
 #: The states of each region.
 REGIONS = {
-    "N": ("AC", "AM", "AP", "PA", "RO", "RR", "TO"),
+    "N": ("AC", "AP", "AM", "PA", "RO", "RR", "TO"),
     "NE": ("AL", "BA", "CE", "MA", "PB", "PE", "PI", "RN", "SE"),
-    "CO": ("DF", "GO", "MS", "MT"),
+    "CO": ("DF", "GO", "MT", "MS"),
     "SE": ("ES", "MG", "RJ", "SP"),
     "S": ("PR", "RS", "SC"),
 }
