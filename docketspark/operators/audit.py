@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.columns import ratio
 from docketspark.operators.metrics import edges, quantile_bin, quantiles
+from docketspark.sources.store import stored
 
 
 def missing_share(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -57,10 +58,11 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spread(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """n, mean, median, 5th and 95th percentile per group, all from one table of (group, value, rows)."""
-    counted = df.groupBy(*by, value.cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    means = counted.groupBy(*by).agg(F.sum("_c").alias("n"), ratio(F.sum(F.col("_v") * F.col("_c")), F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")))).alias("mean"))
-    q = quantiles(df, value, [0.5, 0.05, 0.95], by).withColumnRenamed("n", "_known").alias("q")
+    """n, mean, median, 5th and 95th percentile per group, all from one stored table of (group, value, rows)."""
+    counted = stored(df.groupBy(*by, value.cast("double").alias("_v")).agg(F.count("*").alias("n")))
+    known = F.sum(F.when(F.col("_v").isNotNull(), F.col("n")))
+    means = counted.groupBy(*by).agg(F.sum("n").alias("n"), ratio(F.sum(F.col("_v") * F.col("n")), known).alias("mean"))
+    q = quantiles(counted, "_v", [0.5, 0.05, 0.95], by, counted=True).withColumnRenamed("n", "_known").alias("q")
     same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by])
     pick = [F.get("q.quantiles", F.lit(i)).alias(n) for i, n in enumerate(("median", "p05", "p95"))]
     return means.alias("m").join(q, same, "left").select("m.*", *pick)
@@ -83,20 +85,21 @@ def unstable_attributes(df: DataFrame, key: str, attributes: list[str]) -> DataF
 def within_group_quartiles(df: DataFrame, value: str, groups: list[str], least: int) -> DataFrame:
     """Rate per quartile of the value within each group of at least `least` rows; edges are the group's exact quartiles.
 
-    Rows are summed per (group, value) before they meet their group's edges.
+    Rows are summed per (group, value) once; that stored table gives the group sizes, the edges and the sums.
     """
-    counted = df.groupBy(*groups, value).agg(F.count("*").alias("_c"), F.sum("y").alias("_y"), F.count("y").alias("_k"))
-    large = df.groupBy(*groups).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    e = quantiles(df, value, [0.25, 0.5, 0.75], groups).join(large, groups)
+    counted = stored(df.groupBy(*groups, value).agg(F.count("*").alias("n"), F.sum("y").alias("_y"), F.count("y").alias("_k")))
+    large = counted.groupBy(*groups).agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    e = quantiles(counted, value, [0.25, 0.5, 0.75], groups, counted=True).drop("n").join(large, groups)
     edge = [F.get("quantiles", F.lit(i)) for i in range(3)]
     quartile = F.when(F.col(value) <= edge[0], 1).when(F.col(value) <= edge[1], 2).when(F.col(value) <= edge[2], 3).otherwise(4)
-    return counted.join(e, groups).groupBy(quartile.alias("quartile")).agg(F.sum("_c").alias("n"), ratio(F.sum("_y"), F.sum("_k")).alias("rate"))
+    return counted.join(e, groups).groupBy(quartile.alias("quartile")).agg(F.sum("n").alias("n"), ratio(F.sum("_y"), F.sum("_k")).alias("rate"))
 
 
 def bin_rates(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Per bin of equal counts of a value: rows, lowest and highest value, rate; rows without a value are a bin of their own (null)."""
-    at = quantile_bin(F.col(value), edges(df, value, bins))
-    return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg("y").alias("rate"))
+    counted = stored(df.groupBy(value).agg(F.count("*").alias("n"), F.sum("y").alias("_y"), F.count("y").alias("_k")))
+    at = quantile_bin(F.col(value), edges(counted, value, bins, counted=True))
+    return counted.groupBy(at.alias("bin")).agg(F.sum("n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), ratio(F.sum("_y"), F.sum("_k")).alias("rate"))
 
 
 def agreement(df: DataFrame, one: Column, two: Column, by: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketspark.functions.columns import smoothed
+from docketspark.functions.columns import ratio, smoothed
 
 
 def base_rate(df: DataFrame) -> float:
@@ -22,6 +22,13 @@ def smoothed_rate(train: DataFrame, keys: list[str], prior: float = 50.0) -> Dat
     return out.crossJoin(F.broadcast(base)).withColumn("rate", smoothed(F.col("positives"), F.col("n"), F.col("base"), prior)).drop("base")
 
 
+def smoothed_counts(cells: DataFrame, keys: list[str], n: str, positives: str, prior: float = 50.0) -> DataFrame:
+    """smoothed_rate of rows that are counted already (keys, n, positives), with the base rate in `base`."""
+    base = cells.agg(F.coalesce(ratio(F.sum(positives), F.sum(n)), F.lit(0.0)).alias("base"))
+    out = cells.dropna(subset=keys).groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(positives).alias("positives"))
+    return out.crossJoin(F.broadcast(base)).withColumn("rate", smoothed(F.col("positives"), F.col("n"), F.col("base"), prior))
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], value: str, default: float, out: str) -> DataFrame:
     """A table's value by key, or the default for unknown and null keys. Spark broadcasts the table if it is small."""
     t = table.select(*keys, F.col(value).alias(out))

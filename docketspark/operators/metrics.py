@@ -61,15 +61,16 @@ def with_above(b: DataFrame, by: list[str] | None = None, range_blocks: int = RA
     return out.drop("_range", "_n", "_p")
 
 
-def quantiles(df: DataFrame, value: Column | str, at: list[float], by: list[str] | None = None, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
+def quantiles(df: DataFrame, value: Column | str, at: list[float], by: list[str] | None = None, range_blocks: int = RANGE_BLOCKS, counted: bool = False) -> DataFrame:
     """(by, n, quantiles): the exact quantiles `at`, linear between neighbours, of a value's known rows per group; a row per group.
 
     The order statistics are picked from counted blocks, of which prefix sums tell how many rows lie before; nothing sorts
-    a group's rows. Groups without a known value have no row.
+    a group's rows. Groups without a known value have no row. `counted` frames have the number of rows in n.
     """
     by = by or []
     value = F.col(value) if isinstance(value, str) else value
-    b = df.select(*by, value.cast("double").alias("score")).where("score is not null").groupBy(*by, "score").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("pos"))
+    rows = F.col("n") if counted else F.lit(1)
+    b = df.select(*by, value.cast("double").alias("score"), rows.cast("long").alias("n")).where("score is not null").groupBy(*by, "score").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("pos"))
     b = with_above(b, by, range_blocks).withColumn("_before", F.col("n_all") - F.col("n_above") - F.col("n"))
     holds = lambda r: F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("n")), F.col("score")))
     place = [F.lit(float(p)) * (F.col("n_all") - 1) for p in at]
@@ -94,9 +95,9 @@ def precision_at_k(df: DataFrame, fraction: float, score: str = "score", by: lis
     return cut.select(*by, ((F.col("pos_above") + need * F.col("pos") / F.col("n")) / F.col("k")).alias("precision"), "k", F.col("n").alias("n_tied"), need.alias("need"))
 
 
-def lift(df: DataFrame, fractions: list[float], score: str = "score") -> DataFrame:
+def lift(df: DataFrame, fractions: list[float], score: str = "score", counted: bool = False) -> DataFrame:
     """A row per fraction: precision and its ratio to the base rate of these rows. The rows are read once."""
-    b = stored(blocks(df, score))
+    b = stored(blocks(df, score, None, counted))
     base = b.agg((F.sum("pos") / F.sum("n")).alias("base"))
     out = None
     for f in fractions:
@@ -106,10 +107,10 @@ def lift(df: DataFrame, fractions: list[float], score: str = "score") -> DataFra
     return out
 
 
-def roc_auc(df: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, score: str = "score", by: list[str] | None = None, counted: bool = False) -> DataFrame:
     """auc: the chance that a positive outranks a negative, ties one half; null without either."""
     by = by or []
-    b = with_above(blocks(df, score, by), by)
+    b = with_above(blocks(df, score, by, counted), by)
     neg, neg_above = F.col("n") - F.col("pos"), F.col("n_above") - F.col("pos_above")
     won = F.sum(F.col("pos") * ((F.col("n_all") - F.col("pos_all")) - neg_above - neg / 2))
     pairs = F.max(F.col("pos_all").cast("double") * (F.col("n_all") - F.col("pos_all")))
@@ -124,16 +125,16 @@ def average_precision(df: DataFrame, score: str = "score", by: list[str] | None
     return b.groupBy(*by).agg(ratio(F.sum(step), F.max("pos_all")).alias("ap"))
 
 
-def brier(df: DataFrame, score: str = "score") -> DataFrame:
-    p, y = F.col(score), F.col("y")
-    return df.where(p.isNotNull() & y.isNotNull()).agg(
-        F.avg((p - y) * (p - y)).alias("brier"), F.avg(p).alias("mean_score"), F.avg(y).alias("rate"), F.count("*").alias("n")
-    )
+def brier(df: DataFrame, score: str = "score", counted: bool = False) -> DataFrame:
+    """brier, mean_score, rate, n, from the sums per distinct score."""
+    b, p, n, pos = blocks(df, score, None, counted), F.col("score"), F.col("n"), F.col("pos")
+    miss = F.sum(pos * (1 - p) * (1 - p) + (n - pos) * p * p)
+    return b.agg(*[(x / F.sum(n)).alias(k) for k, x in (("brier", miss), ("mean_score", F.sum(p * n)), ("rate", F.sum(pos)))], F.coalesce(F.sum(n), F.lit(0)).alias("n"))
 
 
-def edges(df: DataFrame, column: str, bins: int) -> list[float]:
+def edges(df: DataFrame, column: str, bins: int, counted: bool = False) -> list[float]:
     """Exact, linear quantile edges; equal ones once."""
-    row = quantiles(df, column, [i / bins for i in range(bins + 1)]).first()
+    row = quantiles(df, column, [i / bins for i in range(bins + 1)], counted=counted).first()
     return sorted(set(row["quantiles"])) if row else []
 
 
@@ -145,30 +146,32 @@ def quantile_bin(x: Column, cuts: list[float]) -> Column:
     return out
 
 
-def reliability(df: DataFrame, score: str = "score", bins: int = 10) -> DataFrame:
-    """Per score bin of equal counts: rows, mean score, observed rate."""
-    known = df.where(F.col(score).isNotNull())
-    return known.withColumn("bin", quantile_bin(F.col(score), edges(known, score, bins))).groupBy("bin").agg(
-        F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg("y").alias("rate")
+def reliability(df: DataFrame, score: str = "score", bins: int = 10, counted: bool = False) -> DataFrame:
+    """Per score bin of equal counts: rows, mean score, observed rate, of rows whose score and label are known."""
+    b = stored(blocks(df, score, None, counted))
+    n = F.sum("n")
+    return b.withColumn("bin", quantile_bin(F.col("score"), edges(b, "score", bins, counted=True))).groupBy("bin").agg(
+        n.alias("n"), (F.sum(F.col("score") * F.col("n")) / n).alias("mean_score"), (F.sum("pos") / n).alias("rate")
     )
 
 
-def queue_threshold(df: DataFrame, fraction: float = 0.10, score: str = "score") -> DataFrame:
+def queue_threshold(df: DataFrame, fraction: float = 0.10, score: str = "score", counted: bool = False) -> DataFrame:
     """The raw score from which the queue's fraction of the rows lies, with six decimals; no rows, no result row."""
-    return quantiles(df, score, [1 - fraction]).select(F.round(F.get("quantiles", F.lit(0)), 6).alias("threshold"))
+    return quantiles(df, score, [1 - fraction], counted=counted).select(F.round(F.get("quantiles", F.lit(0)), 6).alias("threshold"))
 
 
-def equity(df: DataFrame, group: str, fraction: float, score: str = "score", top: int = 8) -> DataFrame:
+def equity(df: DataFrame, group: str, fraction: float, score: str = "score", top: int = 8, counted: bool = False) -> DataFrame:
     """The largest groups' shares of the queue and of all rows, and their ratio.
 
     Rows tied at the cut are in the queue with the weight that precision_at_k gives them.
     """
-    b = with_above(blocks(df.withColumn("y", F.lit(0)), score))
+    rows = F.sum("n") if counted else F.count("*")
+    per = stored(df.groupBy(group, F.col(score).alias("score")).agg(rows.alias("n"), F.lit(0).cast("long").alias("pos")))
+    b = with_above(blocks(per, counted=True))
     k = F.least(F.greatest(F.bround(F.lit(float(fraction)) * F.col("n_all")).cast("long"), F.lit(1)), F.col("n_all"))
     weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - F.col("n_above")) / F.col("n")))
     w = b.select("score", weight.alias("w"), k.alias("k"), "n_all")
-    per = df.groupBy(group, F.col(score).alias("score")).agg(F.count("*").alias("c")).join(w, "score")
-    out = per.groupBy(group).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("w")).alias("queued"), F.max("k").alias("k"), F.max("n_all").alias("n_all"))
+    out = per.join(w, "score").groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("w")).alias("queued"), F.max("k").alias("k"), F.max("n_all").alias("n_all"))
     share, queue = F.col("n") / F.col("n_all"), F.col("queued") / F.col("k")
     return out.select(group, "n", share.alias("share"), queue.alias("queue_share"), (queue / share).alias("ratio")).orderBy(F.desc("n"), group).limit(top)
 
@@ -176,7 +179,7 @@ def equity(df: DataFrame, group: str, fraction: float, score: str = "score", top
 def rate_drift(old: DataFrame, new: DataFrame, moved: float = 0.05, worst: int = 5) -> tuple[DataFrame, DataFrame]:
     """(summary, the agencies that moved most) of two tables (agency, rate)."""
     both = old.select("agency", F.col("rate").alias("rate_old")).join(new.select("agency", F.col("rate").alias("rate_new")), "agency")
-    both = both.withColumn("change", F.abs(F.col("rate_new") - F.col("rate_old")))
+    both = stored(both.withColumn("change", F.abs(F.col("rate_new") - F.col("rate_old"))))
     spread = quantiles(both, "change", [0.5, 0.95]).select(F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p95"))
     counts = both.agg(F.count("*").alias("n"), F.count_if(F.col("change") > moved).alias("moved"))
     summary = counts.join(spread, F.lit(True), "left").select("n", "median", "p95", "moved")  # one row each

@@ -9,6 +9,10 @@ from docketspark.config import DEMO
 from docketspark.operators import encode, history, metrics
 from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log
+from docketspark.sources.store import stored
+
+#: The days of the training years, as a condition.
+TRAIN_DAYS = f"year(reg) in ({', '.join(map(str, DEMO.train_years))})"
 
 
 def tested(log: DataFrame, since: int = DEMO.test_year) -> DataFrame:
@@ -17,11 +21,18 @@ def tested(log: DataFrame, since: int = DEMO.test_year) -> DataFrame:
     return history.matured(log.where(F.col("year") >= since).crossJoin(F.broadcast(last)), F.col("_last"), DEMO.maturity_days).drop("_last")
 
 
-def baseline(log: DataFrame) -> DataFrame:
-    """The matured test requests with the smoothed training rate of their agency as the score."""
-    train = log.where(F.col("year").isin(*DEMO.train_years))
-    rates = encode.smoothed_rate(train, ["agency"], DEMO.prior_agency)
-    return encode.lookup(tested(log), rates, ["agency"], "rate", encode.base_rate(train), "score")
+def baseline(log: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, score, n, pos): the matured test requests, counted, with the smoothed training rate of their agency as the score.
+
+    The log is read once, into sums per agency and day; rates, the base rate, the last day and the test all come from these.
+    """
+    by = by or []
+    days = stored(history.daily(log, ["agency", *by]))
+    rates = encode.smoothed_counts(days.where(TRAIN_DAYS), ["agency"], "n_day", "y_day", DEMO.prior_agency)
+    known = days.agg(F.max("reg").alias("_last"), (F.sum(F.when(F.expr(TRAIN_DAYS), F.col("y_day"))) / F.sum(F.when(F.expr(TRAIN_DAYS), F.col("n_day")))).alias("_base"))
+    test = history.matured(days.where(F.year("reg") >= DEMO.test_year).crossJoin(F.broadcast(known)), F.col("_last"), DEMO.maturity_days)
+    scored = test.join(rates.select("agency", "rate"), "agency", "left").withColumn("score", F.coalesce("rate", "_base"))
+    return scored.groupBy(*by, "score").agg(F.sum("n_day").alias("n"), F.sum("y_day").alias("pos"))
 
 
 BASE = """WITH {LOG}, t AS (SELECT * FROM req WHERE year BETWEEN 1995 AND 1998), base AS (SELECT avg(y) AS base FROM t),
@@ -37,48 +48,48 @@ _PREC = """round((pos_above + (k - n_above) * pos / n) / k, 9) AS precision, CAS
 
 @query(BASE + " SELECT " + _PREC.replace("{f}", "0.05"))
 def lookup_baseline_precision_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.precision_at_k(baseline(request_log(spark, d)), 0.05).withColumn("precision", F.round("precision", 9))
+    return metrics.precision_at_k(baseline(request_log(spark, d)), 0.05, counted=True).withColumn("precision", F.round("precision", 9))
 
 
 @query(BASE + " SELECT " + _PREC.replace("{f}", "0.1"))
 def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.precision_at_k(baseline(request_log(spark, d)), 0.10).withColumn("precision", F.round("precision", 9))
+    return metrics.precision_at_k(baseline(request_log(spark, d)), 0.10, counted=True).withColumn("precision", F.round("precision", 9))
 
 
 @query(BASE + """ SELECT round(sum(pos * ((n_all - pos_all) - (n_above - pos_above) - (n - pos) / 2)) / max(pos_all * (n_all - pos_all)), 9) AS auc FROM a""")
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.roc_auc(baseline(request_log(spark, d))).select(F.round("auc", 9).alias("auc"))
+    return metrics.roc_auc(baseline(request_log(spark, d)), counted=True).select(F.round("auc", 9).alias("auc"))
 
 
 @query(BASE + """ SELECT round(sum(pos * (pos_above + pos) / (n_above + n)) / max(pos_all), 9) AS ap FROM a""")
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.average_precision(baseline(request_log(spark, d))).select(F.round("ap", 9).alias("ap"))
+    return metrics.average_precision(baseline(request_log(spark, d)), counted=True).select(F.round("ap", 9).alias("ap"))
 
 
 @query(BASE + ", " + ", ".join(f"p{i} AS (SELECT {f} AS fraction, {_PREC.replace('{f}', str(f))})" for i, f in enumerate((0.01, 0.05, 0.1)))
        + """, u AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2), r AS (SELECT avg(y) AS base FROM s)
     SELECT CAST(fraction AS DOUBLE) AS fraction, precision, round(base, 9) AS base, round(precision / base, 6) AS lift FROM u, r""")
 def lift_table(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.lift(baseline(request_log(spark, d)), [0.01, 0.05, 0.1])
+    out = metrics.lift(baseline(request_log(spark, d)), [0.01, 0.05, 0.1], counted=True)
     return out.select("fraction", F.round("precision", 9).alias("precision"), F.round("base", 9).alias("base"), F.round("lift", 6).alias("lift"))
 
 
 @query(BASE + " SELECT round(avg((score - y) * (score - y)), 9) AS brier, round(avg(score), 9) AS mean_score, round(avg(y), 9) AS rate, count(*) AS n FROM s")
 def brier(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.brier(baseline(request_log(spark, d))).select(*[F.round(c, 9).alias(c) for c in ("brier", "mean_score", "rate")], "n")
+    return metrics.brier(baseline(request_log(spark, d)), counted=True).select(*[F.round(c, 9).alias(c) for c in ("brier", "mean_score", "rate")], "n")
 
 
 @query(BASE + """, e AS (SELECT list_sort(list_distinct(quantile_cont(score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM s),
     b AS (SELECT y, score, CAST(greatest(len(list_filter(e, lambda x: x < score)) - 1, 0) AS INTEGER) AS bin FROM s, e)
     SELECT bin, count(*) AS n, round(avg(score), 9) AS mean_score, round(avg(y), 9) AS rate FROM b GROUP BY bin""")
 def reliability_deciles(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.reliability(baseline(request_log(spark, d)))
+    out = metrics.reliability(baseline(request_log(spark, d)), counted=True)
     return out.select("bin", "n", F.round("mean_score", 9).alias("mean_score"), F.round("rate", 9).alias("rate"))
 
 
 @query(BASE + " SELECT round(quantile_cont(score, 0.9), 6) AS threshold FROM s")
 def queue_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.queue_threshold(baseline(request_log(spark, d)))
+    return metrics.queue_threshold(baseline(request_log(spark, d)), counted=True)
 
 
 @query(BASE + """, k AS (SELECT score, n, n_above, n_all, least(greatest(CAST(round_even(0.1 * n_all, 0) AS BIGINT), 1), n_all) AS k FROM a),
@@ -86,7 +97,7 @@ def queue_threshold(spark: SparkSession, d: str) -> DataFrame:
     SELECT channel, count(*) AS n, round(count(*) / max(n_all), 9) AS share, round(sum(w) / max(k), 9) AS queue_share, round((sum(w) / max(k)) / (count(*) / max(n_all)), 6) AS ratio
     FROM s JOIN w USING (score) GROUP BY channel ORDER BY n DESC, channel LIMIT 8""")
 def equity_audit(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.equity(baseline(request_log(spark, d)), "channel", 0.1)
+    out = metrics.equity(baseline(request_log(spark, d), ["channel"]), "channel", 0.1, counted=True)
     return out.select("channel", "n", F.round("share", 9).alias("share"), F.round("queue_share", 9).alias("queue_share"), F.round("ratio", 6).alias("ratio"))
 
 

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from docketspark.config import DEMO
 from docketspark.functions import columns as C
 from docketspark.operators import encode, history, joins
+from docketspark.plans.evaluation import TRAIN_DAYS
 from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log, table
 
 ORDER = ["request_id", "line", "part", "quantity", "agency"]
-#: The days of the training years, as a condition.
-TRAIN_DAYS = f"year(reg) in ({', '.join(map(str, DEMO.train_years))})"
 
 
 def _train(log: DataFrame) -> DataFrame:
