@@ -7,6 +7,8 @@ summed per day first, so that an agency's window has a row per day and not per r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,15 +143,31 @@ def settled(df: DataFrame, status: str, in_transit: str) -> DataFrame:
     return df.where(~F.col(status).eqNullSafe(F.lit(in_transit)))
 
 
-def unlagged_history(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The history as it leaks: all earlier rows, labels not matured; -1 for requesters without a history. Only to measure the leak."""
-    of_requester = "requester" in keys
-    d = apart(df) if of_requester else df
+def unlagged_history(df: DataFrame, keys: list[str], order: list[str], anonymous: bool = False) -> DataFrame:
+    """The history as it leaks: all earlier rows, labels not matured; -1 for requesters without a history. Only to measure the leak.
+
+    With `anonymous`, rows of anonymous and unknown requesters are counted like all others. Their windows are those of a day, to
+    which the sums of the days before are added, so that no task holds all of them.
+    """
+    of_requester, ok, names = "requester" in keys, eligible(F.col("requester")), ("leaky_sum", "leaky_den")
+    whole = of_requester and anonymous
+    if whole:
+        own = F.when(ok, F.lit(0)).otherwise(day_number(F.col("reg"))).cast("long")
+        d = df.drop(OWN).withColumn(OWN, own).repartition("requester", OWN)
+    else:
+        d = apart(df) if of_requester else df
     w = W.partitionBy(*keys, *([OWN] if of_requester else [])).orderBy("reg", *order).rowsBetween(W.unboundedPreceding, -1)
     out = d.withColumn("leaky_sum", F.coalesce(F.sum("y").over(w), F.lit(0))).withColumn("leaky_den", F.count("*").over(w))
+    if whole:
+        before = W.partitionBy(*keys).orderBy("reg").rowsBetween(W.unboundedPreceding, -1)
+        days = daily(df.where(~ok), keys).select(*keys, "reg", F.sum("y_day").over(before).alias("leaky_sum"), F.sum("n_day").over(before).alias("leaky_den"))
+        same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in [*keys, "reg"]])
+        days = F.broadcast(days) if keys == ["requester"] else days  # two requesters, a row a day
+        both = out.alias("r").join(days.alias("d"), same, "left")
+        out = both.select(*[F.col(f"r.{c}") for c in d.columns if c != OWN], *[(F.col(f"r.{c}") + F.coalesce(f"d.{c}", F.lit(0))).alias(c) for c in names])
+        return out if OWN not in df.columns else apart(out)
     if of_requester:
-        ok = eligible(F.col("requester"))
-        out = out.withColumns({c: F.when(ok, F.col(c)).otherwise(F.lit(ABSENT)).cast("long") for c in ("leaky_sum", "leaky_den")})
+        out = out.withColumns({c: F.when(ok, F.col(c)).otherwise(F.lit(ABSENT)).cast("long") for c in names})
     return out if OWN in df.columns else out.drop(OWN)
 
 

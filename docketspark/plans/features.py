@@ -239,13 +239,11 @@ def latest_per_agency(spark: SparkSession, d: str) -> DataFrame:
     return history.latest(rates, "agency", "rate_90").select("agency", F.round("rate_90", 6).alias("rate"))
 
 
-_BEFORE = f"OVER (PARTITION BY requester ORDER BY reg, {_KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-
-
-@query("WITH {LOG} SELECT requester, reg, " + _KEYS + f""", CAST(CASE WHEN requester <> 0 THEN coalesce(sum(y) {_BEFORE}, 0) ELSE -1 END AS BIGINT) AS leaky_sum,
-    CASE WHEN requester <> 0 THEN count(*) {_BEFORE} ELSE -1 END AS leaky_den FROM req""")
+@query("WITH {LOG} SELECT requester, reg, " + _KEYS + f""", CAST(coalesce(sum(y) OVER (PARTITION BY requester ORDER BY reg, {_KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS leaky_sum,
+    count(*) OVER (PARTITION BY requester ORDER BY reg, {_KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS leaky_den FROM req""")
 def leaky_history(spark: SparkSession, d: str) -> DataFrame:
-    return history.unlagged_history(request_log(spark, d), ["requester"], ORDER).select("requester", "reg", *ORDER, "leaky_sum", "leaky_den")
+    """All earlier rows of every requester, the anonymous one too."""
+    return history.unlagged_history(request_log(spark, d), ["requester"], ORDER, anonymous=True).select("requester", "reg", *ORDER, "leaky_sum", "leaky_den")
 
 
 @query("""WITH {LOG}, day AS (SELECT agency, reg, count(*) AS n, sum(y) AS s FROM req GROUP BY ALL) SELECT agency, reg,
