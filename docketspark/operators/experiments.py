@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docketspark.functions.columns import ratio, smoothed
 from docketspark.operators import encode, history, metrics
+from docketspark.sources.store import stored
 
 
 def _changes(one: DataFrame, two: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -101,7 +102,8 @@ def encoding_difference(train: DataFrame, prior: float = 50.0, fold: str = "fold
 
 
 def _measured(counted: DataFrame, by: list[str], fraction: float) -> DataFrame:
-    """ap and precision of counted scores (by, score, n, pos)."""
+    """ap and precision of counted scores (by, score, n, pos), which are summed per score once."""
+    counted = stored(metrics.blocks(counted, by=by, counted=True))
     ap = metrics.average_precision(counted, by=by, counted=True)
     return ap.join(metrics.precision_at_k(counted, fraction, by=by, counted=True).select(*by, "precision"), by)
 
@@ -110,21 +112,24 @@ def training_windows(train: DataFrame, test: DataFrame, windows: dict[str, list[
     """(window, inputs, n_train, ap, precision): the smoothed-rate score fitted on several sets of years, with and without further keys,
     on one fixed test.
 
-    One plan: training rows are summed per year and key and then per window, test rows per key, before they meet.
+    Training rows are summed per year and all keys, test rows per all keys, and stored; every window and list of keys comes from these two.
     """
-    out = []
-    listed = F.array(*[F.struct(F.lit(w).alias("window"), F.array(*map(F.lit, years)).alias("years")) for w, years in windows.items()])
+    finest = list(dict.fromkeys(k for by in keys.values() for k in by))
+    sums = (F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    years = stored(train.groupBy("year", *finest).agg(F.count("*").alias("n"), F.sum("y").alias("pos")))
+    asked = stored(test.groupBy(*finest).agg(F.count("*").alias("n"), F.sum("y").alias("pos")))
+    listed = F.array(*[F.struct(F.lit(w).alias("window"), F.array(*map(F.lit, of)).alias("years")) for w, of in windows.items()])
+    of_window = F.explode(F.filter(listed, lambda w: F.array_contains(w["years"], F.col("year"))))
+    base = years.groupBy("year").agg(*sums).withColumn("w", of_window).groupBy("w.window").agg(F.sum("n").alias("n_train"), (F.sum("pos") / F.sum("n")).alias("base"))
+    base = F.broadcast(stored(base))  # a row per window
+    scored = []
     for inputs, by in keys.items():
-        cells = train.groupBy("year", *by).agg(F.count("*").alias("n"), F.sum("y").alias("pos")).withColumn("w", F.explode(listed))
-        cells = cells.where(F.array_contains("w.years", F.col("year"))).groupBy("w.window", *by).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-        base = cells.groupBy("window").agg(F.sum("n").alias("n_train"), (F.sum("pos") / F.sum("n")).alias("base"))
-        asked = test.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y").alias("pos")).crossJoin(F.broadcast(base))  # a row per window
-        rates = cells.select("window", *by, F.col("n").alias("_n"), F.col("pos").alias("_p"))
-        scored = asked.join(rates, ["window", *by], "left")
+        rates = years.groupBy("year", *by).agg(*sums).withColumn("w", of_window).groupBy("w.window", *by).agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
+        both = asked.groupBy(*by).agg(*sums).crossJoin(base).join(rates, ["window", *by], "left")
         score = F.coalesce(smoothed(F.col("_p"), F.col("_n"), F.col("base"), prior), F.col("base"))
-        measured = _measured(scored.select("window", score.alias("score"), "n", "pos"), ["window"], fraction)
-        out.append(measured.join(F.broadcast(base), "window").select("window", F.lit(inputs).alias("inputs"), "n_train", "ap", "precision"))
-    return reduce(lambda a, b: a.unionByName(b), out)
+        scored.append(both.select("window", F.lit(inputs).alias("inputs"), score.alias("score"), "n", "pos"))
+    measured = _measured(reduce(lambda a, b: a.unionByName(b), scored), ["window", "inputs"], fraction)
+    return measured.join(base, "window").select("window", "inputs", "n_train", "ap", "precision")
 
 
 def corrections(log: DataFrame, train: str, is_test: Column, window: int = 90, lag: int = 60, prior: float = 20.0, fraction: float = 0.05) -> DataFrame:

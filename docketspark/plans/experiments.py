@@ -15,6 +15,7 @@ from docketspark.plans.evaluation import tested
 from docketspark.plans.features import ORDER, TRAIN_DAYS
 from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log
+from docketspark.sources.store import stored
 
 CUTS = [dt.date(1996, 6, 30), dt.date(1998, 6, 30), dt.date(2000, 6, 30)]
 _ROW = "PARTITION BY requester ORDER BY reg, request_id, line, part, quantity, agency"
@@ -107,7 +108,7 @@ def _window_sql(name: str, by: list[str]) -> str:
     SELECT "window", inputs, n_train, round(ap, 9) AS ap, round(precision, 9) AS precision FROM ap JOIN p USING (v) JOIN (SELECT DISTINCT v, "window", inputs, n_train FROM counted) USING (v)""")
 def training_windows(spark: SparkSession, d: str) -> DataFrame:
     """Five sets of training years, each with the agency alone and with the channel, on one matured test."""
-    log = request_log(spark, d)
+    log = stored(request_log(spark, d).select("agency", "channel", "reg", "year", "y"))
     out = experiments.training_windows(log, tested(log), WINDOWS, KEYS)
     return out.select("window", "inputs", "n_train", F.round("ap", 9).alias("ap"), F.round("precision", 9).alias("precision"))
 
