@@ -134,13 +134,13 @@ def training_windows(train: DataFrame, test: DataFrame, windows: dict[str, list[
 
 def corrections(log: DataFrame, train: str, is_test: Column, window: int = 90, lag: int = 60, prior: float = 20.0, fraction: float = 0.05) -> DataFrame:
     """(variant, n, ap, precision): the agency's rolling rate as a score in four makings: neither correction, labels
-    matured, prior from the training days only, and both."""
-    bases = history.daily(log, ["agency"]).agg(
+    matured, prior from the training days only, and both. All come from daily sums (or a log, which is summed); both lags share the windows' one shuffle."""
+    days = history.daily(log, ["agency"])
+    bases = days.agg(
         (F.sum("y_day") / F.sum("n_day")).alias("_all"), ratio(F.sum(F.when(F.expr(train), F.col("y_day"))), F.sum(F.when(F.expr(train), F.col("n_day")))).alias("_train")
     )
-    late = history.rolling(log, (window,), lag)
-    early = history.rolling(log, (window,), 1).select("agency", "reg", F.col(f"cnt_{window}").alias("_c"), F.col(f"sum_{window}").alias("_s"))
-    d = late.join(early, ["agency", "reg"]).where(is_test).crossJoin(F.broadcast(bases))
+    early = history.rolled(days, (window,), 1).withColumnsRenamed({f"cnt_{window}": "_c", f"sum_{window}": "_s"})
+    d = history.rolled(early, (window,), lag).where(is_test).crossJoin(F.broadcast(bases))
     made = {"neither": ("_s", "_c", "_all"), "matured": (f"sum_{window}", f"cnt_{window}", "_all"), "training prior": ("_s", "_c", "_train"), "both": (f"sum_{window}", f"cnt_{window}", "_train")}
     scores = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.round(smoothed(F.col(s), F.col(c), F.col(b), prior), 9).alias("score")) for v, (s, c, b) in made.items()]))
     counted = d.select("n_day", "y_day", scores.alias("s")).groupBy("s.variant", "s.score").agg(F.sum("n_day").alias("n"), F.sum("y_day").alias("pos"))

@@ -74,12 +74,19 @@ def histories(df: DataFrame, order: list[str], lag: int = 60) -> DataFrame:
 
 
 def daily(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reg, n_day, y_day): requests and labels per day. A frame that has these sums already, by these keys, is taken as it is."""
+    if {"n_day", "y_day"} <= set(df.columns):
+        return df
     return df.groupBy(*keys, "reg").agg(F.count("*").alias("n_day"), F.sum("y").alias("y_day"))
 
 
 def rolling(df: DataFrame, windows: tuple[int, ...] = (90, 365), lag: int = 60, key: str = "agency") -> DataFrame:
     """Per (agency, day): cnt_w and sum_w of the requests with reg in (day - lag - w, day - lag]."""
-    d = daily(df, [key])
+    return rolled(daily(df, [key]), windows, lag, key)
+
+
+def rolled(d: DataFrame, windows: tuple[int, ...] = (90, 365), lag: int = 60, key: str = "agency") -> DataFrame:
+    """Daily sums with cnt_w and sum_w, as in `rolling`."""
     order = W.partitionBy(key).orderBy(day_number(F.col("reg")))
     for w in windows:
         frame = order.rangeBetween(-(lag + w - 1), -lag)

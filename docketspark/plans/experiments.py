@@ -70,7 +70,7 @@ def _rate(base: str, a: int, b: int) -> str:
     CAST(coalesce(sum(n) FILTER (m > 0.001), 0) AS BIGINT) AS over_0001, CAST(coalesce(sum(n) FILTER (m > 0.01), 0) AS BIGINT) AS over_001 FROM w GROUP BY days""")
 def prior_shift(spark: SparkSession, d: str) -> DataFrame:
     """What it changes if the rolling rates' prior sees the labels of validation and test."""
-    out = experiments.prior_shift(request_log(spark, d), TRAIN_DAYS)
+    out = experiments.prior_shift(stored(history.daily(request_log(spark, d), ["agency"])), TRAIN_DAYS)
     return out.select("days", "affected", F.round("mean", 9).alias("mean"), F.round("most", 9).alias("most"), "over_0001", "over_001")
 
 
@@ -122,9 +122,9 @@ _MAKINGS = {"neither": ("base_all", 90, 1), "matured": ("base_all", 149, 60), "t
     SELECT v AS variant, CAST(n_all AS BIGINT) AS n, round(ap, 6) AS ap, round(precision, 6) AS precision FROM ap JOIN p USING (v)""")
 def corrections(spark: SparkSession, d: str) -> DataFrame:
     """The rolling rate with and without matured labels, and with and without a prior of the training years alone."""
-    log = request_log(spark, d)
-    last = log.agg(F.date_sub(F.max("reg"), DEMO.maturity_days)).first()[0]
-    out = experiments.corrections(log, TRAIN_DAYS, (F.year("reg") >= DEMO.test_year) & (F.col("reg") <= F.lit(last)))
+    days = stored(history.daily(request_log(spark, d), ["agency"]))
+    last = days.agg(F.date_sub(F.max("reg"), DEMO.maturity_days)).first()[0]
+    out = experiments.corrections(days, TRAIN_DAYS, (F.year("reg") >= DEMO.test_year) & (F.col("reg") <= F.lit(last)))
     return out.select("variant", "n", F.round("ap", 6).alias("ap"), F.round("precision", 6).alias("precision"))
 
 
