@@ -43,11 +43,14 @@ def causality_audit(
 
 
 def history_by_asof(df: DataFrame, keys: list[str], name: str, lag: int = 60) -> DataFrame:
-    """matured_history's sums by another way: running sums per day, then the last day up to `lag` days before. To check it, not to use it."""
-    days = history.daily(df.where(history.eligible(F.col("requester"))), keys)
+    """matured_history's sums by another way: running sums per day, then the last day up to `lag` days before. To check it, not to use it.
+
+    Rows are dealt by the keys once for their sums, days and windows."""
+    dealt = df.where(history.eligible(F.col("requester"))).repartition(*keys)
+    days = history.daily(dealt, keys)
     upto = W.partitionBy(*keys).orderBy("reg").rowsBetween(W.unboundedPreceding, 0)
     days = days.select(*keys, "reg", F.sum("y_day").over(upto).alias(name), F.sum("n_day").over(upto).alias(f"{name}_den"))
-    asked = df.where(history.eligible(F.col("requester"))).select(*keys, "reg").distinct()
+    asked = dealt.select(*keys, "reg").distinct()
     out = history.asof(asked, days, keys, "reg", [name, f"{name}_den"], lag)
     return out.select(*keys, "reg", *[F.coalesce(f"asof_{c}", F.lit(0)).alias(c) for c in (name, f"{name}_den")])
 

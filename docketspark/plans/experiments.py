@@ -48,7 +48,7 @@ _PAST = "RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 60 DAY PRECEDING"
     UNION ALL SELECT 'shifted', count(*), count(*) FILTER (b IS NULL), 0, count(*) FILTER (a <> b), sum(a), sum(b) FROM m""")
 def history_alignment(spark: SparkSession, d: str) -> DataFrame:
     """The matured history beside one made by running sums and an as-of join, row by row; and beside one whose values sit a row too late."""
-    log = request_log(spark, d).where(F.col("requester") != 0)
+    log = stored(request_log(spark, d).where(F.col("requester") != 0).select("requester", "reg", *ORDER, "y"))
     one = history.matured_history(log, ["requester"], "prev").select("requester", "reg", *ORDER, "prev", "prev_den")
     two = log.join(experiments.history_by_asof(log, ["requester"], "prev"), ["requester", "reg"])
     late = W.partitionBy("requester").orderBy("reg", *ORDER)
