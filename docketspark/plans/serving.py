@@ -204,10 +204,10 @@ FEATURES = ["quantity", "n_prior", "n_prior_pair", "days_since_last", "prev", "p
 
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    """All features of every request; the plan shuffles the log once by requester and once by (agency, day)."""
-    log = request_log(spark, d)
+    """All features of every request; the log is joined once and stored, the plan shuffles it once by requester and once by (agency, day)."""
+    log = stored(request_log(spark, d))
     out = history.histories(log, ["request_id", "line", "part", "quantity", "agency"])
-    rates = history.rolling_rates(log, train=TRAIN_DAYS).select("agency", "reg", "rate_90", "rate_365", "trend")
+    rates = history.rolling_rates(stored(history.daily(log, ["agency"])), train=TRAIN_DAYS).select("agency", "reg", "rate_90", "rate_365", "trend")
     out = out.join(rates, ["agency", "reg"])
     codes = encode.category_codes(log.where(F.col("year").isin(*DEMO.train_years)), ["channel"])
     return encode.encode(out, codes, ["channel"])
