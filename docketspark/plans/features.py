@@ -11,6 +11,7 @@ from docketspark.operators import encode, history, joins
 from docketspark.plans.evaluation import TRAIN_DAYS
 from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log, table
+from docketspark.sources.store import stored
 
 ORDER = ["request_id", "line", "part", "quantity", "agency"]
 
@@ -227,9 +228,11 @@ def rolling_rate_90_365(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH {LOG}, b AS (SELECT agency, min(reg) AS born FROM req WHERE year < 1997 AND agency % 10 <> 0 GROUP BY agency)
     SELECT agency, reg, CAST(reg - born AS INTEGER) AS agency_age, count(*) AS n FROM req LEFT JOIN b USING (agency) GROUP BY ALL""")
 def agency_age(spark: SparkSession, d: str) -> DataFrame:
-    log = request_log(spark, d)
+    """Requests are summed per agency and day, from columns that are joined once, before they meet the births."""
+    log = stored(request_log(spark, d).select("agency", "reg", "year"))
     born = history.births(log.where("year < 1997 and agency % 10 <> 0"))
-    return history.agency_age(log, born).groupBy("agency", "reg", "agency_age").agg(F.count("*").alias("n"))
+    days = log.groupBy("agency", "reg").agg(F.count("*").alias("n"))
+    return history.agency_age(days, born).select("agency", "reg", "agency_age", "n")
 
 
 @query(_ROLL + " SELECT agency, round(arg_max((sum_90 + 20 * base) / (cnt_90 + 20), reg), 6) AS rate FROM r, b GROUP BY agency")
