@@ -42,9 +42,8 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
 def modal_purity(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: rows, most frequent value (the smallest of ties) and its share."""
     c = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    first = W.partitionBy(group).orderBy(F.desc("c"), value)
-    c = c.withColumn("n", F.sum("c").over(W.partitionBy(group))).withColumn("_rn", F.row_number().over(first))
-    return c.where("_rn = 1").select(group, "n", F.col(value).alias("modal"), (F.col("c") / F.col("n")).alias("purity"))
+    modal = F.min_by(value, F.struct(-F.col("c"), F.col(value)))
+    return c.groupBy(group).agg(F.sum("c").alias("n"), modal.alias("modal"), (F.max("c") / F.sum("c")).alias("purity"))
 
 
 def weighted_purity(df: DataFrame, group: str, value: str) -> DataFrame:

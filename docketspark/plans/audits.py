@@ -9,6 +9,7 @@ from docketspark.operators import audit
 from docketspark.operators.metrics import quantiles
 from docketspark.plans.registry import query
 from docketspark.sources.requests import request_log, table
+from docketspark.sources.store import stored
 
 
 def _with_gaps(log: DataFrame) -> DataFrame:
@@ -42,15 +43,20 @@ _PREFIX = """WITH {LOG}, c AS (SELECT substr(CAST(request_id AS VARCHAR), 1, 2)
     r AS (SELECT prefix, agency, c, sum(c) OVER (PARTITION BY prefix) AS n, row_number() OVER (PARTITION BY prefix ORDER BY c DESC, agency) AS rn FROM c)"""
 
 
+def _prefixed(log: DataFrame) -> DataFrame:
+    """(prefix, agency) of every request, stored: the join and the sums that follow don't share a task's memory."""
+    return stored(log.select(F.substring(F.col("request_id").cast("string"), 1, 2).alias("prefix"), "agency"))
+
+
 @query(_PREFIX + " SELECT prefix, CAST(n AS BIGINT) AS n, agency AS modal, round(c / n, 9) AS purity FROM r WHERE rn = 1")
 def modal_purity(spark: SparkSession, d: str) -> DataFrame:
-    log = request_log(spark, d).withColumn("prefix", F.substring(F.col("request_id").cast("string"), 1, 2))
+    log = _prefixed(request_log(spark, d))
     return audit.modal_purity(log, "prefix", "agency").withColumn("purity", F.round("purity", 9))
 
 
 @query(_PREFIX + " SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS n, round(sum(c) / sum(n), 9) AS purity FROM r WHERE rn = 1")
 def weighted_purity(spark: SparkSession, d: str) -> DataFrame:
-    log = request_log(spark, d).withColumn("prefix", F.substring(F.col("request_id").cast("string"), 1, 2))
+    log = _prefixed(request_log(spark, d))
     return audit.weighted_purity(log, "prefix", "agency").withColumn("purity", F.round("purity", 9))
 
 
