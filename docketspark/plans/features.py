@@ -113,8 +113,11 @@ def profile_left_join(spark: SparkSession, d: str) -> DataFrame:
     """Profiles of the request's own year; each year lacks a fifth of them."""
     years = F.explode(F.sequence(F.lit(1995).cast("long"), F.lit(2001).cast("long")))
     profiles = table(spark, d, "customer").withColumnRenamed("c_custkey", "requester").withColumn("year", years).where("(c_nationkey + year) % 5 <> 0")
-    out = joins.with_profile(request_log(spark, d), profiles, ["year", "requester"], ["c_name"])
-    return out.groupBy("year", F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.count("c_nationkey").alias("known"))
+    log = stored(request_log(spark, d).select("year", "requester", "y"))
+    counts = log.groupBy("year", "requester").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))  # requests meet their profile summed
+    out = joins.with_profile(counts, profiles, ["year", "requester"], ["c_name"])
+    known = F.coalesce(F.sum(F.when(F.col("c_nationkey").isNotNull(), F.col("n"))), F.lit(0))
+    return out.groupBy("year", F.col("c_mktsegment").alias("segment")).agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"), known.alias("known"))
 
 
 @query("""WITH {LOG}, m AS (SELECT *, CAST(CASE WHEN line = 3 THEN 1 ELSE 0 END AS INTEGER) AS channel_missing, CAST(CASE WHEN quantity > 40 THEN 1 ELSE 0 END AS INTEGER) AS quantity_missing FROM req)
