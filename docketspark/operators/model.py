@@ -8,15 +8,14 @@ from dataclasses import dataclass, field
 from hashlib import md5
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.functions.columns import interpolated
 from docketspark.operators import metrics
-from docketspark.operators.trees import Forest, forest_of, probability, staged
+from docketspark.operators.boosting import boosted
+from docketspark.operators.trees import Forest, probability
 from docketspark.sources.store import stored
 
 
@@ -53,23 +52,15 @@ def fit_trees(
     train: DataFrame, validation: DataFrame, features: list[str], rounds: int = 60, patience: int = 40, depth: int = 4, step: float = 0.1, least: int = 20,
     share: float = 1.0, bins: int = 63, seed: int = 42,
 ) -> Fitted:
-    """Boosted trees, fitted once; the validation average precision of every number of trees comes from one pass over the validation rows,
-    and the rounds end where `patience` of them bring no gain. `least` rows make a leaf, each split sees a `share` of the inputs.
+    """Boosted trees, fitted once; the rounds end where `patience` of them bring no gain in the validation average precision, which is
+    taken after every round. `least` rows make a leaf, each split sees a `share` of the inputs.
 
     Unknown inputs (null, NaN) are -1 in training, as they are in serving, and go the same way in scoring.
     """
-    unknown = F.lit(-1.0)
-    rows = train.select(*[F.coalesce(F.nanvl(F.col(f).cast("double"), unknown), unknown).alias(f) for f in features], F.col("y").cast("double").alias("y"))
-    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("features", "y")
-    trees = GBTClassifier(
-        labelCol="y", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed, maxBins=bins,
-        minInstancesPerNode=least, featureSubsetStrategy="all" if share >= 1 else str(share),
-    ).fit(assembled)
-    forest = forest_of(trees, features)
-    by_trees = {r["trees"]: r["ap"] or 0.0 for r in metrics.average_precision(staged(validation, forest, ["y"]), by=["trees"]).collect()}  # one row a round
-    curve = [by_trees.get(i + 1, 0.0) for i in range(len(forest))]
+    ended = lambda curve: len(curve) - stopped(curve, patience) >= patience
+    forest, curve, gains = boosted(train, validation, features, rounds, ended, depth, step, least, share, bins, seed)
     kept = stopped(curve, patience)
-    return Fitted(forest.prefix(kept), features, kept, curve[kept - 1], trees.featureImportances.toArray().tolist())
+    return Fitted(forest.prefix(kept), features, kept, curve[kept - 1], sum(gains[:kept]).tolist())
 
 
 def draws(lists: dict[str, Sequence], n: int = 16, seed: int = 42) -> list[dict]:
@@ -128,10 +119,11 @@ class Calibration:
 def fit_calibration(validation: DataFrame, points: int = 1000, score: str = "score") -> Calibration:
     """Isotonic regression of y on the score, sampled on an even grid between the lowest and highest score.
 
-    For display only: it never ranks.
+    For display only: it never ranks. Rows are counted per distinct score first, which gives the same curve.
     """
-    data = validation.select(F.col(score).cast("double").alias("features"), F.col("y").cast("double").alias("label"))
-    fitted = IsotonicRegression(isotonic=True).fit(data)
+    counted = stored(metrics.blocks(validation, score))
+    data = counted.select(F.col("score").cast("double").alias("features"), (F.col("pos") / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight"))
+    fitted = IsotonicRegression(isotonic=True, weightCol="weight").fit(data)
     x, y = list(fitted.boundaries), list(fitted.predictions)
     low, high = x[0], x[-1] if x[-1] > x[0] else x[0] + 1e-9
     grid, image, at = [low + (high - low) * i / (points - 1) for i in range(points)], [], 0

@@ -226,7 +226,7 @@ def trained_model_metrics(spark: SparkSession, d: str) -> DataFrame:
     train, validation = t.where(F.col("year").isin(*DEMO.train_years)), t.where(F.col("year") == DEMO.validation_year)
     fitted = model.fit_trees(train, validation, FEATURES)
     curve = model.fit_calibration(fitted.score(validation))
-    test = fitted.score(t.where(F.col("year") >= DEMO.test_year)).withColumn("shown", curve.apply(F.col("score")))
-    test = stored(test.select("score", "shown", "y"))
-    ap, auc = metrics.average_precision(test), metrics.roc_auc(test)
-    return ap.crossJoin(auc).crossJoin(metrics.brier(test, "shown").select("brier", "n")).withColumn("trees", F.lit(fitted.trees))  # a row each
+    test = stored(metrics.blocks(fitted.score(t.where(F.col("year") >= DEMO.test_year))))  # rows per score, which tells the shown value
+    ap, auc = metrics.average_precision(test, counted=True), metrics.roc_auc(test, counted=True)
+    brier = metrics.brier(test.withColumn("shown", curve.apply(F.col("score"))), "shown", counted=True)
+    return ap.crossJoin(auc).crossJoin(brier.select("brier", "n")).withColumn("trees", F.lit(fitted.trees))  # a row each

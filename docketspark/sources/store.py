@@ -39,3 +39,12 @@ def stored(df: DataFrame) -> DataFrame:
     path, fs = hadoop_path(spark, name)
     fs.deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(name)
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any longer; others are left alone."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path, fs = hadoop_path(spark, folder)
+        if path.getName().startswith("kept-") and hadoop_path(spark, shared_folder(spark))[0].toUri().getPath() == path.getParent().toUri().getPath():
+            fs.delete(path, True)
