@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketspark.config import FORBIDDEN_INPUTS
-from docketspark.functions.columns import age, calendar, day, interpolated, personal_data, smoothed, trimmed
-from docketspark.operators import encode, history
+from docketspark.functions.columns import age, calendar, day, interpolated, personal_data, ratio, smoothed, trimmed
+from docketspark.operators import encode
 from docketspark.operators.trees import Forest, probability
 from docketspark.sources.requests import check_inputs
 
@@ -222,15 +222,24 @@ def key_changes(old: DataFrame, new: DataFrame, key: str = "agency") -> DataFram
     )
 
 
-def agency_tables(train: DataFrame, log: DataFrame, prior: float = 50.0, windows: tuple[int, int] = (90, 365), train_days: str | None = None) -> DataFrame:
+def agency_tables(train: DataFrame, log: DataFrame, prior: float = 50.0, windows: tuple[int, int] = (90, 365), train_days: str | None = None, lag: int = 60) -> DataFrame:
     """(agency, rate, rate_90, rate_365, born): the artifact's tables as a frame, a row per agency of the training rows or the log.
 
     Nothing passes the driver but the base rate. `rate` is null for agencies without training rows.
     """
-    base = encode.base_rate(train)
     rates = encode.smoothed_rate(train, ["agency"], prior).select("agency", "rate")
-    rolled = history.rolling_rates(log, None if train_days else base, windows, train=train_days)
-    latest = rolled.groupBy("agency").agg(*[F.max_by(f"rate_{w}", "reg").alias(n) for w, n in zip(windows, ("rate_90", "rate_365"), strict=True)], F.min("reg").alias("born"))
+    if train_days:
+        inside, ones = F.expr(train_days), F.sum(F.when(F.expr(train_days), F.col("y")))
+        base = log.agg(F.coalesce(ratio(ones, F.count_if(inside)), F.lit(0.0)).alias("_base"))
+    else:
+        base = log.sparkSession.range(1).select(F.lit(encode.base_rate(train)).alias("_base"))
+    # the rates of an agency's last day only; no other day's window is summed
+    ends = log.groupBy("agency").agg(F.max("reg").alias("_last"), F.min("reg").alias("born"))
+    near = {w: F.col("reg").between(F.date_sub("_last", lag + w - 1), F.date_sub("_last", lag)) for w in windows}
+    sums = [x for w in windows for x in (F.count_if(near[w]).alias(f"n_{w}"), F.coalesce(F.sum(F.when(near[w], F.col("y"))), F.lit(0)).alias(f"y_{w}"))]
+    latest = log.join(ends, "agency").groupBy("agency").agg(F.max("_last").alias("_last"), F.min("born").alias("born"), *sums).crossJoin(F.broadcast(base))
+    rolled = [F.when(F.col("_last").isNotNull(), smoothed(F.col(f"y_{w}"), F.col(f"n_{w}"), F.col("_base"), 20.0)).alias(n) for w, n in zip(windows, ("rate_90", "rate_365"), strict=True)]
+    latest = latest.select("agency", *rolled, "born")
     both = rates.alias("r").join(latest.alias("l"), F.col("r.agency") == F.col("l.agency"), "full")
     agency = F.coalesce("r.agency", "l.agency").cast("string").alias("agency")
     return both.select(agency, "r.rate", "l.rate_90", "l.rate_365", "l.born").where("agency is not null")

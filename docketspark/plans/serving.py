@@ -152,7 +152,7 @@ CODES = {"Esfera": {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 34}, "FormaResposta"
     SELECT round(p, 6) AS probabilidade_reencaminhamento, CASE WHEN p >= 0.6 THEN 'ALTO RISCO' ELSE 'BAIXO RISCO' END AS alerta, known AS orgao_conhecido, given AS historico_informado, count(*) AS n FROM s GROUP BY ALL""")
 def text_model_score(spark: SparkSession, d: str) -> DataFrame:
     """Every request through a text model, end to end: the request's own fields, tables by agency, codes, all 31 inputs, trees, answer."""
-    log = request_log(spark, d)
+    log = stored(request_log(spark, d).select("request_id", "line", "reg", "requester", "agency", "y", "status", "channel", "year"))
     train, tables = _tables(log)
     artifact = serving.build_artifact(train, 0.6, list(MODEL_INPUTS), codes=CODES)
     forest = trees.parse_text_model(MODEL)
