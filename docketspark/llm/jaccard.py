@@ -44,7 +44,7 @@ U64 = np.uint64
 
 
 def _sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingle hashes, rising, and offsets. Works on a megabyte of text at a time."""
+    """Each text's distinct shingle hashes, rising, and offsets. Works on a chunk of text at a time."""
     parts = [wordhash.distinct(*wordhash.shingles(*wordhash.words(texts[a:b]), width)) for a, b in wordhash.chunks(texts)]
     sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(o) for _, o in parts]])
     return np.concatenate([np.zeros(0, U64), *[v for v, _ in parts]]), np.cumsum(sizes)
@@ -65,28 +65,43 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _surveyed(ids: pa.Array, texts: list[bytes], width: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The survey's rows of one batch. Besides the arrays of a chunk of text it holds the batch's shingles, once."""
+    held, known = [np.zeros(0, U64)], np.zeros(0, U64)
+    for a, b in wordhash.chunks(texts):
+        values, offsets = _sets(texts[a:b], width)
+        n = np.diff(offsets)
+        sums = _running(values)
+        h1 = sums[offsets[1:]] - sums[offsets[:-1]]
+        sums = _running(wordhash.mix(values ^ U64(0x5851F42D4C957F2D)))
+        h2 = sums[offsets[1:]] - sums[offsets[:-1]]
+        none = pa.nulls(len(n), pa.int64())
+        yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(_signed(h1)), pa.array(_signed(h2)), none, none], names)
+        # copies in the batch count once
+        first = np.zeros(len(n), bool)
+        first[np.unique(h1, return_index=True)[1]] = True
+        first &= ~np.isin(h1, known)
+        known = np.concatenate([known, h1[first]])
+        held.append(values[np.repeat(first, n)])
+    values = np.concatenate(held)
+    held.clear()
+    values.sort()
+    edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    seen = np.diff(np.concatenate((edge, [len(values)])))
+    often = seen >= max(2, len(texts) // 1000)
+    none = pa.nulls(int(often.sum()), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(_signed(values[edge[often]])), pa.array(seen[often])], names)
+
+
 def _survey(docs: DataFrame, width: int) -> DataFrame:
     """Rows of two kinds: per document (doc_id, n, h1, h2), and (shingle, seen) of what is frequent in a task's batch."""
     schema = "doc_id long, n long, h1 long, h2 long, shingle long, seen long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), _as_bytes(batch.column(1))
+            texts = _as_bytes(batch.column(1))
             for begin, end in wordhash.chunks(texts, 6 << 20):
-                values, offsets = _sets(texts[begin:end], width)
-                sums = _running(values)
-                mixed = _running(wordhash.mix(values ^ U64(0x5851F42D4C957F2D)))
-                n = np.diff(offsets)
-                h1, h2 = sums[offsets[1:]] - sums[offsets[:-1]], mixed[offsets[1:]] - mixed[offsets[:-1]]
-                none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(n), pa.array(_signed(h1)), pa.array(_signed(h2)), none, none], names)
-                # copies in the batch count once
-                first = np.zeros(len(n), bool)
-                first[np.unique(h1, return_index=True)[1]] = True
-                found, seen = np.unique(values[np.repeat(first, n)], return_counts=True)
-                often = seen >= max(2, len(n) // 1000)
-                none = pa.nulls(int(often.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(_signed(found[often])), pa.array(seen[often])], names)
+                yield from _surveyed(batch.column(0).slice(begin, end - begin), texts[begin:end], width, names)
 
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.mapInArrow(run, schema)

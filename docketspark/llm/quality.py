@@ -138,7 +138,7 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """The mean of each text's word vectors; 0 for a text without words."""
     out = np.zeros((len(texts), vectors.shape[1]), np.float32)
-    for begin, end in wordhash.chunks(texts, 1 << 18):
+    for begin, end in wordhash.chunks(texts, 1 << 16):
         words, offsets = buckets(texts[begin:end])
         n = np.diff(offsets)
         full = np.flatnonzero(n)

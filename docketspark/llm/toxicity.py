@@ -36,6 +36,10 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: A document's uses of a feature that count, so that one text that repeats a word isn't many.
 USES = 4
 THRESHOLD = 0.3
+#: Words whose features a worker remembers, and bytes of text whose features it lists at a time.
+CACHED_WORDS, LISTED_BYTES = 100_000, 1 << 16
+#: What a word without features has.
+PLAIN: tuple[tuple[int, ...], int] = ((), 0)
 #: Kinds of words by the odds of their best feature (0: none), and positions by the logarithm of a word's place.
 KINDS, PLACES = 4, 8
 
@@ -67,10 +71,10 @@ class Field:
     def own(self, word: str) -> tuple[tuple[int, ...], int]:
         """The numbers of a word's features, and its kind."""
         if word not in self.known:
-            if len(self.known) > 200_000:  # a cache, emptied when it is large
+            if len(self.known) > CACHED_WORDS:  # a cache, emptied when it is large
                 self.known.clear()
             found = [self.vocabulary[f] for f in features(word) if f in self.vocabulary]
-            self.known[word] = tuple(n for n, _ in found), max((k for _, k in found), default=0)
+            self.known[word] = (tuple(n for n, _ in found), max(k for _, k in found)) if found else PLAIN
         return self.known[word]
 
     def marked(self, words: list[str]) -> list[tuple[int, list[int], int]]:
@@ -225,6 +229,23 @@ def fit_weights(at: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray
     return weights, bias, transition
 
 
+def listed_features(texts: list[str], factors: np.ndarray) -> list[pa.Array]:
+    """Of each text the uses of its features, its four keys (least hashes by each row of `factors`), and its number of words."""
+    rows, keys, sizes = [], [], []
+    for text in texts:
+        found = WORD.findall(text.lower())
+        uses: Counter[str] = Counter()
+        for w, n in Counter(found).items():
+            for f in features(w):
+                uses[f] += n
+        rows.append([(f, min(n, USES)) for f, n in sorted(uses.items())])
+        sizes.append(len(found))
+        x = wordhash.words([" ".join([f for f, _ in rows[-1]] or [""]).encode()])[0]
+        least = [[int((x * f).min()) if len(x) else 0 for f in row] for row in factors]
+        keys.append([hash(tuple(k)) for k in least])  # numbers only, so the same in every process
+    return [pa.array(rows, pa.map_(pa.string(), pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, window: int = 25, bar: float = 8.0) -> Field:
     """The field, from at most `most` labelled rows of each class, whole texts in windows of `window` words.
 
@@ -236,20 +257,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, window: i
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys, sizes = [], [], []
-            for text in batch.column(2).to_pylist():
-                found = WORD.findall(text.lower())
-                uses: Counter[str] = Counter()
-                for w, n in Counter(found).items():
-                    for f in features(w):
-                        uses[f] += n
-                rows.append([(f, min(n, USES)) for f, n in sorted(uses.items())])
-                sizes.append(len(found))
-                x = wordhash.words([" ".join([f for f, _ in rows[-1]] or [""]).encode()])[0]
-                least = [[int((x * f).min()) if len(x) else 0 for f in row] for row in factors]
-                keys.append([hash(tuple(k)) for k in least])  # numbers only, so the same in every process
-            columns = [batch.column(0), batch.column(1), pa.array(rows, pa.map_(pa.string(), pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "features", "keys", "words"])
+            texts = batch.column(2).to_pylist()
+            for begin, end in wordhash.chunks(texts, LISTED_BYTES):
+                part = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *listed_features(texts[begin:end], factors)], ["doc_id", "y", "features", "keys", "words"])
 
     held = durable(sample.mapInArrow(listed, "doc_id long, y int, features map<string,int>, keys array<long>, words long"))
     # of documents that agree on four least hashes of four functions (near copies), the first counts

@@ -14,7 +14,8 @@ import numpy as np
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+#: Text that is worked on at a time; a worker's arrays take some fifty times as much.
+CHUNK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
